@@ -1,0 +1,31 @@
+"""The queries of this package with their SQL counterparts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.llm import visual
+from marginalia.sources.tables import once, read
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return visual.visual_twins(
+        {
+            "blocks": visual.visual_keys(read(spark, sf, "blocks", ["block_id", "content"]), "block_id", "content"),
+            "refs": visual.visual_keys(read(spark, sf, "refs", ["ref_id", "content"]), "ref_id", "content"),
+        }
+    )
+
+
+def p2_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    """The one form of every text of both tables."""
+    b = once(read(spark, sf, "blocks", ["block_id", "content"]), "block_id")
+    r = once(read(spark, sf, "refs", ["ref_id", "content"]), "ref_id")
+    return visual.canonical_text(
+        b.select(F.lit("blocks").alias("tbl"), F.col("block_id").alias("row_id"), "content").unionByName(r.select(F.lit("refs").alias("tbl"), F.col("ref_id").alias("row_id"), "content")), "content"
+    ).select("tbl", "row_id", "canonical")
+
+
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical}
+ORACLES: dict[str, str] = {}
