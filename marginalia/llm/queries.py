@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import visual
+from marginalia.llm import running_lines, visual
 from marginalia.sources.tables import once, read
 
 
@@ -27,5 +27,42 @@ def p2_canonical(spark: SparkSession, sf: str) -> DataFrame:
     ).select("tbl", "row_id", "canonical")
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical}
-ORACLES: dict[str, str] = {}
+_P4_COLUMNS = ["block_id", "source", "page_number", "block_index", "content", "y0", "page_height"]
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return running_lines.repeated_line_blocks(once(read(spark, sf, "blocks", _P4_COLUMNS), "block_id"))
+
+
+def p4_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """The frequent sequences: per source, the number of lines, of pages, and the lines' ids."""
+    b = once(read(spark, sf, "blocks", _P4_COLUMNS), "block_id")
+    f = running_lines.prefix_span(running_lines.edge_lines(b).where("edge"), running_lines.support_table(b, 3, 0.3))
+    return f.select("source", F.size("sequence").alias("n_lines"), "pages", F.transform("sequence", lambda x: F.lower(F.hex(x))).alias("lines"))
+
+
+def p4_clean_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of blocks and characters left on each page once repeated lines are out."""
+    b = once(read(spark, sf, "blocks", _P4_COLUMNS), "block_id")
+    return running_lines.without_repeated_lines(b).groupBy("source", "page_number").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("content")).alias("n_chars"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_canonical": p2_canonical,
+    "p4_found": p4_found,
+    "p4_sequences": p4_sequences,
+    "p4_clean_pages": p4_clean_pages,
+}
+
+_P4_SQL = r"""
+WITH b AS (SELECT DISTINCT block_id, source, page_number, block_index, content, y0, page_height FROM blocks WHERE block_id IS NOT NULL),
+l AS (SELECT *, regexp_replace(lower(content), '[0-9]+', chr(1), 'g') AS line, (y0 < 0.12 * page_height OR y0 >= (1 - 0.12) * page_height) AS edge FROM b),
+n AS (SELECT source, greatest(3, ceil(0.3 * count(DISTINCT page_number) - 1e-9)) AS least FROM b GROUP BY source),
+f AS (SELECT l.source, line FROM l JOIN n ON n.source = l.source WHERE edge AND content IS NOT NULL GROUP BY l.source, line, least HAVING count(DISTINCT page_number) >= least),
+c AS (SELECT block_id FROM l JOIN f USING (source, line) WHERE coalesce(edge, true))
+"""
+ORACLES: dict[str, str] = {
+    "p4_found": _P4_SQL + "SELECT block_id FROM c",
+    "p4_clean_pages": _P4_SQL + "SELECT source, page_number, count(*) AS n_blocks, sum(length(content)) AS n_chars FROM b WHERE block_id NOT IN (SELECT block_id FROM c) GROUP BY ALL",
+}
