@@ -83,12 +83,17 @@ class Transducer:
         one = "[" + "".join(re.escape(k) for k in self.clusters if len(k) == 1) + "]"
         # Longest first: a base with marks (characters without width may stand between), then known ones.
         # Soft hyphens at the end of a line are printed there.
-        self.pattern = re.compile(f"­(?=\n)|(?:[^\\W_])(?:{gone}*{marks})+|" + "".join(f"{re.escape(k)}|" for k in known) + one)
+        self.pattern = re.compile(f"\xad(?=\n)|[^\\s_](?:{gone}*{marks})+|" + "".join(f"{re.escape(k)}|" for k in known) + one)
+        # Where a text has no cluster of several characters, the longest match is a single one everywhere.
+        self.long = re.compile(f"\xad(?=\n)|{marks}").search
+        self.table = str.maketrans({k: v for k, v in self.clusters.items() if len(k) == 1})
 
     def apply(self, text: str) -> str:
         if text.isascii():
             return text
-        return self.pattern.sub(self._cluster, text)
+        if self.long(text):
+            return self.pattern.sub(self._cluster, text)
+        return text.translate(self.table)
 
     def _cluster(self, m: re.Match[str]) -> str:
         s = m[0]
