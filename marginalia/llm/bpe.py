@@ -156,17 +156,44 @@ class _Memo(dict):
         return ids
 
 
+class _Words(dict):
+    """Ids of a word with one space before it; long words aren't kept."""
+
+    def __init__(self, memo: _Memo, split) -> None:  # noqa: ANN001
+        super().__init__()
+        self.memo, self.split = memo, split
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple(chain.from_iterable(map(self.memo.__getitem__, self.split(" " + word))))
+        if len(word) <= 48:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
+    """Encodes texts. No piece reaches over a space that something visible follows, so a text where
+    every space is such a one is cut there first, and equal words are encoded once."""
+
     def __init__(self, path: str) -> None:
         self.memo = _Memo(Vocabulary(path))
         self.split = piece_pattern().findall
+        self.words = _Words(self.memo, self.split)
+        self.odd = re.compile(f" (?:[{WHITE_SPACE}]|\\Z)").search
+
+    def _parts(self, text: str) -> Iterator[tuple[int, ...]]:
+        if self.odd(text):
+            return map(self.memo.__getitem__, self.split(text))
+        head, *words = text.split(" ")
+        return chain(map(self.memo.__getitem__, self.split(head)), map(self.words.__getitem__, words))
 
     def encode(self, text: str | None) -> list[int]:
         """The ids; of a null or empty text none."""
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text)))) if text else []
+        return list(chain.from_iterable(self._parts(text))) if text else []
 
     def count(self, text: str | None) -> int:
-        return sum(map(len, map(self.memo.__getitem__, self.split(text)))) if text else 0
+        return sum(map(len, self._parts(text))) if text else 0
 
 
 @lru_cache(maxsize=4)

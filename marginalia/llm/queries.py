@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import running_lines, visual
+from marginalia.llm import bpe, mixture, running_lines, split, visual
+from marginalia.session import staged
 from marginalia.sources.tables import once, read
 
 
@@ -47,12 +48,60 @@ def p4_clean_pages(spark: SparkSession, sf: str) -> DataFrame:
     return running_lines.without_repeated_lines(b).groupBy("source", "page_number").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("content")).alias("n_chars"))
 
 
+#: Limit and overlap in units of each table.
+P7_LIMITS = {"doc_pages": (600, 60), "chunks": (320, 40)}
+
+
+def _p7(spark: SparkSession, sf: str, table: str, key: str, large: bool) -> DataFrame:
+    limit, overlap = P7_LIMITS[table]
+    df = read(spark, sf, table, [key, "content"]).where(F.col("content").isNotNull())
+    # Redelivered rows are met after splitting, where only numbers are exchanged.
+    df = split.oversized(df, "content", limit) if large else df
+    return split.split_items(df, key, "content", limit, overlap).select(F.lit(table).alias("tbl"), F.col("id").alias("row_id"), "piece", "start_pos", "core_pos", "end_pos", "units", "content")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    cut = _p7(spark, sf, "doc_pages", "page_id", True).unionByName(_p7(spark, sf, "chunks", "chunk_id", True))
+    return cut.where("piece = 1").select("tbl", "row_id").distinct()
+
+
+def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """All pieces of both tables, those of items within the limit too."""
+    cut = _p7(spark, sf, "doc_pages", "page_id", False).unionByName(_p7(spark, sf, "chunks", "chunk_id", False))
+    return cut.dropDuplicates(["tbl", "row_id", "piece"])
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_table(read(spark, sf, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
+def _sized(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    targets = read(spark, sf, "mix_targets")
+    docs = read(spark, sf, "documents", ["doc_id", "source", "text"]).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    sized = staged(bpe.token_counts(docs, "text").select("doc_id", "source", "tokens").groupBy("doc_id").agg(F.first("source").alias("source"), F.first("tokens").alias("tokens")))
+    return sized, targets
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.mix(*_sized(spark, sf))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    sized, targets = _sized(spark, sf)
+    return mixture.mix_shares(mixture.mix(sized, targets), sized, targets)
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
     "p4_found": p4_found,
     "p4_sequences": p4_sequences,
     "p4_clean_pages": p4_clean_pages,
+    "p7_found": p7_found,
+    "p7_pieces": p7_pieces,
+    "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
 }
 
 _P4_SQL = r"""
@@ -62,7 +111,9 @@ n AS (SELECT source, greatest(3, ceil(0.3 * count(DISTINCT page_number) - 1e-9))
 f AS (SELECT l.source, line FROM l JOIN n ON n.source = l.source WHERE edge AND content IS NOT NULL GROUP BY l.source, line, least HAVING count(DISTINCT page_number) >= least),
 c AS (SELECT block_id FROM l JOIN f USING (source, line) WHERE coalesce(edge, true))
 """
+_P7_UNITS = "length(regexp_replace(regexp_replace({c}, '[\\x{{0e00}}-\\x{{0e7f}}\\x{{3040}}-\\x{{30ff}}\\x{{3400}}-\\x{{9fff}}]', ' \u0001 ', 'g'), '[^\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', '\u0001', 'g')) - length(replace(regexp_replace(regexp_replace({c}, '[\\x{{0e00}}-\\x{{0e7f}}\\x{{3040}}-\\x{{30ff}}\\x{{3400}}-\\x{{9fff}}]', ' \u0001 ', 'g'), '[^\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', '\u0001', 'g'), '\u0001', ''))"
 ORACLES: dict[str, str] = {
+    "p7_found": "SELECT DISTINCT 'doc_pages' AS tbl, page_id AS row_id FROM doc_pages WHERE page_id IS NOT NULL AND " + _P7_UNITS.format(c="content") + " > 600 UNION ALL SELECT DISTINCT 'chunks', chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND " + _P7_UNITS.format(c="content") + " > 320",
     "p4_found": _P4_SQL + "SELECT block_id FROM c",
     "p4_clean_pages": _P4_SQL + "SELECT source, page_number, count(*) AS n_blocks, sum(length(content)) AS n_chars FROM b WHERE block_id NOT IN (SELECT block_id FROM c) GROUP BY ALL",
 }
