@@ -22,6 +22,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,9 +224,7 @@ def token_counts(df: DataFrame, column: str, out: str = "tokens", *, folder: str
     """``df`` with the number of tokens of ``column``; 0 for null and empty texts."""
 
     @F.pandas_udf("bigint")
-    def count(it):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    def count(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = encoder(folder=folder)
         for s in it:
             yield pd.Series([e.count(x) for x in s], dtype="int64")
