@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, mixture, running_lines, split, visual
+from marginalia.llm import bpe, mixture, neardup, running_lines, split, visual
 from marginalia.session import staged
 from marginalia.sources.tables import once, read
 
@@ -48,6 +48,20 @@ def p4_clean_pages(spark: SparkSession, sf: str) -> DataFrame:
     return running_lines.without_repeated_lines(b).groupBy("source", "page_number").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("content")).alias("n_chars"))
 
 
+def _p5(spark: SparkSession, sf: str) -> DataFrame:
+    c = read(spark, sf, "chunks", ["chunk_id", "content"]).select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("id"), "content")
+    e = read(spark, sf, "evidence", ["ev_id", "content"]).select(F.lit("evidence").alias("tbl"), F.col("ev_id").alias("id"), "content")
+    return c.unionByName(e)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicate_pairs(_p5(spark, sf))
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicate_groups(_p5(spark, sf)).withColumnRenamed("id", "row_id")
+
+
 #: Limit and overlap in units of each table.
 P7_LIMITS = {"doc_pages": (600, 60), "chunks": (320, 40)}
 
@@ -97,6 +111,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_sequences": p4_sequences,
     "p4_clean_pages": p4_clean_pages,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_ids": p8_ids,
