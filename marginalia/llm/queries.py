@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, mixture, neardup, running_lines, split, visual
+from marginalia.llm import bpe, mixture, neardup, running_lines, scan_noise, split, visual
 from marginalia.session import staged
 from marginalia.sources.tables import once, read
 
@@ -62,6 +62,16 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicate_groups(_p5(spark, sf)).withColumnRenamed("id", "row_id")
 
 
+def _p6(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    p = read(spark, sf, "doc_pages", ["page_id", "source", "page_number", "content"]).withColumnRenamed("page_id", "row_id")
+    b = read(spark, sf, "blocks", ["block_id", "source", "page_number", "block_index", "content"]).withColumnRenamed("block_id", "row_id").withColumnRenamed("block_index", "pos")
+    return once(p, "row_id"), once(b, "row_id")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_noise.noisy_lines(*_p6(spark, sf))[0]
+
+
 #: Limit and overlap in units of each table.
 P7_LIMITS = {"doc_pages": (600, 60), "chunks": (320, 40)}
 
@@ -113,6 +123,7 @@ QUERIES = {
     "p4_clean_pages": p4_clean_pages,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_ids": p8_ids,
