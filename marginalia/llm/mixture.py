@@ -59,7 +59,11 @@ def plan_mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def mix(sized: DataFrame, targets: DataFrame, *, block_tokens: int = 8192, seed: int = 42) -> DataFrame:
+#: A block holds this part of the mix, within the bounds: fine enough for small mixes, and few enough slots.
+BLOCKS, LEAST_BLOCK, MOST_BLOCK = 8192, 512, 1 << 20
+
+
+def mix(sized: DataFrame, targets: DataFrame, *, block_tokens: int | None = None, seed: int = 42) -> DataFrame:
     """The mix, one row a use of a document: slot, source, block, doc_id, copy, tokens.
 
     ``sized``: doc_id, source, tokens, each document once; null ids and sources and documents
@@ -73,6 +77,8 @@ def mix(sized: DataFrame, targets: DataFrame, *, block_tokens: int = 8192, seed:
     plan = staged(plan_mix(sized, targets))
     # The targets are a table of settings: its rows are the sources of the mix, not of the corpus.
     rows = plan.where("wanted > 0").orderBy("source").collect()
+    if block_tokens is None:
+        block_tokens = min(MOST_BLOCK, max(LEAST_BLOCK, sum(r.wanted for r in rows) // BLOCKS))
     slots = sum(math.ceil(r.wanted / block_tokens) for r in rows)
     edges, at = [], 0.0
     for r in rows:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, mixture, neardup, running_lines, scan_noise, split, visual
+from marginalia.llm import bpe, mixture, neardup, running_lines, scan_noise, sentences, split, visual
 from marginalia.session import staged
 from marginalia.sources.tables import once, read
 
@@ -28,6 +28,16 @@ def p2_canonical(spark: SparkSession, sf: str) -> DataFrame:
     ).select("tbl", "row_id", "canonical")
 
 
+def _p3(spark: SparkSession, sf: str) -> DataFrame:
+    c = sentences.sentence_ends(once(read(spark, sf, "chunks", ["chunk_id", "content"]), "chunk_id"), "chunk_id", "content")
+    e = sentences.sentence_ends(once(read(spark, sf, "evidence", ["ev_id", "content"]), "ev_id"), "ev_id", "content")
+    return c.withColumn("tbl", F.lit("chunks")).unionByName(e.withColumn("tbl", F.lit("evidence"))).withColumnRenamed("id", "row_id")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p3(spark, sf).select("tbl", "row_id", "sent_end")
+
+
 _P4_COLUMNS = ["block_id", "source", "page_number", "block_index", "content", "y0", "page_height"]
 
 
@@ -118,6 +128,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_sequences": p4_sequences,
     "p4_clean_pages": p4_clean_pages,

@@ -111,7 +111,7 @@ def labelled_texts(n: int, seed: int) -> list[tuple[str, list[int]]]:
                 lang = r.choice([x for x in langs if x != "th"])
             s = _fill(r, r.choice(PATTERNS[lang]), lang)
             if lang != "th":
-                p = r.choice([0.0, 0.0, 0.02, 0.1])
+                p = r.choice([0.0, 0.0, 0.05, 0.15])
                 s = "".join("\n" if c == " " and r.random() < p else c for c in s)
             text += s
             ends.append(len(text))
