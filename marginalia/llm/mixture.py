@@ -33,7 +33,7 @@ def _running(df: DataFrame, group: str, order: list[str], value: str, out: str)
     return df.join(parts, [group, "range"]).withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_before")
 
 
-def plan_mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
+def plan_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """One row a source with its tokens in the mix: source, target_share, weight, docs, available,
     copies (repetitions at most), wanted.
 
@@ -41,13 +41,15 @@ def plan_mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     repetitions limits most sets the total. A source without documents (or with empty ones
     only) can't contribute; the others' weights are its target shares scaled to sum 1. Sources
     without a target, and targets that are null or not positive, stay out. A null cap means 1.
+    With ``total_tokens`` the mix has that size instead; a source that its cap limits then gives all
+    it may, and falls short of its share.
     """
     have = sized.where(F.col("source").isNotNull() & (F.col("tokens") > 0)).groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("available"))
     t = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("target_share"), F.greatest(F.lit(1), F.coalesce(F.max("max_repeats"), F.lit(1))).alias("cap"))
     both = t.join(have, "source", "left").withColumn("ok", (F.col("target_share") > 0) & F.col("available").isNotNull())
     every = Window.partitionBy()  # over the targets, one row a source of the mix
     both = both.withColumn("weight", F.when(F.col("ok"), F.col("target_share") / F.sum(F.when(F.col("ok"), F.col("target_share"))).over(every)).otherwise(0.0))
-    both = both.withColumn("total", F.min(F.when(F.col("ok"), F.floor(F.col("available") * F.col("cap") / F.col("weight")))).over(every))
+    both = both.withColumn("total", F.lit(total_tokens).cast("bigint") if total_tokens else F.min(F.when(F.col("ok"), F.floor(F.col("available") * F.col("cap") / F.col("weight")))).over(every))
     return both.select(
         "source",
         "target_share",
@@ -55,7 +57,7 @@ def plan_mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
         F.coalesce("docs", F.lit(0)).alias("docs"),
         F.coalesce("available", F.lit(0)).alias("available"),
         F.col("cap").cast("int").alias("max_repeats"),
-        F.coalesce(F.floor(F.col("weight") * F.col("total")), F.lit(0)).cast("bigint").alias("wanted"),
+        F.coalesce(F.least(F.floor(F.col("weight") * F.col("total")), F.col("available") * F.col("cap")), F.lit(0)).cast("bigint").alias("wanted"),
     )
 
 
@@ -63,7 +65,7 @@ def plan_mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
 BLOCKS, LEAST_BLOCK, MOST_BLOCK = 8192, 512, 1 << 20
 
 
-def mix(sized: DataFrame, targets: DataFrame, *, block_tokens: int | None = None, seed: int = 42) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, block_tokens: int | None = None, seed: int = 42) -> DataFrame:
     """The mix, one row a use of a document: slot, source, block, doc_id, copy, tokens.
 
     ``sized``: doc_id, source, tokens, each document once; null ids and sources and documents
@@ -74,7 +76,7 @@ def mix(sized: DataFrame, targets: DataFrame, *, block_tokens: int | None = None
     """
     spark = sized.sparkSession
     sized = sized.where(F.col("doc_id").isNotNull())
-    plan = staged(plan_mix(sized, targets))
+    plan = staged(plan_mix(sized, targets, total_tokens))
     # The targets are a table of settings: its rows are the sources of the mix, not of the corpus.
     rows = plan.where("wanted > 0").orderBy("source").collect()
     if block_tokens is None:
