@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, mixture, neardup, running_lines, scan_noise, sentences, split, visual
+from marginalia.llm import bpe, mixture, neardup, personal, running_lines, scan_noise, sentences, split, visual
 from marginalia.session import staged
 from marginalia.sources.tables import once, read
 
@@ -125,6 +125,14 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.mix_shares(mixture.mix(sized, targets), sized, targets)
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.find_personal(read(spark, sf, "documents", ["doc_id", "text"]), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p10_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.masked_text(read(spark, sf, "documents", ["doc_id", "text"]), "text").select("doc_id", "masked")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
@@ -140,6 +148,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_masked": p10_masked,
 }
 
 _P4_SQL = r"""
