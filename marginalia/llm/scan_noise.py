@@ -41,6 +41,8 @@ _word = re.compile(f"!?[{_LATIN}0-9]+(?:!+[{_LATIN}0-9]+)*")
 _letter = re.compile(f"[{_LATIN}]")
 _tail = re.compile(f"([{_LATIN}0-9!]*[{_LATIN}0-9])[{MARKS}]\\s*$")
 _head = re.compile(f"\\s*([{_LATIN}0-9!]*[{_LATIN}0-9])")
+_break = re.compile(f"[^\\W\\d_][{MARKS}][ \t]*\n")
+_broken = re.compile(f"[^\\s]*[^\\W\\d_][{MARKS}][ \t]*\n\\s*[^\\s]*")
 _compound = re.compile(f"(?=\\b([{_LATIN}]+)-([{_LATIN}]+))")
 _digits = re.compile("[0-9]+")
 _number = re.compile(r"(?i)\W*(?:(?:page|pg|p|seite|página|стр|σελ|第|หน้า)\b\W*|)(?:(\d{1,9})|([ivxlcdm]+))\W*(?:(?:of|von|de|sur|из)\W+\d+\W*)?")
@@ -108,21 +110,29 @@ def _words_of(raw: list[str], lines: list[str]) -> Iterator[tuple[int, list[str]
 def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
     """form, n over all unbroken words (lower-cased) and their hyphenated pairs; counted per task first."""
 
+    def tokens(count: Counter[str]) -> pd.DataFrame:
+        """The counted stretches between white space, each distinct one taken apart once."""
+        out: Counter[str] = Counter()
+        fold = transducer().apply
+        for raw, n in count.items():
+            w = fold(raw)
+            for t in _word.findall(w):
+                out[t] += n
+            if "-" in w:
+                for x, y in _compound.findall(w):
+                    out[f"{x}-{y}"] += n
+        count.clear()
+        return pd.DataFrame({"form": list(out), "n": list(out.values())})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count: Counter[str] = Counter()
         for b in batches:
             for text in b["content"]:
-                raw, lines = _lines(text)
-                for _, words, _part in _words_of(raw, lines):
-                    count.update(words)
-                for line in lines:
-                    if "-" in line:
-                        count.update(f"{x}-{y}" for x, y in _compound.findall(line))
+                count.update((_broken.sub(" ", text) if _break.search(text) else text).split())
             if len(count) > flush:
-                yield pd.DataFrame({"form": list(count), "n": list(count.values())})
-                count.clear()
+                yield tokens(count)
         if count:
-            yield pd.DataFrame({"form": list(count), "n": list(count.values())})
+            yield tokens(count)
 
     c = texts.where(F.col("content").isNotNull()).select("content").mapInPandas(run, "form string, n bigint")
     return c.where(F.col("form").rlike(f"[{_LATIN}]{{2}}|[{_LATIN}].*[{_LATIN}]")).groupBy(F.lower("form").alias("form")).agg(F.sum("n").alias("n"), F.max(F.col("form") != F.upper("form")).alias("mixed"))
@@ -164,41 +174,62 @@ def _read_lines(texts: DataFrame, forms: Broadcast | None, edges: int) -> DataFr
     (header) and, in ``mark`` = "#", whether they are the page's number.
     """
 
+    class Misread(dict):
+        """Whether a stretch between white space holds a misread form."""
+
+        def __init__(self, known: object) -> None:
+            super().__init__()
+            self.known, self.fold = known, transducer().apply
+
+        def __missing__(self, raw: str) -> bool:
+            if len(self) > 1 << 19:
+                self.clear()
+            out = self[raw] = not self.known.isdisjoint([t.lower() for t in _word.findall(self.fold(raw))])
+            return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = forms.value.keys() if forms else ()
+        known = forms.value.keys() if forms else frozenset()
+        misread, fold = Misread(known), transducer().apply
         for batch in batches:
             out = []
             for key, source, page, pos, text in batch[["row_id", "source", "page_number", "pos", "content"]].itertuples(index=False):
                 page = None if page is None or page != page else int(page)
                 where = (key, source, page, pos)
-                raw, lines = _lines(text)
-                full = [i for i, x in enumerate(lines) if x and not x.isspace()]
-                seq = {i: k for k, i in enumerate(full)}
-                parts = {}
-                for i, words, part in _words_of(raw, lines):
-                    if part is not None:
-                        parts[i] = part
-                    if forms is None:
+                raw = text.split("\n")
+                if forms is None:
+                    for i, words, _ in _words_of(*_lines(text)):
                         out += [("token", *where, i + 1, w, None, None, None, 0) for w in {x.lower() for x in words}]
-                    elif not known.isdisjoint([x.lower() for x in words]):
-                        out.append(("misread", *where, i + 1, None, None, None, None, 0))
-                keep = edges + 1
+                elif any(map(misread.__getitem__, set(text.split()))):
+                    for i, words, _ in _words_of(*_lines(text)):
+                        if not known.isdisjoint([x.lower() for x in words]):
+                            out.append(("misread", *where, i + 1, None, None, None, None, 0))
+                full = [i for i, x in enumerate(raw) if x and not x.isspace()]
+                if not full:
+                    continue
+                keep = edges + 1 if edges else 1
+                late = len(full) - keep
                 near = full if len(full) <= 2 * keep else full[:keep] + full[-keep:]
-                for i, part in parts.items():
-                    k = seq[i]
-                    if k < len(full) - keep or (edges == 0 and k + 1 < len(full)):
-                        head = _head.match(lines[full[k + 1]])
-                        out.append(("broken", *where, i + 1, part, head[1] if head else "", raw[i].rstrip()[-1], None, full[k + 1] + 1))
-                if edges == 0:
-                    near = sorted({full[0], full[-1]}) if full else []
+                parts = {}
+                if _break.search(text + "\n"):
+                    for k, i in enumerate(full):
+                        line = raw[i].rstrip()
+                        if line[-1] in MARKS and (m := _tail.search(fold(line[:-1]) + "-")):
+                            part = m[1]
+                            if k < late:
+                                head = _head.match(fold(raw[full[k + 1]]))
+                                out.append(("broken", *where, i + 1, part, head[1] if head else "", line[-1], None, full[k + 1] + 1))
+                            else:
+                                parts[i] = part
+                seq = {i: k for k, i in enumerate(full)}
                 for i in near:
                     k = seq[i]
-                    head = _head.match(lines[i]) if lines[i].lstrip()[:1].islower() else None
-                    last = parts.get(i) if k >= len(full) - keep and (edges or k + 1 == len(full)) else None
-                    number = k in range(max(1, edges)) or k >= len(full) - max(1, edges)
-                    number = number and is_page_number(raw[i], page)
-                    at_edge = edges and (k < edges or k >= len(full) - edges)
-                    out.append(("number" if number else "edge", *where, i + 1, last, head[1] if head and not number else None, raw[i].rstrip()[-1] if last else None, _digits.sub("\x01", raw[i].lower()) if at_edge else None, 0))
+                    line = raw[i]
+                    head = _head.match(fold(line)) if line.lstrip()[:1].islower() else None
+                    at_edge = k < max(1, edges) or k >= len(full) - max(1, edges)
+                    number = at_edge and len(line) < 48 and is_page_number(line, page)
+                    last = parts.get(i)
+                    if edges or number or last or head:
+                        out.append(("number" if number else "edge", *where, i + 1, last, head[1] if head and not number else None, line.rstrip()[-1] if last else None, _digits.sub("\x01", line.lower()) if edges and at_edge else None, 0))
             yield pd.DataFrame(out, columns=["what", "row_id", "source", "page_number", "pos", "line_no", "a", "b", "mark", "header", "next_no"])
 
     return texts.where(F.col("row_id").isNotNull() & F.col("content").isNotNull()).mapInPandas(run, _FOUND)
