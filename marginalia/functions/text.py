@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # publishers' banners that are taken out of extracted text.
 BANNERS = [
@@ -101,7 +102,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFKC; the JVM's functions have no such form. Batches go through Arrow."""
     for s in batches:
