@@ -11,7 +11,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from marginalia.session import staged
 
 _word = re.compile(r"\w+|[^\w\s]")
 _loose, _strict = re.compile(r"(?<=[.!?])\s+"), re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
@@ -229,10 +232,7 @@ def chunk_v1(pages: DataFrame, size: int = V1_SIZE, overlap: int = V1_OVERLAP) -
             rows = [(s, p, p, i, c, None, [], len(c.split())) for s, p, t in b[["source", "page_number", "content"]].itertuples(index=False) for i, c in enumerate(pack_words(t, size, overlap))]
             yield _frame(rows)
 
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    packed = pages.where("source IS NOT NULL AND page_number IS NOT NULL AND content IS NOT NULL").select("source", "page_number", "content").mapInPandas(run, CHUNK)
+    packed = staged(pages.where("source IS NOT NULL AND page_number IS NOT NULL AND content IS NOT NULL").select("source", "page_number", "content").mapInPandas(run, CHUNK))
     counts = packed.groupBy("source", "page_number").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("source", "page_number", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("before"))
@@ -253,16 +253,16 @@ def chunk_v2_basic(pages: DataFrame, packing: Packing = V2, count: Callable[[str
 def chunk_v2_block(blocks: DataFrame, packing: Packing = V2_BLOCK, count: Callable[[str], int] = default_count) -> DataFrame:
     """Token chunks of typed blocks (kind, path, section); prose only. A chunk never crosses a change of
     the section path, so sections are packed on their own and a document is no single task."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
+    from marginalia.operators.layout import _carried
 
-    b = blocks.where("kind = 'prose' AND source IS NOT NULL AND content IS NOT NULL").select("source", "page_number", "pos", "content", F.col("section").alias("section"), "path")
+    # Headings and prose are read several times below: the typed blocks are stored once.
+    blocks = staged(blocks.select("source", "page_number", "pos", "content", "kind", "section", "path"))
+    b = blocks.where("kind = 'prose' AND source IS NOT NULL AND content IS NOT NULL").select("source", "page_number", "pos", "content", "section", "path")
     # A stretch of equal paths, known by where its section starts.
     h = blocks.where("kind = 'heading'").select("source", "page_number", "pos")
     n = h.withColumn("stretch", F.row_number().over(Window.partitionBy("source").orderBy("page_number", "pos")))
-    from marginalia.operators.layout import _carried
-
-    b = _carried(b.unionByName(h, allowMissingColumns=True), n, ["stretch"]).where("content IS NOT NULL").withColumn("stretch", F.coalesce("s.stretch", F.lit(0))).drop("s")
+    b = _carried(b.unionByName(h, allowMissingColumns=True), n, ["stretch"]).where("content IS NOT NULL")
+    b = b.select("source", "page_number", "pos", "content", "section", "path", F.coalesce("s.stretch", F.lit(0)).alias("stretch"))
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["page_number", "pos"])
@@ -272,7 +272,7 @@ def chunk_v2_block(blocks: DataFrame, packing: Packing = V2_BLOCK, count: Callab
         out["stretch"] = int(g["stretch"].iat[0])
         return out
 
-    packed = b.groupBy("source", "stretch").applyInPandas(one, CHUNK + ", stretch int")
+    packed = staged(b.groupBy("source", "stretch").applyInPandas(one, CHUNK + ", stretch int"))
     counts = packed.groupBy("source", "stretch").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("source", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("before"))

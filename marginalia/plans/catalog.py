@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import integrity, texts
+from marginalia.plans import citing, integrity, retrieval, texts
 
-_MODULES = (integrity, texts)
+_MODULES = (integrity, texts, retrieval, citing)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return integrity.p1_orphans_by_month(spark, sf)
+    return retrieval.hybrid_topk(spark, sf)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as T
 from marginalia.operators import bibliography, layout
 from marginalia.plans.common import BLOCKS, PAGES, REFS, WORD, WS, blocks, pages, refs, s_squeeze, s_strip
+from marginalia.session import staged
 
 _BANNER = "1234567, 89, Downloaded from https://example.org/a?b, see the Creative Commons License "
 _JOURNAL = "Global Journal of Engineering and Technology Advances, 2021, 12(3), 10-19 "
@@ -58,7 +59,7 @@ def classify_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _typed(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.classify(blocks(spark, sf, "font_size", "is_bold"))
+    return staged(layout.classify(blocks(spark, sf, "font_size", "is_bold")))
 
 
 def section_fill(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.session import staged
+
 
 class Embedder(Protocol):
     dimension: int
@@ -210,8 +212,10 @@ def _standard() -> None:
     from marginalia.operators import chunking, layout
 
     def block(blocks: DataFrame) -> DataFrame:
-        b = layout.section_paths(layout.section_titles(layout.classify(layout.until_references(layout.without_margins(blocks)))))
-        return chunking.chunk_v2_block(b)
+        # Each step reads the one before several times, so two of them are stored.
+        b = staged(layout.until_references(layout.without_margins(blocks)))
+        b = staged(layout.section_titles(staged(layout.classify(b))))
+        return chunking.chunk_v2_block(layout.section_paths(b))
 
     register("v1", lambda: chunking.chunk_v1, "pages as packed words")
     register("v2-basic", lambda: chunking.chunk_v2_basic, "paragraphs under a token budget, with sections")
