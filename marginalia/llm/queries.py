@@ -83,6 +83,11 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return scan_noise.noisy_lines(*_p6(spark, sf))[0]
 
 
+def p6_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    p, b = _p6(spark, sf)
+    return scan_noise.paragraphs(once(p, "row_id"), b)
+
+
 #: Limit and overlap in units of each table.
 P7_LIMITS = {"doc_pages": (600, 60), "chunks": (320, 40)}
 
@@ -144,6 +149,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
+    "p6_paragraphs": p6_paragraphs,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_ids": p8_ids,

@@ -324,3 +324,82 @@ def noisy_lines(pages: DataFrame, blocks: DataFrame, *, min_pages: int = 3, min_
         out = out.distinct().select(F.lit(name).alias("tbl"), "row_id", "line_no", "kind")
         found = out if found is None else found.unionByName(out)
     return found, forms
+
+
+def _repaired(pages: DataFrame, found: DataFrame, forms: DataFrame) -> DataFrame:
+    """Paragraphs within pages: source, page_number, row_id, para, text, joined (ends inside a broken word),
+    open (ends without a final mark), lower (opens in lower case)."""
+    spark = pages.sparkSession
+    marks = found.where("tbl = 'doc_pages'").groupBy("row_id").agg(F.collect_set(F.struct("line_no", "kind")).alias("marks"))
+    if forms.count() > LOOKUP_FORMS:
+        raise ValueError("the repair of paragraphs looks up misread forms in memory: raise LOOKUP_FORMS")
+    shared = spark.sparkContext.broadcast(dict(forms.collect()))
+
+    def mend(text: str) -> str:
+        known = shared.value
+
+        def one(m: re.Match[str]) -> str:
+            w = known.get(m[0].lower())
+            return m[0] if w is None else w.capitalize() if m[0][0].isupper() else w
+
+        return _word.sub(one, text)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold = transducer().apply
+        for b in batches:
+            out = []
+            for source, page, key, text, marks in b[["source", "page_number", "row_id", "content", "marks"]].itertuples(index=False):
+                kinds: dict[int, set[str]] = {}
+                for m in marks if marks is not None else ():
+                    kinds.setdefault(m["line_no"], set()).add(m["kind"])
+                paras: list[str] = [""]
+                glue = False
+                for i, line in enumerate(text.split("\n"), 1):
+                    k = kinds.get(i, ())
+                    if "header" in k or "page_no" in k:
+                        continue
+                    line = fold(line).strip()
+                    if not line:
+                        if not glue and paras[-1]:
+                            paras.append("")
+                        continue
+                    paras[-1] += ("" if glue or not paras[-1] else " ") + line
+                    glue = "hyphen" in k
+                    if glue and paras[-1][-1] in MARKS:
+                        paras[-1] = paras[-1][:-1]
+                paras = [mend(p) for p in paras if p]
+                for n, p in enumerate(paras):
+                    cut = glue and n == len(paras) - 1
+                    out.append((source, page, key, n, p, cut, cut or p[-1] not in ".!?。！？।؟:;\"”»)", p[:1].islower()))
+            yield pd.DataFrame(out, columns=["source", "page_number", "row_id", "para", "text", "joined", "open", "lower"])
+
+    some = pages.where(F.col("row_id").isNotNull() & F.col("content").isNotNull()).join(marks, "row_id", "left")
+    return some.mapInPandas(run, "source string, page_number int, row_id bigint, para int, text string, joined boolean, open boolean, lower boolean")
+
+
+def paragraphs(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Continuous paragraphs of the pages: source, page_number (where it starts), row_id, para, n_parts, content.
+
+    Running lines and page numbers are left out, broken words joined, misread ones mended, lines reflowed.
+    A paragraph that ends openly at the foot of a page goes on with a first paragraph of the next one
+    that opens in lower case. Windows run over page ranges with a margin; what an earlier range hands
+    on is one row a range. ``pages``: each record once.
+    """
+    found, forms = noisy_lines(pages, blocks)
+    p = staged(_repaired(pages, found, forms).withColumn("range", F.floor(F.col("page_number") / PAGE_RANGE)))
+    last = p.groupBy("source", "page_number", "range", "row_id").agg(F.max_by(F.struct("open", "joined"), F.col("para")).alias("end"))
+    margin = last.where(F.pmod("page_number", F.lit(PAGE_RANGE)) >= PAGE_RANGE - 4).withColumn("range", F.col("range") + 1).withColumn("margin", F.lit(True))
+    order = Window.partitionBy("source", "range").orderBy("page_number", "row_id")
+    ends = last.withColumn("margin", F.lit(False)).unionByName(margin).withColumn("before", F.lag("end").over(order)).where("NOT margin").select("row_id", "before")
+    p = p.join(ends, "row_id").withColumn("goes_on", (F.col("para") == 0) & F.coalesce(F.col("before.open") & F.col("lower"), F.lit(False)))
+    start = F.when(~F.col("goes_on"), F.struct("page_number", "row_id", "para"))
+    within = Window.partitionBy("source", "range").orderBy("page_number", "row_id", "para").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("first", F.last(start, ignorenulls=True).over(within))
+    handed = p.groupBy("source", "range").agg(F.max(start).alias("start"))
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    handed = handed.select("source", "range", F.last("start", ignorenulls=True).over(earlier).alias("handed"))
+    p = p.join(handed, ["source", "range"], "left").withColumn("first", F.coalesce("first", "handed", F.struct("page_number", "row_id", "para")))
+    glue = F.when(F.col("goes_on"), F.when(F.col("before.joined"), F.lit("")).otherwise(F.lit(" "))).otherwise(F.lit(""))
+    parts = F.array_sort(F.collect_list(F.struct("page_number", "row_id", "para", F.concat(glue, F.col("text")).alias("t"))))
+    g = p.groupBy("source", "first").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("content"), F.count(F.lit(1)).alias("n_parts"))
+    return g.select("source", "first.page_number", "first.row_id", "first.para", "n_parts", "content")
