@@ -111,4 +111,4 @@ def mix_shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFr
     plan = plan_mix(sized, targets).select("source", "target_share")
     every = Window.partitionBy()
     out = plan.join(used, "source", "left").select("source", "target_share", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("max_copy", F.lit(0)).alias("max_copy"))
-    return out.withColumn("share", F.coalesce(F.col("tokens") / F.sum("tokens").over(every), F.lit(0.0)))
+    return out.withColumn("share", F.coalesce(F.col("tokens") / F.nullif(F.sum("tokens").over(every), F.lit(0)), F.lit(0.0)))
