@@ -364,8 +364,10 @@ def _repaired(pages: DataFrame, found: DataFrame, forms: DataFrame) -> DataFrame
                             paras.append("")
                         continue
                     paras[-1] += ("" if glue or not paras[-1] else " ") + line
-                    glue = "hyphen" in k
-                    if glue and paras[-1][-1] in MARKS:
+                    # A broken word loses the mark; a compound or a range keeps its hyphen, without a space.
+                    marked = paras[-1][-1] in MARKS and paras[-1][-2:-1].isalnum()
+                    glue = marked
+                    if marked and "hyphen" in k:
                         paras[-1] = paras[-1][:-1]
                 paras = [mend(p) for p in paras if p]
                 for n, p in enumerate(paras):
