@@ -11,7 +11,7 @@ from marginalia.functions.ids import parent_id, point_id
 from marginalia.functions.text import embedding_text, text_to_embed
 from marginalia.operators import chunking, dense, evaluation, quality, ranking, sparse
 from marginalia.operators.orphans import source_key
-from marginalia.plans.common import CHUNKS, EVIDENCE, PAGES, WS, blocks, chunks, evidence, pages, refs, s_key, s_strip, s_tokens
+from marginalia.plans.common import CHUNKS, EVIDENCE, PAGES, WS, blocks, chunks, evidence, pages, s_key, s_strip, s_tokens, s_words
 from marginalia.plugins import create, embed_column
 from marginalia.session import checkpoint_dir, staged
 from marginalia.sources.store import VectorStore
@@ -285,6 +285,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fi
     "sample_positions": "WITH " + CHUNKS + ", s AS (SELECT source, list_sort(list_distinct(list(chunk_index))) AS a FROM ch GROUP BY source) SELECT DISTINCT source, a[CAST(least(floor(len(a) * q), len(a) - 1) AS INTEGER) + 1] AS chunk_index FROM s, (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) v(q)",
     "ingest_counters": r"WITH x AS (SELECT 'pages' AS what, page_id AS id, source FROM doc_pages UNION SELECT 'blocks', block_id, source FROM blocks UNION SELECT 'refs', ref_id, source FROM refs UNION SELECT 'chunks', chunk_id, source FROM chunks), y AS (SELECT what, regexp_replace(source, '(?i)\.pdf$', '') AS source FROM x WHERE id IS NOT NULL AND source IS NOT NULL) SELECT source, count(*) FILTER (WHERE what = 'pages') AS pages, count(*) FILTER (WHERE what = 'blocks') AS blocks, count(*) FILTER (WHERE what = 'refs') AS refs, count(*) FILTER (WHERE what = 'chunks') AS chunks FROM y GROUP BY ROLLUP (source)",
     "list_sources": "WITH " + PAGES + " SELECT source, count(*) AS n_pages FROM pg GROUP BY source",
+    "point_ids": "WITH " + CHUNKS + ", h AS (SELECT chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || ':' || page_number || ':' || chunk_index)) AS d FROM ch) SELECT chunk_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || translate(substr(d, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS point_id FROM h",
+    "greedy_dedup": _BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f"""gc AS (SELECT query_id, rank, doc, score, content, list_distinct({s_words('lower(content)')}) AS ws FROM bm JOIN tk USING (doc) WHERE rank <= 15),
+gr AS (SELECT query_id, CAST(0 AS BIGINT) AS stp, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT query_id FROM gc) UNION ALL
+ SELECT gr.query_id, gr.stp + 1, CASE WHEN len(gr.kept) < 5 AND NOT EXISTS (SELECT 1 FROM gc o WHERE o.query_id = gr.query_id AND list_contains(gr.kept, o.doc) AND len(list_intersect(o.ws, c.ws)) >= 0.8 * len(list_distinct(list_concat(o.ws, c.ws)))) THEN list_append(gr.kept, c.doc) ELSE gr.kept END
+ FROM gr JOIN gc c ON c.query_id = gr.query_id AND c.rank = gr.stp + 1)
+SELECT query_id, CAST(u.i AS INTEGER) AS rank, kept[u.i] AS doc, gc.score FROM gr, unnest(range(1, len(kept) + 1)) AS u(i) JOIN gc ON gc.query_id = gr.query_id AND gc.doc = gr.kept[u.i] WHERE stp = 15""",
     "parent_ids": "WITH " + CHUNKS + " SELECT chunk_id, CASE WHEN len(section_path) > 0 THEN 'P-' || left(sha1(source || '::' || array_to_string(section_path, ' > ')), 12) END AS parent FROM ch",
     "embedding_texts": "WITH c AS (SELECT DISTINCT chunk_id, content, section_path, embedding_text FROM chunks WHERE chunk_id IS NOT NULL) SELECT chunk_id, md5(CASE WHEN len(section_path) > 0 THEN 'Section: ' || array_to_string(section_path, ' > ') || chr(10) || chr(10) || content ELSE content END) AS built, md5(coalesce(nullif(embedding_text, ''), content)) AS used FROM c",
     "upsert_merge": "WITH c AS (SELECT source, page_number, chunk_index, bool_or(chunk_id % 2 = 0) AS a, bool_or(chunk_id % 3 = 0) AS b FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1, 2, 3) SELECT source, count(*) AS points, count(*) FILTER (WHERE b) AS changed FROM c WHERE a OR b GROUP BY source",

@@ -171,4 +171,13 @@ ORACLES = {
     "parse_bracketed_refs": _W + REFS + f" SELECT source, number, {s_squeeze('content')} AS content FROM rf WHERE content IS NOT NULL",
     "latest_refs": _W + REFS + " SELECT * FROM rf",
     "reference_store_roundtrip": _W + REFS + " SELECT source AS stem, number, content FROM rf WHERE content IS NOT NULL",
+    "section_path": "WITH RECURSIVE " + BLOCKS + "," + _BODY + f""", hd AS (SELECT source, page_number, pos, {_HEAD} AS h, row_number() OVER (PARTITION BY source ORDER BY page_number, pos) AS k FROM ty WHERE kind = 'heading'),
+lv AS (SELECT *, regexp_extract(h, '^(\\d+(?:\\.\\d+)*)', 1) AS num FROM hd),
+wp AS (SELECT source, k, [h] AS path FROM lv WHERE k = 1 UNION ALL SELECT lv.source, lv.k, CASE WHEN num = '' THEN [h] ELSE list_append(wp.path[1 : len(string_split(num, '.')) - 1], h) END FROM wp JOIN lv ON lv.source = wp.source AND lv.k = wp.k + 1),
+bk AS (SELECT block_id, source, count(*) FILTER (WHERE kind = 'heading') OVER (PARTITION BY source ORDER BY page_number, pos ROWS UNBOUNDED PRECEDING) AS k FROM ty)
+SELECT block_id, coalesce(array_to_string(path, ' > '), '') AS path FROM bk LEFT JOIN wp USING (source, k)""",
+    "inline_headings": _W + BLOCKS + f""", b AS (SELECT block_id, CASE WHEN block_id % 7 = 0 THEN '2.1 Methods of test. ' || content ELSE content END AS content FROM bl WHERE content IS NOT NULL),
+l AS (SELECT block_id, list_filter(list_transform(string_split_regex(content, '\\r\\n|\\n|\\r'), lambda x: {s_strip('x')}), lambda x: x <> '') AS lines FROM b),
+p AS (SELECT block_id, flatten(list_transform(lines, lambda x: CASE WHEN regexp_matches(x, '{layout.INLINE_HEADING}') THEN [{s_strip(f"regexp_extract(x, '{layout.INLINE_HEADING}', 1)")}, {s_strip(f"regexp_extract(x, '{layout.INLINE_HEADING}', 2)")}] ELSE [x] END)) AS ps FROM l)
+SELECT block_id, CAST(u.i - 1 AS INTEGER) AS piece, ps[u.i] AS content FROM p, unnest(range(1, len(ps) + 1)) AS u(i)""",
 }
