@@ -290,7 +290,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fi
 gr AS (SELECT query_id, CAST(0 AS BIGINT) AS stp, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT query_id FROM gc) UNION ALL
  SELECT gr.query_id, gr.stp + 1, CASE WHEN len(gr.kept) < 5 AND NOT EXISTS (SELECT 1 FROM gc o WHERE o.query_id = gr.query_id AND list_contains(gr.kept, o.doc) AND len(list_intersect(o.ws, c.ws)) >= 0.8 * len(list_distinct(list_concat(o.ws, c.ws)))) THEN list_append(gr.kept, c.doc) ELSE gr.kept END
  FROM gr JOIN gc c ON c.query_id = gr.query_id AND c.rank = gr.stp + 1)
-SELECT query_id, CAST(u.i AS INTEGER) AS rank, kept[u.i] AS doc, gc.score FROM gr, unnest(range(1, len(kept) + 1)) AS u(i) JOIN gc ON gc.query_id = gr.query_id AND gc.doc = gr.kept[u.i] WHERE stp = 15""",
+SELECT gr.query_id, CAST(u.i AS INTEGER) AS rank, kept[u.i] AS doc, gc.score FROM gr, unnest(range(1, len(kept) + 1)) AS u(i) JOIN gc ON gc.query_id = gr.query_id AND gc.doc = gr.kept[u.i] WHERE stp = 15""",
     "parent_ids": "WITH " + CHUNKS + " SELECT chunk_id, CASE WHEN len(section_path) > 0 THEN 'P-' || left(sha1(source || '::' || array_to_string(section_path, ' > ')), 12) END AS parent FROM ch",
     "embedding_texts": "WITH c AS (SELECT DISTINCT chunk_id, content, section_path, embedding_text FROM chunks WHERE chunk_id IS NOT NULL) SELECT chunk_id, md5(CASE WHEN len(section_path) > 0 THEN 'Section: ' || array_to_string(section_path, ' > ') || chr(10) || chr(10) || content ELSE content END) AS built, md5(coalesce(nullif(embedding_text, ''), content)) AS used FROM c",
     "upsert_merge": "WITH c AS (SELECT source, page_number, chunk_index, bool_or(chunk_id % 2 = 0) AS a, bool_or(chunk_id % 3 = 0) AS b FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1, 2, 3) SELECT source, count(*) AS points, count(*) FILTER (WHERE b) AS changed FROM c WHERE a OR b GROUP BY source",
