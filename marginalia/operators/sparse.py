@@ -21,11 +21,12 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_size(corpus: DataFrame) -> tuple[int, float]:
-    """Number of documents and their average length in tokens: two numbers, whatever the corpus."""
-    t = corpus.where(F.col("content").isNotNull() & (strip(F.col("content")) != "")).select(F.size(tokens(F.col("content"))).alias("len"))
-    r = t.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avglen")).first()
-    return r.n, r.avglen
+def corpus_size(corpus: DataFrame, post: DataFrame) -> tuple[int, float]:
+    """Number of documents and their average length in tokens: two numbers, whatever the corpus. The
+    lengths come from the postings, so texts aren't taken apart again."""
+    n = corpus.where(F.col("content").isNotNull() & (strip(F.col("content")) != "")).count()
+    total = post.agg(F.sum("tf")).first()[0] or 0
+    return n, total / n if n else 0.0
 
 
 def idf(post: DataFrame, n: int) -> DataFrame:
@@ -45,7 +46,8 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     lower doc. A blank query, or one without tokens, has no result. The join is by term, and only
     postings of the queries' terms reach it.
     """
-    post, (n, avglen) = staged(postings(corpus)), corpus_size(corpus)
+    post = staged(postings(corpus))
+    n, avglen = corpus_size(corpus, post)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = asked.join(idf(post, n), "term")
     hits = post.join(asked, "term")

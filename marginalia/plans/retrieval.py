@@ -39,7 +39,8 @@ def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_idf(spark: SparkSession, sf: str) -> DataFrame:
     c = _corpus(spark, sf)
-    return sparse.idf(sparse.postings(c), sparse.corpus_size(c)[0]).select("term", "df", F.round("idf", 6).alias("idf"))
+    post = staged(sparse.postings(c))
+    return sparse.idf(post, sparse.corpus_size(c, post)[0]).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
