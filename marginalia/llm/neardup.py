@@ -101,13 +101,16 @@ def anchor_rows(tbl: np.ndarray, doc: np.ndarray, sets: list[list[int]]) -> dict
     bit = _mix(words)
     low = np.where(bit & np.uint64(64), np.uint64(0), np.uint64(1) << (bit & np.uint64(63)))
     high = np.where(bit & np.uint64(64), np.uint64(1) << (bit & np.uint64(63)) % np.uint64(48), np.uint64(0))
-    small_only = (n <= 12)[of]
-    low = np.where(small_only, np.uint64(1) << (bit & np.uint64(63)), low)
-    high = np.where(small_only, np.uint64(0), high)
     f1, f2 = np.bitwise_xor.reduceat(low, starts), np.bitwise_xor.reduceat(high, starts)
     f2 |= np.minimum(n, 32767).astype(np.uint64) << np.uint64(48)
 
-    large = np.flatnonzero(n > WIDE * NUM // DEN)
+    up = classes(int(n.max()))
+    tops = np.r_[up, int((up[-1] + 1) * GROWTH)]
+    own = np.searchsorted(up, n)
+    # The next class has partners only for sets within 4/5 of its smallest size.
+    visits_next = n * DEN >= (up[own] + 1) * NUM
+    # Distances bound the difference only if both rows have the wide fingerprint: it goes by the class.
+    large = np.flatnonzero(tops[own + visits_next] > WIDE)
     spot = np.full(len(n), -1)
     spot[large] = np.arange(len(large))
     wide = np.zeros((len(large), 8), np.uint64)
@@ -116,17 +119,12 @@ def anchor_rows(tbl: np.ndarray, doc: np.ndarray, sets: list[list[int]]) -> dict
     np.bitwise_xor.at(wide, (spot[of[of_large]], ((b512 >> np.uint64(6)) & np.uint64(7)).astype(np.int64)), np.uint64(1) << (b512 & np.uint64(63)))
     packed = [w.tobytes() for w in wide]
 
-    up = classes(int(n.max()))
-    own = np.searchsorted(up, n)
     keys, docs, visits, wides = [], [], [], []
     for step in (0, 1):
-        cls = own + step
-        # The next class has partners only for sets within 4/5 of its smallest size.
-        least = np.where(cls > 0, up[np.minimum(cls, len(up)) - 1] + 1, 1)
-        use = np.ones(len(n), bool) if step == 0 else n * DEN >= least * NUM
+        use = visits_next if step else np.ones(len(n), bool)
         if step and not use.any():
             continue
-        top = np.where(cls < len(up), up[np.minimum(cls, len(up) - 1)], ((up[-1] + 1) * GROWTH).astype(np.int64))
+        top = tops[own + step]
         d = 2 * top // 9
         few = top <= SMALL
         spare = np.where(few, 0, np.ceil((d + 1) * SPARE).astype(np.int64))

@@ -78,3 +78,14 @@ def test_hot_anchor_is_cut_into_blocks(monkeypatch):
         for j in range(i, at.max() + 1):
             cut |= {tuple(p) for p in (N.compare(x[at == i]) if i == j else N.compare(x[at == i], x[at == j]))}
     assert cut == whole
+
+
+def test_pairs_across_the_borders_of_layouts(spark):
+    r = random.Random(5)
+    rows = []
+    for small, large in [(11, 13), (12, 13), (12, 14), (12, 15), (104, 129), (104, 130), (103, 128), (105, 131)]:
+        for _ in range(6):
+            w = [f"{r.choice(['w', 'KX-', 'longer'])}{r.randrange(10**6)}" for _ in range(large)]
+            rows += [("x", len(rows), " ".join(w)), ("x", len(rows) + 1, " ".join(r.sample(w, small)))]
+    want = brute(rows)
+    assert len(want) == 48 and pairs(spark, rows) == want
