@@ -84,8 +84,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    p, b = _p6(spark, sf)
-    return scan_noise.paragraphs(once(p, "row_id"), b)
+    """Continuous paragraphs of both tables."""
+    p, _ = _p6(spark, sf)
+    b = read(spark, sf, "blocks", _P4_COLUMNS).withColumnRenamed("block_id", "row_id").withColumnRenamed("block_index", "pos")
+    return scan_noise.all_paragraphs(staged(once(p, "row_id")), staged(once(b, "row_id")))
 
 
 #: Limit and overlap in units of each table.

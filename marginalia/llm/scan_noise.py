@@ -19,6 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.llm.running_lines import at_edge, repeated_line_blocks
 from marginalia.llm.visual import transducer
 from marginalia.session import staged
 
@@ -326,11 +327,14 @@ def noisy_lines(pages: DataFrame, blocks: DataFrame, *, min_pages: int = 3, min_
     return found, forms
 
 
-def _repaired(pages: DataFrame, found: DataFrame, forms: DataFrame) -> DataFrame:
-    """Paragraphs within pages: source, page_number, row_id, para, text, joined (ends inside a broken word),
-    open (ends without a final mark), lower (opens in lower case)."""
-    spark = pages.sparkSession
-    marks = found.where("tbl = 'doc_pages'").groupBy("row_id").agg(F.collect_set(F.struct("line_no", "kind")).alias("marks"))
+def _repaired(texts: DataFrame, found: DataFrame, forms: DataFrame) -> DataFrame:
+    """Paragraphs within the records of one table: source, page_number, pos, row_id, para, text, joined (ends
+    inside a broken word), open (ends without a final mark), lower (opens in lower case).
+
+    ``texts``: row_id, source, page_number, pos, content, each record once; ``found``: their noisy lines.
+    """
+    spark = texts.sparkSession
+    marks = found.groupBy("row_id").agg(F.collect_set(F.struct("line_no", "kind")).alias("marks"))
     if forms.count() > LOOKUP_FORMS:
         raise ValueError("the repair of paragraphs looks up misread forms in memory: raise LOOKUP_FORMS")
     shared = spark.sparkContext.broadcast(dict(forms.collect()))
@@ -348,11 +352,13 @@ def _repaired(pages: DataFrame, found: DataFrame, forms: DataFrame) -> DataFrame
         fold = transducer().apply
         for b in batches:
             out = []
-            for source, page, key, text, marks in b[["source", "page_number", "row_id", "content", "marks"]].itertuples(index=False):
+            for source, page, pos, key, text, marks in b[["source", "page_number", "pos", "row_id", "content", "marks"]].itertuples(index=False):
                 kinds: dict[int, set[str]] = {}
                 for m in marks if marks is not None else ():
                     kinds.setdefault(m["line_no"], set()).add(m["kind"])
                 paras: list[str] = [""]
+                # Paragraphs that may hold misread forms: by their lines, or in words over two lines.
+                mending: set[int] = set()
                 glue = False
                 for i, line in enumerate(text.split("\n"), 1):
                     k = kinds.get(i, ())
@@ -367,41 +373,85 @@ def _repaired(pages: DataFrame, found: DataFrame, forms: DataFrame) -> DataFrame
                     # A broken word loses the mark; a compound or a range keeps its hyphen, without a space.
                     marked = paras[-1][-1] in MARKS and paras[-1][-2:-1].isalnum()
                     glue = marked
+                    if marked or "misread" in k:
+                        mending.add(len(paras) - 1)
                     if marked and "hyphen" in k:
                         paras[-1] = paras[-1][:-1]
-                paras = [mend(p) for p in paras if p]
+                paras = [mend(p) if n in mending else p for n, p in enumerate(paras) if p]
                 for n, p in enumerate(paras):
                     cut = glue and n == len(paras) - 1
-                    out.append((source, page, key, n, p, cut, cut or p[-1] not in ".!?。！？।؟:;\"”»)", p[:1].islower()))
-            yield pd.DataFrame(out, columns=["source", "page_number", "row_id", "para", "text", "joined", "open", "lower"])
+                    out.append((source, page, pos, key, n, p, cut, cut or p[-1] not in ".!?。！？।؟:;\"”»)", p[:1].islower()))
+            yield pd.DataFrame(out, columns=["source", "page_number", "pos", "row_id", "para", "text", "joined", "open", "lower"])
 
-    some = pages.where(F.col("row_id").isNotNull() & F.col("content").isNotNull()).join(marks, "row_id", "left")
-    return some.mapInPandas(run, "source string, page_number int, row_id bigint, para int, text string, joined boolean, open boolean, lower boolean")
+    some = texts.where(F.col("row_id").isNotNull() & F.col("content").isNotNull()).join(marks, "row_id", "left")
+    return some.mapInPandas(run, "source string, page_number int, pos int, row_id bigint, para int, text string, joined boolean, open boolean, lower boolean")
 
 
-def paragraphs(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Continuous paragraphs of the pages: source, page_number (where it starts), row_id, para, n_parts, content.
+def _continuous(repaired: DataFrame) -> DataFrame:
+    """Paragraphs of ``_repaired`` put together over records in the order page_number, pos, row_id: source,
+    page_number, row_id, para (where it starts), n_parts, content.
 
-    Running lines and page numbers are left out, broken words joined, misread ones mended, lines reflowed.
-    A paragraph that ends openly at the foot of a page goes on with a first paragraph of the next one
-    that opens in lower case. Windows run over page ranges with a margin; what an earlier range hands
-    on is one row a range. ``pages``: each record once.
+    One that ends openly at the end of a record goes on with a first paragraph of the next record that
+    opens in lower case. Windows run over page ranges with a margin; what an earlier range hands on
+    is one row a range. Nothing goes on from a null source or page.
     """
-    found, forms = noisy_lines(pages, blocks)
-    p = staged(_repaired(pages, found, forms).withColumn("range", F.floor(F.col("page_number") / PAGE_RANGE)))
-    last = p.groupBy("source", "page_number", "range", "row_id").agg(F.max_by(F.struct("open", "joined"), F.col("para")).alias("end"))
+    p = staged(repaired.withColumn("range", F.floor(F.col("page_number") / PAGE_RANGE)))
+    last = p.groupBy("source", "page_number", "pos", "range", "row_id").agg(F.max_by(F.struct("open", "joined"), F.col("para")).alias("end"))
     margin = last.where(F.pmod("page_number", F.lit(PAGE_RANGE)) >= PAGE_RANGE - 4).withColumn("range", F.col("range") + 1).withColumn("margin", F.lit(True))
-    order = Window.partitionBy("source", "range").orderBy("page_number", "row_id")
+    order = Window.partitionBy("source", "range").orderBy("page_number", "pos", "row_id")
     ends = last.withColumn("margin", F.lit(False)).unionByName(margin).withColumn("before", F.lag("end").over(order)).where("NOT margin").select("row_id", "before")
-    p = p.join(ends, "row_id").withColumn("goes_on", (F.col("para") == 0) & F.coalesce(F.col("before.open") & F.col("lower"), F.lit(False)))
-    start = F.when(~F.col("goes_on"), F.struct("page_number", "row_id", "para"))
-    within = Window.partitionBy("source", "range").orderBy("page_number", "row_id", "para").rowsBetween(Window.unboundedPreceding, 0)
+    placed = F.col("source").isNotNull() & F.col("page_number").isNotNull()
+    p = p.join(ends, "row_id").withColumn("goes_on", placed & (F.col("para") == 0) & F.coalesce(F.col("before.open") & F.col("lower"), F.lit(False)))
+    at = F.struct("page_number", "pos", "row_id", "para")
+    start = F.when(~F.col("goes_on"), at)
+    within = Window.partitionBy("source", "range").orderBy("page_number", "pos", "row_id", "para").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("first", F.last(start, ignorenulls=True).over(within))
     handed = p.groupBy("source", "range").agg(F.max(start).alias("start"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     handed = handed.select("source", "range", F.last("start", ignorenulls=True).over(earlier).alias("handed"))
-    p = p.join(handed, ["source", "range"], "left").withColumn("first", F.coalesce("first", "handed", F.struct("page_number", "row_id", "para")))
+    p = p.join(handed, ["source", "range"], "left").withColumn("first", F.coalesce("first", "handed", at))
     glue = F.when(F.col("goes_on"), F.when(F.col("before.joined"), F.lit("")).otherwise(F.lit(" "))).otherwise(F.lit(""))
-    parts = F.array_sort(F.collect_list(F.struct("page_number", "row_id", "para", F.concat(glue, F.col("text")).alias("t"))))
+    parts = F.array_sort(F.collect_list(F.struct("page_number", "pos", "row_id", "para", F.concat(glue, F.col("text")).alias("t"))))
     g = p.groupBy("source", "first").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("content"), F.count(F.lit(1)).alias("n_parts"))
     return g.select("source", "first.page_number", "first.row_id", "first.para", "n_parts", "content")
+
+
+def _page_paragraphs(pages: DataFrame, found: DataFrame, forms: DataFrame) -> DataFrame:
+    return _continuous(_repaired(pages.withColumn("pos", F.lit(0)), found.where("tbl = 'doc_pages'"), forms))
+
+
+def paragraphs(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Continuous paragraphs of the pages: source, page_number (where it starts), row_id, para, n_parts, content.
+
+    Running lines and page numbers are left out, broken words joined, misread ones mended, lines reflowed.
+    ``pages``: each record once. ``blocks`` only add to the counts of words.
+    """
+    return _page_paragraphs(pages, *noisy_lines(pages, blocks))
+
+
+def _running_text(blocks: DataFrame) -> DataFrame:
+    """``blocks`` without those that are repeated lines (as in p4) or nothing but their page's number, at
+    the page's edge or where y0 is unknown."""
+    lines = blocks.select(F.col("row_id").alias("block_id"), "source", "page_number", F.col("pos").alias("block_index"), "content", "y0", "page_height")
+    gone = repeated_line_blocks(lines).distinct().withColumnRenamed("block_id", "row_id")
+
+    @F.pandas_udf("boolean")
+    def number(content: pd.Series, page: pd.Series) -> pd.Series:
+        return pd.Series([c is not None and len(c) < 48 and is_page_number(c, None if n != n else int(n)) for c, n in zip(content, page.astype(float), strict=True)], dtype=bool)
+
+    edge = F.coalesce(at_edge(F.col("y0"), F.col("page_height")), F.lit(True))
+    short = blocks.where(edge & (F.length("content") < 48) & F.col("page_number").isNotNull())
+    gone = gone.unionByName(short.where(number("content", "page_number")).select("row_id"))
+    return blocks.join(gone, "row_id", "left_anti")
+
+
+def all_paragraphs(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Continuous paragraphs of both tables: tbl, source, page_number (where it starts), row_id, para, n_parts, content.
+
+    ``pages``: as in ``paragraphs``. ``blocks``: row_id, source, page_number, pos, content, y0, page_height; a block
+    is at least one paragraph, blocks of repeated lines and page numbers are left out. Each record once.
+    """
+    found, forms = noisy_lines(pages, blocks)
+    of_blocks = _continuous(_repaired(_running_text(blocks), found.where("tbl = 'blocks'"), forms))
+    of_pages = _page_paragraphs(pages, found, forms)
+    return of_pages.select(F.lit("doc_pages").alias("tbl"), "*").unionByName(of_blocks.select(F.lit("blocks").alias("tbl"), "*"))

@@ -34,6 +34,28 @@ def test_lines_and_paragraphs(spark):
     assert text[6, 2] == "The polymer oscillates with a signal-to-noise ratio and it oscillates again under load."
 
 
+def test_paragraphs_of_blocks(spark):
+    columns = f"{BLOCK}, y0 double, page_height double"
+    rows = [(p, "s", p, 0, f"Tests, Vol. {p}", 2.0, 100.0) for p in range(1, 7)]
+    rows += [(10, "s", 2, 1, "The polymer\noscillates. " * 15 + "A signal-to-noise ratio.", 40.0, 100.0)]
+    rows += [(11, "s", 2, 2, "A polyrner that oscil-\nlates is a poly-", 60.0, 100.0), (12, "s", 2, 3, "Page 2", None, None), (13, "s", 2, 4, "ii", 97.0, 100.0)]
+    rows += [(14, "s", 3, 1, "mer that rests under", 30.0, 100.0), (15, "s", 3, 2, "signal-\nto-noise load.", 50.0, 100.0), (16, "s", 3, 3, "3", 50.0, 100.0)]
+    rows += [(17, None, 3, 1, "no source and", 50.0, 100.0), (18, None, 3, 2, "nothing goes on", 50.0, 100.0), (19, "s", 4, 1, None, 50.0, 100.0), (None, "s", 4, 2, "x", 50.0, 100.0)]
+    # Over the border of page ranges.
+    rows += [(20, "r", S.PAGE_RANGE - 1, 5, "The first part and", 50.0, 100.0), (21, "r", S.PAGE_RANGE, 0, "the second part.", 50.0, 100.0)]
+    pages = [(10, "s", 2, "Only a page.", "x")]
+    got = {(r.tbl, r.row_id): (r.page_number, r.n_parts, r.content) for r in S.all_paragraphs(spark.createDataFrame(pages, PAGE), spark.createDataFrame(rows, columns)).collect()}
+    assert got == {
+        ("doc_pages", 10): (2, 1, "Only a page."),
+        ("blocks", 10): (2, 1, "The polymer oscillates. " * 15 + "A signal-to-noise ratio."),
+        ("blocks", 11): (2, 3, "A polymer that oscillates is a polymer that rests under signal-to-noise load."),
+        ("blocks", 16): (3, 1, "3"),
+        ("blocks", 17): (3, 1, "no source and"),
+        ("blocks", 18): (3, 1, "nothing goes on"),
+        ("blocks", 20): (S.PAGE_RANGE - 1, 2, "The first part and the second part."),
+    }
+
+
 def test_empty_tables(spark):
     found, forms = S.noisy_lines(spark.createDataFrame([], PAGE), spark.createDataFrame([], BLOCK))
     assert found.count() == 0 and forms.count() == 0
