@@ -11,6 +11,8 @@ from the second level on.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,26 +47,25 @@ def support_table(blocks: DataFrame, min_pages: int, min_share: float) -> DataFr
     return pages.select("source", F.greatest(F.lit(min_pages), F.ceil(F.lit(min_share) * F.col("pages") - F.lit(1e-9))).cast("long").alias("least"))
 
 
-def prefix_span(lines: DataFrame, support: DataFrame, max_length: int = 3) -> DataFrame:
+def prefix_span(lines: DataFrame, support: DataFrame, max_length: int | None = None) -> DataFrame:
     """Frequent sequences per source: source, sequence (array of line ids), pages.
 
     ``lines``: source, page_number, pos, line. A sequence is supported by a page where its lines
-    stand in this order, with or without others between. ``max_length`` bounds the length of the
-    sequences that are reported; what is deleted doesn't depend on it, because every line of a
-    frequent sequence is itself a frequent sequence of length one.
+    stand in this order, with or without others between. Sequences grow until none is frequent, at
+    the latest at the number of frequent lines a page holds; a ``max_length`` stops them earlier.
     """
     db = lines.where(F.col("page_number").isNotNull() & F.col("pos").isNotNull()).select("source", "page_number", "pos", "line")
     first = db.groupBy("source", "page_number", "line").agg(F.min("pos").alias("end"))
     counted = first.groupBy("source", "line").agg(F.count(F.lit(1)).alias("pages"))
     one = staged(counted.join(support, "source").where("pages >= least").select("source", F.array("line").alias("sequence"), "pages", "least"))
     found = one.select("source", "sequence", "pages")
-    if max_length < 2 or one.isEmpty():
+    if max_length == 1 or one.isEmpty():
         return found
     items = one.select("source", F.col("sequence")[0].alias("line"))
     db = staged(db.join(items, ["source", "line"], "left_semi"))
     # Occurrences of the frequent sequences: the earliest end on each page.
     ends = first.join(items, ["source", "line"], "left_semi").select("source", "page_number", F.array("line").alias("sequence"), "end")
-    for _ in range(max_length - 1):
+    for _ in count() if max_length is None else range(max_length - 1):
         grown = (
             ends.join(db, ["source", "page_number"])
             .where("pos > end")
@@ -84,7 +85,8 @@ def repeated_line_blocks(blocks: DataFrame, *, min_pages: int = 3, min_share: fl
     """Block ids of the occurrences of frequent sequences (single lines included).
 
     An occurrence counts at the edge, or where y0 is unknown (null). Null sources, contents and
-    block ids give no case; an empty content is a line like any other. Each record once.
+    block ids give no case; an empty content is a line like any other. Each record once. The result
+    doesn't depend on ``max_length``: every line of a frequent sequence is one of length one.
     Extra columns are ignored; empty tables give an empty result.
     """
     lines = staged(edge_lines(blocks))

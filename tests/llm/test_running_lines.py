@@ -62,6 +62,14 @@ def test_sequences_against_brute_force(spark):
     assert sorted(len(r.sequence) for r in found) == sorted(len(k[1]) for k in want) and sorted(r.pages for r in found) == sorted(want.values())
 
 
+def test_sequences_of_any_length(spark):
+    lines = ["Head", "Volume 1", "Foot", "Notice", "Page 1"]
+    rows = [(9 * p + k, "a", p, k, c, 1.0 if k < 2 else 99.0, 100.0, "x") for p in range(1, 5) for k, c in enumerate(lines)]
+    df = spark.createDataFrame(rows, BLOCK)
+    found = R.prefix_span(R.edge_lines(df).where("edge"), R.support_table(df, 3, 0.3)).collect()
+    assert sorted(len(r.sequence) for r in found) == sorted(n for n in range(1, 6) for _ in combinations(lines, n)) and {r.pages for r in found} == {4}
+
+
 def test_empty_and_clean(spark):
     df = spark.createDataFrame([], BLOCK)
     assert R.repeated_line_blocks(df).count() == 0 and R.without_repeated_lines(df).count() == 0
