@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 The sequence of the mix consists of slots of ``block_tokens`` tokens. Slot i has the point
-frac(i * golden ratio), which falls into one source's stretch of the cumulative weights: any run
-of slots holds each source close to its share. A source's documents, shuffled (once for each
+frac(i * golden ratio), which falls into one source's stretch of the cumulative numbers of blocks: any
+run of slots holds each source close to its share. The schedule is as long as it takes to give every
+source a slot for each of its blocks; surplus slots stay empty. A source's documents, shuffled (once for each
 repetition), are laid end to end and cut into blocks of equal tokens; its k-th slot takes its
 k-th block.
 
@@ -13,6 +14,7 @@ source with a third of all documents is no single task.
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,19 +83,26 @@ def mix(sized: DataFrame, targets: DataFrame, *, total_tokens: int | None = None
     rows = plan.where("wanted > 0").orderBy("source").collect()
     if block_tokens is None:
         block_tokens = min(MOST_BLOCK, max(LEAST_BLOCK, sum(r.wanted for r in rows) // BLOCKS))
-    slots = sum(math.ceil(r.wanted / block_tokens) for r in rows)
-    edges, at = [], 0.0
-    for r in rows:
-        edges.append((at, r.source))
-        at += r.weight
+    blocks = {r.source: math.ceil(r.wanted / block_tokens) for r in rows}
+    slots = sum(blocks.values())
     point = (F.col("slot") * F.lit(GOLDEN)) % 1.0
     if rows:
-        marks = F.array(*[F.lit(e) for e, _ in edges])
-        names = F.array(*[F.lit(s) for _, s in edges])
+        marks = F.array(*[F.lit(n / slots) for n in accumulate([0, *blocks.values()][:-1])])
+        names = F.array(*[F.lit(s) for s in blocks])
         of = F.element_at(names, F.size(F.filter(marks, lambda e: e <= point)))
     else:
         of = F.lit(None).cast("string")
-    s = spark.range(slots).withColumnRenamed("id", "slot").withColumn("source", of).withColumn("range", F.floor(F.col("slot") * RANGES / F.lit(max(1, slots))))
+
+    def dealt(n: int) -> DataFrame:
+        return spark.range(n).withColumnRenamed("id", "slot").withColumn("source", of)
+
+    # Points near their shares aren't exactly there: the schedule goes on until no source lacks a slot.
+    while rows:
+        got = {r.source: r["count"] for r in dealt(slots).groupBy("source").count().collect()}
+        if all(got.get(s, 0) >= n for s, n in blocks.items()):
+            break
+        slots += max(1, slots // 8)
+    s = dealt(slots).withColumn("range", F.floor(F.col("slot") * RANGES / F.lit(max(1, slots))))
     s = _running(s.withColumn("one", F.lit(1)), "source", ["slot"], "one", "block").select("slot", "source", "block")
 
     d = sized.where("tokens > 0").join(F.broadcast(plan.where("wanted > 0").select("source", "available", "max_repeats", "wanted")), "source")

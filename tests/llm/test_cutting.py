@@ -59,6 +59,19 @@ def test_mix_reaches_shares_within_caps(spark):
     assert {r.source: r.tokens for r in big}["b"] == 6000
 
 
+def test_mix_holds_every_planned_document(spark):
+    weights = [0.31, 0.2, 0.17, 0.11, 0.07, 0.05, 0.04, 0.03, 0.015, 0.005]
+    docs = [(1000 * k + i, f"s{k}", 100) for k, w in enumerate(weights) for i in range(round(1000 * w))]
+    sized = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([(f"s{k}", w, 1 + k % 2) for k, w in enumerate(weights)], "source string, target_share double, max_repeats int")
+    for total in (None, 120_000):
+        wanted = {r.source: r.wanted for r in mixture.plan_mix(sized, targets, total).collect()}
+        rows = mixture.mix(sized, targets, total_tokens=total, block_tokens=700).collect()
+        got = {s: sum(r.tokens for r in rows if r.source == s) for s in wanted}
+        assert len({(r.doc_id, r.copy) for r in rows}) == len(rows) and len({(r.slot, r.block) for r in rows}) == len({r.slot for r in rows})
+        assert all(wanted[s] <= got[s] < wanted[s] + 100 for s in wanted), (wanted, got)
+
+
 def test_empty_mix(spark):
     sized = spark.createDataFrame([], "doc_id bigint, source string, tokens bigint")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
