@@ -382,9 +382,11 @@ def near_duplicate_pairs(texts: DataFrame) -> DataFrame:
     """tbl, id_a < id_b: records with at least 80 % of their words in common.
 
     ``texts``: tbl, id, content; rows may recur and count once. Null, empty and blank contents and
-    null ids never count. Between different texts no pair is lost: each record is paired with the
+    null ids never count. Between different texts no link is lost: each record is paired with the
     first ``COPIES`` records of the other text. Within a class of equal texts each record is paired
-    with the first ``COPIES`` ones, so a class of n records has at most COPIES * n pairs.
+    with the first ``COPIES`` ones, so a class of n records has at most COPIES * n pairs. Pairs of
+    records that both stand behind the first ``COPIES``, of one text or of two linked ones, aren't given
+    singly; ``near_duplicate_groups`` has both records in one group and counts the link in n_links.
     """
     members = staged(_members(texts))
     reps = staged(_first_ids(members))
