@@ -115,6 +115,13 @@ def clean_text(c: Column) -> Column:
     return normalize_paragraphs(dehyphenate(F.regexp_replace(t, r"\r\n?", "\n")))
 
 
+def clean_lines(c: Column) -> Column:
+    """NFKC, each line squeezed, blank lines dropped; lines stay lines."""
+    t = F.when(c.rlike(r"[^\x00-\x7f]"), nfkc(c)).otherwise(c)
+    lines = F.transform(F.split(t, "\n"), lambda x: strip(F.regexp_replace(x, r"[ \t]+", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
 def embedding_text(content: Column, path: Column) -> Column:
     """What is embedded: the section path before the content, where there is one."""
     return F.when(F.size(F.coalesce(path, F.array())) > 0, F.concat(F.lit("Section: "), F.array_join(path, " > "), F.lit("\n\n"), content)).otherwise(content)

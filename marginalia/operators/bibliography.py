@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import strip
+from marginalia.operators.running import running
 
 # The heading of a bibliography with its first entry, and the marks of entries.
 CUT = r"(?i)\bReferences\s*(?=(?:\[\d+\]|\d+[.)]))"
@@ -25,7 +26,7 @@ def main_pages(pages: DataFrame) -> DataFrame:
     marked = pages.withColumn("at", at)
     cut = marked.where("at > 0").groupBy("source").agg(F.min("page_number").alias("cut"))
     p = marked.join(cut, "source", "left").where("cut IS NULL OR page_number <= cut")
-    p = p.withColumn("content", F.when(F.col("page_number") == F.col("cut"), F.expr("substring(content, 1, at - 1)")).otherwise(F.col("content")))
+    p = p.withColumn("content", F.when(F.col("page_number") == F.col("cut"), strip(F.expr("substring(content, 1, at - 1)"))).otherwise(F.col("content")))
     return p.where((F.col("cut").isNull()) | (F.col("page_number") < F.col("cut")) | (strip(F.col("content")) != "")).drop("at", "cut")
 
 
@@ -40,7 +41,7 @@ def bracketed(text: Column) -> Column:
     """array<struct<number, content>> of entries ``[n] ...``."""
     n = F.regexp_extract_all(text, F.lit(BRACKETED), F.lit(1))
     c = F.regexp_extract_all(text, F.lit(BRACKETED), F.lit(2))
-    return F.zip_with(n, c, lambda x, y: F.struct(x.cast("int").alias("number"), strip(y).alias("content")))
+    return F.filter(F.zip_with(n, c, lambda x, y: F.struct(x.cast("int").alias("number"), strip(y).alias("content"))), lambda e: e["content"] != "")
 
 
 def clean_entry(c: Column) -> Column:
@@ -51,33 +52,51 @@ def clean_entry(c: Column) -> Column:
     return strip(t)
 
 
-def plain(text: Column) -> Column:
-    """array<struct<number, content>> of entries ``n. ...`` or ``n) ...``, in sequence 1, 2, 3...
+def entries(texts: DataFrame) -> DataFrame:
+    """source, number, content of the entries in whole texts (source, text): the bracketed style if it gives any,
+    else the plain one. Entries without content are left out; texts without a bibliography give none.
 
-    A mark counts only if its number is the next expected one; others belong to the entry before.
+    Plain marks count only in sequence: a mark whose number isn't the next expected one belongs to the entry
+    before. One fold keeps the places of those that count; the contents are cut from the pieces between marks.
     """
-    marks = F.regexp_extract_all(text, F.lit(PLAIN), F.lit(0))
-    gaps = F.split(text, PLAIN, -1)
-    empty = F.array().cast("array<struct<number:int,content:string>>")
-    start = F.struct(F.lit(1).alias("next"), empty.alias("done"))
-
-    def step(acc, x):  # noqa: ANN001, ANN202
-        n = F.regexp_extract(x["m"], r"\d+", 0).cast("int")
+    t = texts.withColumn("_b", bibliography_text(F.col("text"))).where("_b IS NOT NULL").withColumn("_bracketed", bracketed(F.col("_b")))
+    # Steps of their own: what is used at several places is computed once.
+    t = t.withColumn("_plain", F.when(F.size("_bracketed") == 0, F.col("_b")))
+    t = t.withColumns({"_marks": F.regexp_extract_all("_plain", F.lit(PLAIN), F.lit(0)), "_gaps": F.split("_plain", PLAIN, -1)})
+    t = t.withColumns({"_n": F.transform("_marks", lambda m: F.regexp_extract(m, r"\d+", 0).cast("int")), "_pieces": F.zip_with("_marks", F.slice("_gaps", 2, F.size("_gaps")), lambda m, x: F.concat(m, x))})
+    start = F.struct(F.lit(1).alias("next"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("kept"))
+
+    def step(acc, n):  # noqa: ANN001, ANN202
         fits = n == acc["next"]
-        last = F.element_at(acc["done"], -1)
-        longer = F.concat(F.slice(acc["done"], 1, F.size(acc["done"]) - 1), F.array(F.struct(last["number"].alias("number"), F.concat(last["content"], x["m"], x["t"]).alias("content"))))
-        done = F.when(fits, F.concat(acc["done"], F.array(F.struct(n.alias("number"), x["t"].alias("content"))))).when(F.size(acc["done"]) > 0, longer).otherwise(acc["done"])
-        return F.struct(F.when(fits, acc["next"] + 1).otherwise(acc["next"]).alias("next"), done.alias("done"))
+        return F.struct(F.when(fits, acc["next"] + 1).otherwise(acc["next"]).alias("next"), (acc["i"] + 1).alias("i"), F.when(fits, F.concat(acc["kept"], F.array(acc["i"]))).otherwise(acc["kept"]).alias("kept"))
+
+    t = t.withColumn("_kept", F.aggregate("_n", start, step, lambda acc: acc["kept"]))
+    # Entry k runs from the k-th mark kept to the next one kept.
+    t = t.withColumn("_cuts", F.transform("_kept", lambda at, k: F.struct((k + 1).alias("number"), at.alias("at"), F.coalesce(F.get("_kept", k + 1), F.size("_marks")).alias("end"))))
+    content = lambda c: clean_entry(F.concat(F.get("_gaps", c["at"] + 1), F.array_join(F.slice("_pieces", c["at"] + 2, c["end"] - c["at"] - 1), "")))
+    in_order = F.transform("_cuts", lambda c: F.struct(c["number"].alias("number"), content(c).alias("content")))
+    both = F.when(F.size("_bracketed") > 0, F.col("_bracketed")).otherwise(in_order)
+    return t.select("source", F.explode(both).alias("e")).select("source", "e.number", "e.content").where("content <> ''")
 
-    pairs = F.zip_with(marks, F.slice(gaps, 2, F.size(gaps)), lambda m, t: F.struct(m.alias("m"), t.alias("t")))
-    done = F.aggregate(pairs, start, step, lambda acc: acc["done"])
-    return F.filter(F.transform(done, lambda x: F.struct(x["number"].alias("number"), clean_entry(x["content"]).alias("content"))), lambda x: x["content"] != "")
 
+def bibliography_texts(pages: DataFrame) -> DataFrame:
+    """source, text: the pages from the one where the bibliography starts, joined by line breaks.
 
-def parse(text: Column) -> Column:
-    """Entries of a whole text: the bracketed style if it gives any, else the plain one."""
-    b = bibliography_text(text)
-    return F.when(F.size(bracketed(b)) > 0, bracketed(b)).otherwise(plain(b))
+    The heading may stand at the end of a page and its first entry on the next one. Only pages from there on
+    are put together; the places are found by narrow running values, not by sorting whole pages.
+    """
+    p = pages.where("source IS NOT NULL AND page_number IS NOT NULL AND content IS NOT NULL").select("source", "page_number", "content")
+    m = p.select("source", "page_number", (-F.col("page_number")).alias("back"), F.regexp_instr("content", F.lit(HEADING)).alias("at"), F.regexp_extract("content", r"(?i)\bReferences\s*\z", 0).alias("tail"), F.substring("content", 1, 64).alias("head"))
+    m = running(m, {"next": ("last", F.col("head"))}, ("back",), inclusive=False)
+    here = (F.col("at") > 0) | ((F.col("tail") != "") & F.concat(F.col("tail"), F.lit("\n"), F.coalesce("next", F.lit(""))).rlike(HEADING))
+    cut = m.where(here).groupBy("source").agg(F.min("page_number").alias("cut"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "content"))), lambda x: x["content"])
+    return p.join(cut, "source").where("page_number >= cut").groupBy("source").agg(F.array_join(parts, "\n").alias("text"))
+
+
+def references(pages: DataFrame) -> DataFrame:
+    """source, number, content of the bibliographies of pages (source, page_number, content)."""
+    return entries(bibliography_texts(pages))
 
 
 def stem(source: Column) -> Column:

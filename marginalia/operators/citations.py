@@ -14,9 +14,10 @@ from marginalia.functions.text import sentences_strict, squeeze, strip
 NUMERIC = r"\[([0-9,\-\s]+)\]"
 NORMALIZED = r"(?i)\[[^\]]+?\.pdf,\s*ref\s+\d+\]"
 CITED = r"(?i)\[([^\]]+?\.pdf),\s*ref\s+(\d+)\]"
-AFTER_MARK = r"(?i)([.!?])\s+((?:\[[^\]]+?\.pdf,\s*ref\s+\d+\]\s*)+)(?=[A-Z0-9])"
+_ONE = r"\[[^\]]+?\.pdf,\s*ref\s+\d+\]"
+AFTER_MARK = rf"(?iU)([.!?])\s+((?:{_ONE}\s*)*{_ONE})\s*(?=[A-Z0-9])"
 GROUP = r"\[\s*(E\d+(?:\s*[,;]\s*E\d+)*)\s*\]"
-RENDERED = r"\[[^\]]+, (?:ref|page) \d+\]"
+RENDERED = r"(?iU)\[[^\[\]]+?\.pdf,\s*(?:ref\s+\d+|page\s+\d+)\]"
 
 
 def replace_matches(text: Column, pattern: str, f: Callable[[Column], Column]) -> Column:
@@ -52,11 +53,12 @@ def normalize(text: Column, source: Column, known: Column) -> Column:
 
 
 def before_marks(text: Column) -> Column:
-    """Citations behind a final mark go before it; a second pass is a safeguard for adjacent ones."""
-    for _ in range(2):
-        text = F.regexp_replace(text, AFTER_MARK, " $2$1 ")
-        text = F.regexp_replace(text, r"\]\s+([.!?]) (?=[A-Za-z0-9])", "]$1 ")
-    return text
+    """Citations behind a final mark, with more text after them, go before it.
+
+    One pass reaches the fixpoint: moved citations are followed by the mark, never by a letter or digit,
+    so no run of citations that holds a moved one fits again, and every other one was met.
+    """
+    return F.regexp_replace(text, AFTER_MARK, " $2$1 ")
 
 
 def cited(text: Column) -> Column:
@@ -89,7 +91,8 @@ def render(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """answers (query_id, answer) with ``rendered``: groups like [E1, E2] become citations.
 
     A group with any unknown id stays. References are preferred to the page; repeated citations of a
-    group count once, and in runs with white space between also regardless of letter case.
+    group count once, and in runs with white space between also regardless of letter case, the first
+    spelling staying. Citations name a .pdf, in any case of letters.
     """
     pages = F.concat(F.lit("["), F.col("source"), F.lit(", page "), F.col("page_number"), F.lit("]"))
     refs = F.transform("reference_numbers", lambda n: F.concat(F.lit("["), F.col("source"), F.lit(", ref "), n, F.lit("]")))
@@ -109,7 +112,7 @@ def render(answers: DataFrame, evidence: DataFrame) -> DataFrame:
         return F.array_join(F.filter(cites, lambda c, i: F.array_position(low, F.lower(c)) == i + 1), " ")
 
     text = replace_matches(F.col("answer"), GROUP, group)
-    return a.withColumn("rendered", text).withColumn("rendered", replace_matches(F.col("rendered"), f"{RENDERED}(?:\\s+{RENDERED})+", run)).drop("known")
+    return a.withColumn("rendered", text).withColumn("rendered", replace_matches(F.col("rendered"), f"{RENDERED}(?:\\s+{RENDERED[5:]})+", run)).drop("known")
 
 
 def final_bibliography(answers: DataFrame, refs: DataFrame) -> DataFrame:

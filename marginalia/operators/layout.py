@@ -1,7 +1,7 @@
 """Blocks of pages: margins, classes, sections. Order columns: page_number, pos.
 
-Running state along a source (sections) is taken from its headings alone, carried to its pages, and
-then within each page; no window sorts all blocks of a source.
+Running state along a source (sections) is taken in two steps, over page ranges and within them; no
+window sorts all blocks of a source.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import is_page_number, margin_signature, normalize_heading, strip, word_count
+from marginalia.functions.text import clean_noise, clean_text, is_page_number, margin_signature, normalize_heading, strip, word_count
+from marginalia.operators.running import running
+from marginalia.session import staged
 
 MARGIN = 0.12
 DEFAULT_FONT = 10.0
-#: Depth of section paths; a heading's number has at most five parts, and a path grows by one a heading.
-MAX_DEPTH = 8
 
 # Patterns of the block classes.
 TABLE = r"(?i)^\s*Table\s+\d+"
@@ -37,19 +37,21 @@ def is_bold(font: Column, flags: Column) -> Column:
     return F.coalesce(F.lower(font).rlike("bold|demi"), F.lit(False)) | (F.coalesce(flags, F.lit(0)).bitwiseAND(16) != 0)
 
 
-def margin_signatures(blocks: DataFrame, min_pages: int = 3, share: float = 0.30) -> DataFrame:
-    """source, signature, pages: signatures in the margins of at least max(min_pages, share of pages)."""
-    counts = blocks.select("source", "page_number").distinct().groupBy("source").agg(F.count("page_number").alias("all_pages"))
+def margin_signatures(blocks: DataFrame, min_pages: int = 3, share: float = 0.30, physical: DataFrame | None = None) -> DataFrame:
+    """source, signature, pages: signatures in the margins of at least max(min_pages, share of pages).
+
+    The share is of the pages in ``physical`` (source, all_pages: blank ones too) where given, else of those with blocks."""
+    counts = physical.select("source", "all_pages") if physical is not None else blocks.select("source", "page_number").distinct().groupBy("source").agg(F.count("page_number").alias("all_pages"))
     m = blocks.where(in_margin(F.col("y0"), F.col("y1"), F.col("page_height"))).select("source", "page_number", margin_signature(F.col("content")).alias("signature"))
     m = m.where(F.col("signature") != "").distinct().groupBy("source", "signature").agg(F.count("page_number").alias("pages"))
     return m.join(counts, "source").where(F.col("pages") >= F.greatest(F.lit(min_pages), F.ceil(share * F.col("all_pages")))).select("source", "signature", "pages")
 
 
-def without_margins(blocks: DataFrame) -> DataFrame:
-    """Blocks that are neither a page number nor a repeated signature in the margin."""
+def without_margins(blocks: DataFrame, physical: DataFrame | None = None, *, page_numbers: bool = True) -> DataFrame:
+    """Blocks that are neither a page number (with ``page_numbers``) nor a repeated signature in the margin."""
     b = blocks.withColumn("signature", margin_signature(F.col("content"))).withColumn("margin", in_margin(F.col("y0"), F.col("y1"), F.col("page_height")))
-    b = b.where(~is_page_number(F.col("content")))
-    gone = margin_signatures(blocks).select("source", "signature", F.lit(True).alias("margin"))
+    b = b.where(~is_page_number(F.col("content"))) if page_numbers else b
+    gone = margin_signatures(blocks, physical=physical).select("source", "signature", F.lit(True).alias("margin"))
     return b.join(gone, ["source", "signature", "margin"], "left_anti").drop("signature", "margin")
 
 
@@ -59,6 +61,22 @@ def reassemble(blocks: DataFrame, *keys: str, sep: str = "\n\n") -> DataFrame:
     return blocks.where(F.col("content").isNotNull()).groupBy(*keys).agg(F.array_join(parts, sep).alias("content"))
 
 
+def layout_pages(blocks: DataFrame, physical: DataFrame | None = None) -> DataFrame:
+    """Pages (source, page_number, content) of cleaned blocks in reading order, without margins and page numbers."""
+    b = staged(blocks.select("source", "page_number", "pos", clean_text(F.col("content")).alias("content"), "y0", "y1", "page_height").where("content <> ''"))
+    return reassemble(without_margins(b, physical), "source", "page_number")
+
+
+def clean_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks with banners, surplus blanks and page numbers taken out; emptied ones are dropped."""
+    return blocks.withColumn("content", clean_noise(F.col("content"))).where("content <> ''")
+
+
+def renumbered(blocks: DataFrame) -> DataFrame:
+    """Pieces of ``split_inline_headings`` as blocks: ``pos`` orders block and piece."""
+    return blocks.withColumn("pos", F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("piece")).drop("piece")
+
+
 def body_font_size(blocks: DataFrame) -> DataFrame:
     """source, body: median font size of blocks with five words or more; 10.0 where there is none."""
     size = F.when((word_count(F.col("content")) >= 5) & F.col("font_size").isNotNull(), F.col("font_size"))
@@ -104,43 +122,44 @@ def until_references(blocks: DataFrame) -> DataFrame:
     return blocks.join(cut, "source", "left").where(F.col("cut").isNull() | (F.struct("page_number", "pos") < F.col("cut"))).drop("cut")
 
 
-def _carried(blocks: DataFrame, heads: DataFrame, state: list[str]) -> DataFrame:
-    """``blocks`` with the ``state`` of the last heading at or before each of them."""
-    last = F.max_by(F.struct(*state), F.col("pos"))
-    at_end = heads.groupBy("source", "page_number").agg(last.alias("s"))
-    pages = blocks.select("source", "page_number").distinct().join(at_end, ["source", "page_number"], "left")
-    before = Window.partitionBy("source").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
-    pages = pages.select("source", "page_number", F.last("s", ignorenulls=True).over(before).alias("entering"))
-    here = blocks.join(heads.select("source", "page_number", "pos", F.struct(*state).alias("s")), ["source", "page_number", "pos"], "left")
-    within = Window.partitionBy("source", "page_number").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    here = here.withColumn("s", F.last("s", ignorenulls=True).over(within)).join(pages, ["source", "page_number"])
-    return here.withColumn("s", F.coalesce("s", "entering")).drop("entering")
-
-
 def section_titles(blocks: DataFrame) -> DataFrame:
-    """``blocks`` (with kind) with the title of the last heading, forward-filled."""
-    heads = blocks.where("kind = 'heading'").select("source", "page_number", "pos", normalize_heading(F.col("content")).alias("title"))
-    return _carried(blocks, heads, ["title"]).withColumn("section", F.col("s.title")).drop("s")
+    """``blocks`` (with kind) with ``section``: the title of the last heading, forward-filled."""
+    return running(blocks, {"section": ("last", F.when(F.col("kind") == "heading", normalize_heading(F.col("content"))))})
 
 
 def section_paths(blocks: DataFrame) -> DataFrame:
-    """``blocks`` (with kind) with ``path``: the titles of the sections around each.
+    """``blocks`` (with kind) with ``path``: the titles of the sections around each; as in ``sections``."""
+    return sections(blocks).drop("section", "head")
+
+
+def sections(blocks: DataFrame, *, normalized: bool = True) -> DataFrame:
+    """``blocks`` (with kind) with section (title of the last heading), path (titles of the sections around) and
+    head (how many headings the source had so far).
 
     A heading with a number of n parts keeps the first n - 1 entries of the path before it; one without
     a number starts anew. The depth after heading k is therefore the least of L(j) + k - j over the
     headings j up to k (with L = 1 for unnumbered ones), which is a running minimum, and each
-    entry is the last heading of its depth: plain windows over the headings, no fold.
+    entry is the last heading of its depth: running values over the headings, no fold. A heading
+    without a page sets no section. Titles are ``normalized`` headings, or headings as they are.
     """
+    at = ["source", "page_number", "pos"]
+    h = blocks.where("kind = 'heading'").select(*at, (normalize_heading(F.col("content")) if normalized else F.col("content")).alias("title"))
+    b = blocks.join(heading_paths(h).select(*at, "title", F.col("path").alias("_path"), F.col("k").alias("_head")), at, "left")
+    b = running(b, {"section": ("last", F.col("title")), "path": ("last", F.col("_path")), "head": ("last", F.col("_head"))}).drop("title", "_path", "_head")
+    return b.withColumns({"path": F.coalesce("path", F.array().cast("array<string>")), "head": F.coalesce("head", F.lit(0))})
+
+
+def heading_paths(heads: DataFrame) -> DataFrame:
+    """Headings (source, page_number, pos, title) with ``path``, to any depth: as many windows as the deepest one has parts."""
     number = F.regexp_extract(F.col("title"), r"^(\d+(?:\.\d+)*)", 1)
-    h = blocks.where("kind = 'heading'").select("source", "page_number", "pos", normalize_heading(F.col("content")).alias("title"))
-    h = h.withColumn("level", F.when(number == "", 1).otherwise(F.size(F.split(number, r"\."))))
-    w = Window.partitionBy("source").orderBy("page_number", "pos")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumn("k", F.row_number().over(w))
-    h = h.withColumn("depth", F.least(F.col("k"), F.col("k") + F.min(F.col("level") - F.col("k")).over(upto)))
-    entries = [F.when(F.col("depth") >= d, F.last(F.when(F.col("depth") == d, F.col("title")), ignorenulls=True).over(upto)) for d in range(1, MAX_DEPTH + 1)]
-    h = h.withColumn("path", F.array_compact(F.array(*entries)))
-    return _carried(blocks, h, ["path"]).withColumn("path", F.coalesce("s.path", F.array().cast("array<string>"))).drop("s")
+    h = heads.withColumn("level", F.when(number == "", 1).otherwise(F.size(F.split(number, r"\."))))
+    h = running(h, {"k": ("sum", F.lit(1))})
+    h = running(h, {"least": ("min", F.col("level") - F.col("k"))})
+    h = staged(h.withColumn("depth", F.least(F.col("k"), F.col("k") + F.col("least")).cast("int")))
+    deepest = h.agg(F.max("depth")).first()[0] or 1
+    h = running(h, {f"d{d}": ("last", F.when(F.col("depth") == d, F.col("title"))) for d in range(1, deepest + 1)})
+    entries = [F.when(F.col("depth") >= d, F.col(f"d{d}")) for d in range(1, deepest + 1)]
+    return h.select(*heads.columns, "k", F.array_compact(F.array(*entries)).alias("path"))
 
 
 def spans_to_blocks(spans: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from marginalia.functions import vectors as V
 from marginalia.functions.ids import parent_id, point_id
 from marginalia.functions.text import embedding_text, text_to_embed
-from marginalia.operators import chunking, dense, evaluation, quality, ranking, sparse
+from marginalia.operators import dense, evaluation, quality, ranking, sparse
 from marginalia.operators.orphans import source_key
 from marginalia.plans.common import CHUNKS, EVIDENCE, PAGES, WS, blocks, chunks, evidence, pages, s_key, s_strip, s_tokens, s_words
-from marginalia.plugins import create, embed_column
+from marginalia.plugins import embed_column
 from marginalia.session import checkpoint_dir, staged
 from marginalia.sources.store import VectorStore
 from marginalia.sources.tables import once, read
@@ -206,28 +206,12 @@ def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
     return store.scan().groupBy("source").agg(F.count(F.lit(1)).alias("points"), F.count_if(F.col("content") == "changed").alias("changed"))
 
 
-def _hash_chunks(c: DataFrame) -> DataFrame:
-    return c.select("source", "page_number", "page_end", "chunk_index", "token_count", "section_title", "content")
-
-
-def chunk_v1(spark: SparkSession, sf: str) -> DataFrame:
-    return _hash_chunks(chunking.chunk_v1(pages(spark, sf)))
-
-
-def chunk_v2_basic(spark: SparkSession, sf: str) -> DataFrame:
-    return _hash_chunks(chunking.chunk_v2_basic(pages(spark, sf)))
-
-
-def chunk_v2_block(spark: SparkSession, sf: str) -> DataFrame:
-    return _hash_chunks(create("v2-block")(blocks(spark, sf, "y0", "y1", "page_height", "font_size", "is_bold")))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         term_frequency, document_frequency, bm25_idf, bm25_topk, vector_topk, vector_norms, greedy_dedup, dense_retrieve, hybrid_topk, rrf_fuse, rerank_lexical, search_source_filter, metrics_pages, metrics_single_source, metrics_page_only,
         k_sweep, candidate_sweep, quality_report, token_distribution, block_type_histogram, smallest_chunks, oversized_chunks, section_names, sample_positions, ingest_counters, list_sources, point_ids, parent_ids, embedding_texts,
-        upsert_merge, chunk_v1, chunk_v2_basic, chunk_v2_block,
+        upsert_merge,
     )
 }
 

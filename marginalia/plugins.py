@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.session import staged
+from marginalia.pipelines import Blocks, Paragraphs, Pipeline, Words
 
 
 class Embedder(Protocol):
@@ -172,7 +172,6 @@ def answers(prompts: DataFrame, make: Callable[[], Client] = StubClient, system:
 
 # --- pipelines
 
-Pipeline = Callable[[DataFrame], DataFrame]
 _PIPELINES: dict[str, tuple[str, Callable[[], Pipeline]]] = {}
 ALIASES = {"v2": "v2-basic"}
 
@@ -208,18 +207,5 @@ def select(spark: SparkSession, argument: str | None = None) -> str:
     return chosen.strip().lower()
 
 
-def _standard() -> None:
-    from marginalia.operators import chunking, layout
-
-    def block(blocks: DataFrame) -> DataFrame:
-        # Each step reads the one before several times, so two of them are stored.
-        b = staged(layout.until_references(layout.without_margins(blocks)))
-        b = staged(layout.section_titles(staged(layout.classify(b))))
-        return chunking.chunk_v2_block(layout.section_paths(b))
-
-    register("v1", lambda: chunking.chunk_v1, "pages as packed words")
-    register("v2-basic", lambda: chunking.chunk_v2_basic, "paragraphs under a token budget, with sections")
-    register("v2-block", lambda: block, "typed blocks under a token budget, with section paths")
-
-
-_standard()
+for _p in (Words, Paragraphs, Blocks):
+    register(_p.name, _p, _p.description)

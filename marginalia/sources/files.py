@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import clean_text
+
 PAGES = "source string, page_number int, content string"
 SPANS = "source string, page_number int, block int, span int, text string, font string, size double, flags int, x0 double, y0 double, x1 double, y1 double, page_height double"
 INLINE_GOLD = "id string, question string, relevant_pages array<int>"
@@ -34,7 +36,8 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, folder: str, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """Pages of all documents of a folder; blank pages are left out and don't renumber the others.
+    """Pages of all documents of a folder, their text in its clean form; pages without any are left out and
+    don't renumber the others.
 
     ``extract`` gives the text of each page of one document's bytes.
     """
@@ -45,7 +48,8 @@ def read_pages(spark: SparkSession, folder: str, extract: Callable[[bytes], list
             yield pd.DataFrame(rows, columns=["source", "page_number", "content"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF}").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "content").mapInPandas(run, PAGES)
+    pages = files.select("path", "content").mapInPandas(run, PAGES)
+    return pages.withColumn("content", clean_text(F.col("content"))).where("content <> ''")
 
 
 def read_spans(spark: SparkSession, folder: str, extract: Callable[[bytes], Iterator[tuple]]) -> DataFrame:

@@ -66,6 +66,30 @@ def test_marks_move_behind_citations(spark):
     assert df.select(C.before_marks(F.col("t")).alias("o")).first().o == "It ends [s.pdf, ref 2]. Next one."
 
 
+AFTER = re.compile(r"([.!?])\s+((?:\[[^]]+?\.pdf,\s*ref\s+\d+\]\s*)+)(?=[A-Z0-9])", re.I)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["[s.pdf, ref 2]", "[S.PDF,ref 11]", "[x", ". ", "! ", ".", " ", "\n", "a", "B", "7", "]", "é"]), max_size=14).map("".join), min_size=30, max_size=60))
+def test_one_pass_moves_all_citations(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.o for r in df.orderBy("i").select(C.before_marks(F.col("t")).alias("o")).collect()]
+    want = []
+    for t in texts:
+        while True:
+            new = AFTER.sub(lambda m: f" {m[2].strip()}{m[1]} ", t)
+            if new == t:
+                break
+            t = new
+        want.append(t)
+    assert got == want
+
+
+def test_runs_of_citations(spark):
+    assert render(spark, "[see x, page 3] [see x, page 3]") == "[see x, page 3] [see x, page 3]"
+    assert render(spark, "[A.pdf, ref 1] [a.PDF,  ref 2] [a.pdf, REF 1] [b.pdf, page 1]") == "[A.pdf, ref 1] [a.PDF,  ref 2] [b.pdf, page 1]"
+
+
 def test_evidence_and_bibliography(spark):
     ranked = spark.createDataFrame([(1, 1, "s.pdf", 4, "One fact [1]. Another [9]. Third. [1] Last"), (1, 2, "t.pdf", 2, "Plain [1].")], "query_id int, rank int, source string, page_number int, content string")
     refs = spark.createDataFrame([("s.pdf", 1, "First"), ("s.pdf", 2, "Second")], "source string, number int, content string")

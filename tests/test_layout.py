@@ -73,7 +73,7 @@ def test_spans(spark):
 
 def test_bibliography(spark):
     def parse(t):
-        return [(x.number, x.content) for x in spark.createDataFrame([(t,)], "t string").select(F.explode(bibliography.parse(F.col("t"))).alias("e")).select("e.*").collect()]
+        return [(x.number, x.content) for x in bibliography.entries(spark.createDataFrame([("s", t)], "source string, text string")).orderBy("number").collect()]
 
     assert parse("x References [1] A b.\n[2] C [d]. [4] E") == [(1, "A b."), (2, "C [d]."), (4, "E")]
     assert parse("References 1. A 12) b 2. C 7. d 3) E 3 of 9 12, 4, Downloaded from x") == [(1, "A 12) b"), (2, "C 7. d"), (3, "E")]
