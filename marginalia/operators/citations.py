@@ -122,11 +122,17 @@ def final_bibliography(answers: DataFrame, refs: DataFrame) -> DataFrame:
     return c.join(refs.select("source", "number", "content"), ["source", "number"]).select("query_id", "pos", "source", "number", "content")
 
 
-RULES = "Answer from the evidence below only. Cite the evidence ids like [E1], one id in each pair of brackets. Say so if the evidence doesn't answer the question."
+#: What the model is told; in words of our own.
+RULES = """Answer the question from the evidence below and from nothing else.
+- Put the id of the evidence behind every claim it supports, like [E1]. One id stands in each pair of brackets: [E1] [E2], never [E1, E2].
+- Cite only ids that are listed, and only where that evidence states the claim itself. Evidence on the same topic is no support.
+- Write one sentence for each piece of evidence where you can; a sentence that joins several cites each of them.
+- Add no numbers, causes, examples, uses or conclusions that the evidence doesn't state, and don't merge unrelated evidence into a wider claim.
+- If the evidence doesn't answer the question, or answers it in part, say so."""
 
 
 def prompts(questions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """query_id, prompt: rules, question and the evidence with its ids."""
-    e = evidence.select("query_id", F.struct(F.expr("int(substring(id, 2))").alias("n"), F.concat_ws("\n", F.concat(F.lit("["), F.col("id"), F.lit("]")), F.col("content")).alias("t")).alias("e"))
-    e = e.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["t"]), "\n---\n").alias("list"))
+    """query_id, prompt: rules, question and the evidence, each with its id on a line before it."""
+    e = evidence.select("query_id", F.struct(F.expr("int(substring(id, 2))").alias("n"), F.concat_ws("\n", "id", "content").alias("t")).alias("e"))
+    e = e.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["t"]), "\n\n---\n\n").alias("list"))
     return questions.join(e, "query_id").select("query_id", F.concat(F.lit(RULES + "\n\nQuestion: "), F.col("text"), F.lit("\n\nEvidence:\n"), F.col("list")).alias("prompt"))

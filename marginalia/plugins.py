@@ -7,6 +7,7 @@ cross-encoder, and the stub client no language model. Real ones are injected.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -112,7 +113,7 @@ class StubClient:
     """Cites the first evidence; for tests and dry runs."""
 
     def generate(self, system: str, user: str) -> Answer:
-        return Answer("See the evidence [E1]." if "[E1]" in user else "The evidence doesn't answer this.", "stub", "stub", Usage(len((system + user).split()), 4))
+        return Answer("See the evidence [E1]." if re.search(r"^E1$", user, re.M) else "The evidence doesn't answer this.", "stub", "stub", Usage(len((system + user).split()), 4))
 
 
 class HttpClient:

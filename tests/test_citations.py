@@ -100,4 +100,5 @@ def test_evidence_and_bibliography(spark):
     answers = C.render(spark.createDataFrame([(1, "So [E1] and [E2].")], "query_id int, answer string"), e)
     assert [(x.source, x.number, x.content) for x in C.final_bibliography(answers, refs).collect()] == [("s.pdf", 1, "First")]
     q = spark.createDataFrame([(1, "Why?")], "query_id int, text string")
-    assert "[E1]" in C.prompts(q, e).first().prompt
+    prompt = C.prompts(q, e).first().prompt
+    assert "\n\nEvidence:\nE1\nOne fact" in prompt and "\n\n---\n\nE2\n" in prompt

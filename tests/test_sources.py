@@ -104,11 +104,11 @@ def test_gold_sets(spark, tmp_path):
 
 
 def test_clients(spark):
-    assert plugins.client_for("Stub").generate("", "[E1] x").text.endswith("[E1].")
+    assert plugins.client_for("Stub").generate("", "E1\nx").text.endswith("[E1].")
     assert plugins.Usage(1, 2).total_tokens == 3 and plugins.Usage(1).total_tokens is None
     with pytest.raises(ValueError):
         plugins.client_for("other")
     with pytest.raises(ValueError):
         plugins.KeyedClient(lambda *a: None, None)
-    p = spark.createDataFrame([(1, "[E1] text")], "query_id bigint, prompt string")
+    p = spark.createDataFrame([(1, "E1\ntext")], "query_id bigint, prompt string")
     assert plugins.answers(p).first().answer == "See the evidence [E1]."
