@@ -44,7 +44,7 @@ def word_count(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased runs of word characters of any script (signs like fractions are none)."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
 
 
 def clean_noise(c: Column) -> Column:

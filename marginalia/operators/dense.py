@@ -14,49 +14,58 @@ from marginalia.functions.text import words
 DUPLICATE = 0.80
 
 
-def vector_topk(index: DataFrame, queries: DataFrame, k: int, *, block: int = 2048) -> DataFrame:
+def _best(score: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row (all rows have the same number of docs), ties to the lower doc, by selection."""
+    by_doc = np.argsort(doc, axis=1, kind="stable")
+    score, doc = np.take_along_axis(score, by_doc, 1), np.take_along_axis(doc, by_doc, 1)
+    if score.shape[1] > k:
+        # Scores have six places: with the place in the order of docs one whole number that orders both.
+        key = -np.rint(score * 1e6).astype(np.int64) * score.shape[1] + np.arange(score.shape[1])
+        at = np.sort(np.argpartition(key, k - 1, axis=1)[:, :k], axis=1)
+        score, doc = np.take_along_axis(score, at, 1), np.take_along_axis(doc, at, 1)
+    return score, doc
+
+
+def vector_topk(index: DataFrame, queries: DataFrame, k: int, *, block: int = 2048, per_scan: int = 32_768) -> DataFrame:
     """query_id, rank, doc, score: the k most similar vectors of each query, exactly.
 
     index: doc, vector; queries: query_id, vector (one dimension throughout). A stated query set is
-    compared with all rows block by block: each task multiplies its batches with one block of at
-    most ``block`` queries and keeps k rows a query, so little more than k rows a query and
-    task is exchanged. Null vectors have no neighbours and are none. Ties go to the lower doc.
+    compared with all rows: each task multiplies its batches with blocks of at most ``block`` queries and
+    keeps k rows a query, so little more than k rows a query and task is exchanged. One scan of the
+    index serves up to ``per_scan`` queries. Null vectors have no neighbours and are none; null vectors of
+    zero length are similar to nothing (0). Ties go to the lower doc.
     """
     spark = index.sparkSession
-    total = queries.where("vector IS NOT NULL").count()
-    numbered = queries.where("vector IS NOT NULL").select("query_id", "vector")
-    blocks = max(1, -(-total // block))
+    some = queries.where("vector IS NOT NULL AND query_id IS NOT NULL").select("query_id", "vector")
+    scans = max(1, -(-some.count() // per_scan))
     found = None
-    for b in range(blocks):
-        part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = part.toPandas()  # one block: bounded by its size, whatever the corpus
+    for n in range(scans):
+        part = some if scans == 1 else some.where(F.pmod(F.xxhash64("query_id"), F.lit(scans)) == n)
+        rows = part.toPandas()  # the queries of one scan: bounded, whatever the corpus
         if rows.empty:
             continue
         q = np.array(rows["vector"].tolist(), np.float64)
-        length = np.linalg.norm(q, axis=1)
-        ids = rows["query_id"].to_numpy()
-        shared = spark.sparkContext.broadcast((ids, q, length))
+        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), q, np.linalg.norm(q, axis=1)))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             ids, q, length = shared.value
-            best = None
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for x in batches:
                 v = np.array(x["vector"].tolist(), np.float64)
                 if not len(v):
                     continue
-                n = np.linalg.norm(v, axis=1)
-                with np.errstate(all="ignore"):
-                    s = np.nan_to_num((q @ v.T) / (length[:, None] * n[None]))
-                s = np.round(s, 6)
-                doc = np.broadcast_to(x["doc"].to_numpy()[None], s.shape)
-                if best is not None:
-                    s, doc = np.concatenate([best[0], s], 1), np.concatenate([best[1], doc], 1)
-                order = np.lexsort((doc, -s), axis=1)[:, :k]
-                best = np.take_along_axis(s, order, 1), np.take_along_axis(doc, order, 1)
-            if best is not None:
-                yield pd.DataFrame({"query_id": np.repeat(ids, best[0].shape[1]), "doc": best[1].ravel(), "score": best[0].ravel()})
-
-        one = index.where("vector IS NOT NULL").select("doc", "vector").mapInPandas(run, "query_id bigint, doc bigint, score double")
+                norm, docs = np.linalg.norm(v, axis=1), x["doc"].to_numpy()
+                for at in range(0, len(q), block):
+                    with np.errstate(all="ignore"):
+                        s = np.round(np.nan_to_num((q[at : at + block] @ v.T) / (length[at : at + block, None] * norm[None])), 6)
+                    doc = np.broadcast_to(docs[None], s.shape)
+                    if at in best:
+                        s, doc = np.concatenate([best[at][0], s], 1), np.concatenate([best[at][1], doc], 1)
+                    best[at] = _best(s, doc, k)
+            for at, (s, doc) in best.items():
+                yield pd.DataFrame({"query_id": np.repeat(ids[at : at + block], s.shape[1]), "doc": doc.ravel(), "score": s.ravel()})
+
+        one = index.where("vector IS NOT NULL AND doc IS NOT NULL").select("doc", "vector").mapInPandas(run, "query_id bigint, doc bigint, score double")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "query_id bigint, rank int, doc bigint, score double")

@@ -45,16 +45,16 @@ def rerank(candidates: DataFrame, k: int, score=None) -> DataFrame:  # noqa: ANN
     return c.withColumn("new", F.row_number().over(w)).where(F.col("new") <= k).select("query_id", F.col("new").alias("rank"), "doc", "score", "rerank_score")
 
 
-def search(candidates: DataFrame, top_k: int, source: str | None = None, limit: int = 12) -> DataFrame:
+def search(candidates: DataFrame, top_k: int, source: str | None = None, limit: int = 12, score=None) -> DataFrame:  # noqa: ANN001
     """Search results: the source filter comes after the candidates are cut to ``limit``; then rerank.
 
     candidates: query_id, rank, doc, score, text, content, source. top_k is clamped to 1..20.
-    Sources are equal without outer white space and letter case.
+    Sources are equal without outer white space and letter case. ``score`` as in ``rerank``.
     """
     c = candidates.where(F.col("rank") <= limit)
     if source is not None and source.strip():
         c = c.where(F.lower(strip(F.col("source"))) == source.strip().lower())
-    return rerank(c, clamp(top_k, 1, 20))
+    return rerank(c, clamp(top_k, 1, 20), score)
 
 
 def shape_results(ranked: DataFrame, docs: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
-"""BM25 over a corpus, all queries in one plan."""
+"""BM25 over a corpus: an index that is stored once, and all queries in one plan."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,31 @@ from marginalia.functions.text import strip, tokens
 from marginalia.session import staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms asked for that are broadcast to the postings (some 100 bytes each); more are joined with salted postings.
+BROADCAST_TERMS = 200_000
+#: Parts that the postings of every term are cut into for such a join.
+SALTS = 32
+
+
+@dataclass(frozen=True)
+class Index:
+    """A corpus as tables: postings (term, doc, tf, len), terms (term, df, idf), docs (doc: those with a text),
+    and two numbers. Lists of documents are stored, so queries don't take texts apart again."""
+
+    postings: DataFrame
+    terms: DataFrame
+    docs: DataFrame
+    n: int
+    avglen: float
+
+
+def _texts(corpus: DataFrame) -> DataFrame:
+    return corpus.where(F.col("doc").isNotNull() & F.col("content").isNotNull() & (strip(F.col("content")) != ""))
 
 
 def postings(corpus: DataFrame) -> DataFrame:
     """term, doc, tf, len of a corpus (doc, content); blank contents are no documents."""
-    t = corpus.where(F.col("content").isNotNull() & (strip(F.col("content")) != "")).select("doc", tokens(F.col("content")).alias("t"))
+    t = _texts(corpus).select("doc", tokens(F.col("content")).alias("t"))
     return t.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
@@ -21,14 +43,6 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_size(corpus: DataFrame, post: DataFrame) -> tuple[int, float]:
-    """Number of documents and their average length in tokens: two numbers, whatever the corpus. The
-    lengths come from the postings, so texts aren't taken apart again."""
-    n = corpus.where(F.col("content").isNotNull() & (strip(F.col("content")) != "")).count()
-    total = post.agg(F.sum("tf")).first()[0] or 0
-    return n, total / n if n else 0.0
-
-
 def idf(post: DataFrame, n: int) -> DataFrame:
     """term, df, idf: ln((n - df + 0.5) / (df + 0.5)); negative ones are replaced by a quarter of the
     mean over the whole vocabulary."""
@@ -38,23 +52,34 @@ def idf(post: DataFrame, n: int) -> DataFrame:
     return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean if mean is not None else 0.0)).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def build_index(corpus: DataFrame) -> Index:
+    """The index of a corpus (doc, content), each document once. Null docs and blank contents have no part in it."""
+    docs = staged(_texts(corpus).select("doc"))
+    post = staged(postings(corpus))
+    n = docs.count()
+    total = post.agg(F.sum("tf")).first()[0] or 0
+    return Index(post, idf(post, n), docs, n, total / n if n else 0.0)
+
+
+def bm25_topk(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, doc, score: the k best documents of each query.
 
-    corpus: doc, content; queries: query_id, text. Every token of a query counts as often as it
-    occurs; unknown ones add nothing. Documents without any score fill up to k. Ties go to the
-    lower doc. A blank query, or one without tokens, has no result. The join is by term, and only
-    postings of the queries' terms reach it.
+    queries: query_id, text. Every token of a query counts as often as it occurs; unknown ones add
+    nothing. Documents without any score fill up to k. Ties go to the lower doc. A blank query, or one
+    without tokens, has no result. Only postings of the queries' terms take part: a bounded number of terms
+    is broadcast, so that frequent terms stay where they are; more terms meet postings cut by a salt.
     """
-    post = staged(postings(corpus))
-    n, avglen = corpus_size(corpus, post)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = asked.join(idf(post, n), "term")
-    hits = post.join(asked, "term")
-    part = F.col("times") * F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avglen or 1.0)))
+    asked = staged(asked.join(index.terms, "term"))
+    if asked.count() <= BROADCAST_TERMS:
+        hits = index.postings.join(F.broadcast(asked), "term")
+    else:
+        spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = index.postings.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(spread, ["term", "salt"])
+    part = F.col("times") * F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(index.avglen or 1.0)))
     scored = hits.groupBy("query_id", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     some = queries.where(F.size(tokens(F.coalesce("text", F.lit("")))) > 0).select("query_id")
-    low = [r.doc for r in corpus.where(F.col("content").isNotNull() & (strip(F.col("content")) != "")).select("doc").orderBy("doc").limit(k).collect()]
+    low = [r.doc for r in index.docs.orderBy("doc").limit(k).collect()]
     fill = some.withColumn("doc", F.explode(F.array(*[F.lit(d).cast("bigint") for d in low]) if low else F.array().cast("array<bigint>"))).join(scored, ["query_id", "doc"], "left_anti").withColumn("score", F.lit(0.0))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     return scored.unionByName(fill).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "doc", "score")

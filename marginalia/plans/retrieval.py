@@ -11,7 +11,7 @@ from marginalia.functions.ids import parent_id, point_id
 from marginalia.functions.text import embedding_text, text_to_embed
 from marginalia.operators import dense, evaluation, quality, ranking, sparse
 from marginalia.operators.orphans import source_key
-from marginalia.plans.common import CHUNKS, EVIDENCE, PAGES, WS, blocks, chunks, evidence, pages, s_key, s_strip, s_tokens, s_words
+from marginalia.plans.common import CHUNKS, EVIDENCE, PAGES, WS, blocks, chunks, evidence, pages, s_key, s_squeeze, s_strip, s_tokens, s_words
 from marginalia.plugins import embed_column
 from marginalia.session import checkpoint_dir, staged
 from marginalia.sources.store import VectorStore
@@ -29,6 +29,19 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return evidence(spark, sf).where("ev_id % 50 = 0 AND content IS NOT NULL").select(F.col("ev_id").alias("query_id"), F.col("content").alias("text"))
 
 
+_INDEXES: dict[tuple[str, str], tuple[sparse.Index, DataFrame, DataFrame]] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> tuple[sparse.Index, DataFrame, DataFrame]:
+    """The corpus' index, its vectors (doc, vector) and contents: built by the first query that needs them, and
+    stored for the session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        c = staged(_corpus(spark, sf))
+        _INDEXES[key] = sparse.build_index(c), staged(c.where("content <> ''").select("doc", embed_column(F.col("content")).alias("vector"))), c
+    return _INDEXES[key]
+
+
 def term_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return sparse.postings(_corpus(spark, sf)).select("doc", "term", "tf", "len")
 
@@ -38,13 +51,11 @@ def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_idf(spark: SparkSession, sf: str) -> DataFrame:
-    c = _corpus(spark, sf)
-    post = staged(sparse.postings(c))
-    return sparse.idf(post, sparse.corpus_size(c, post)[0]).select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf)[0].terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse.bm25_topk(_corpus(spark, sf), _asked(spark, sf), K)
+    return sparse.bm25_topk(_index(spark, sf)[0], _asked(spark, sf), K)
 
 
 def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,29 +73,69 @@ def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf: str, k: int = CANDIDATES) -> DataFrame:
-    c = _corpus(spark, sf)
-    return sparse.bm25_topk(c, _asked(spark, sf), k).join(c.select("doc", "content", "source", "page_number", "chunk_index"), "doc")
+    index, _, c = _index(spark, sf)
+    return sparse.bm25_topk(index, _asked(spark, sf), k).join(c.select("doc", "content", "source", "page_number", "chunk_index"), "doc")
 
 
 def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dense.greedy_dedup(_ranked(spark, sf, 3 * K), K)
 
 
+def _dense(spark: SparkSession, sf: str, k: int, candidates: int | None = None) -> DataFrame:
+    _, vectors, c = _index(spark, sf)
+    return dense.dense_retrieve(vectors, _asked(spark, sf).select("query_id", embed_column(F.col("text")).alias("vector")), c, k, candidates)
+
+
 def dense_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     """Over-fetch and suppression with the offline stand-in of an embedder."""
-    c = _corpus(spark, sf)
-    index = c.where("content <> ''").select("doc", embed_column(F.col("content")).alias("vector"))
-    return dense.dense_retrieve(index, _asked(spark, sf).select("query_id", embed_column(F.col("text")).alias("vector")), c, K)
+    return _dense(spark, sf, K)
+
+
+def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense and sparse candidates, fused and reranked."""
+    index, _, c = _index(spark, sf)
+    q = _asked(spark, sf)
+    fused = ranking.rrf_fuse([_dense(spark, sf, 8), sparse.bm25_topk(index, q, 8)], CANDIDATES)
+    return ranking.rerank(fused.join(c.select("doc", "content"), "doc").join(q, "query_id"), K)
 
 
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Dense and sparse candidates, fused, reranked and shaped."""
-    c, q = _corpus(spark, sf), _asked(spark, sf)
-    index = c.where("content <> ''").select("doc", embed_column(F.col("content")).alias("vector"))
-    lists = [dense.dense_retrieve(index, q.select("query_id", embed_column(F.col("text")).alias("vector")), c, 8), sparse.bm25_topk(c, q, 8)]
-    fused = ranking.rrf_fuse(lists, CANDIDATES)
-    best = ranking.rerank(fused.join(c.select("doc", "content"), "doc").join(q, "query_id"), K)
-    return ranking.shape_results(best, c)
+    return ranking.shape_results(_hybrid(spark, sf), _index(spark, sf)[2])
+
+
+def _reranked(spark: SparkSession, sf: str, pool: DataFrame) -> DataFrame:
+    return ranking.rerank(pool.join(_index(spark, sf)[2].select("doc", "content"), "doc").join(_asked(spark, sf), "query_id"), K)
+
+
+def _gold(spark: SparkSession, sf: str) -> DataFrame:
+    g = evidence(spark, sf).where("ev_id % 50 = 0 AND content IS NOT NULL AND source IS NOT NULL AND page_number IS NOT NULL")
+    return staged(g.select(F.col("ev_id").alias("query_id"), source_key(F.col("source")).alias("source"), "page_number"))
+
+
+def _placed(spark: SparkSession, sf: str, ranked: DataFrame) -> DataFrame:
+    c = _index(spark, sf)[2].select("doc", source_key(F.col("source")).alias("source"), "page_number")
+    return ranked.join(c, "doc").select("query_id", "rank", "source", "page_number")
+
+
+def _compare(spark: SparkSession, sf: str, ways: dict[str, DataFrame], metrics) -> DataFrame:  # noqa: ANN001
+    gold, out = _gold(spark, sf), None
+    for name, ranked in ways.items():
+        one = evaluation.macro(metrics(_placed(spark, sf, ranked), gold)).withColumn("way", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def dense_against_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of the single-source metrics of dense results and of the same candidates reranked."""
+    pool = staged(_dense(spark, sf, CANDIDATES))
+    return _compare(spark, sf, {"dense": pool.where(F.col("rank") <= K), "reranked": _reranked(spark, sf, pool)}, evaluation.by_single_source)
+
+
+def hybrid_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of the metrics by (source, page): dense, dense reranked, and hybrid with reranking."""
+    pool = staged(_dense(spark, sf, 8))
+    ways = {"dense": pool.where(F.col("rank") <= K), "dense_rerank": _reranked(spark, sf, pool), "hybrid": _hybrid(spark, sf)}
+    return _compare(spark, sf, ways, evaluation.by_source_page)
 
 
 def _lists(spark: SparkSession, sf: str) -> list[DataFrame]:
@@ -111,8 +162,7 @@ def search_source_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def _judging(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     r = _ranked(spark, sf, 6).select("query_id", "rank", source_key(F.col("source")).alias("source"), "page_number")
-    g = evidence(spark, sf).where("ev_id % 50 = 0 AND content IS NOT NULL AND source IS NOT NULL AND page_number IS NOT NULL")
-    return staged(r), staged(g.select(F.col("ev_id").alias("query_id"), source_key(F.col("source")).alias("source"), "page_number"))
+    return staged(r), _gold(spark, sf)
 
 
 def metrics_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,15 +182,15 @@ def k_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidate_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Page-only metrics before and after reranking, for several numbers of candidates cut to K first."""
-    q = _asked(spark, sf)
-    ranked, (_, gold) = staged(_ranked(spark, sf, 30)), _judging(spark, sf)
-    out = None
+    """Page-only metrics before and after reranking, for several numbers of candidates over-fetched and cut to K
+    by suppression first."""
+    gold, out = _gold(spark, sf), None
+    _, vectors, c = _index(spark, sf)
+    found = staged(dense.vector_topk(vectors, _asked(spark, sf).select("query_id", embed_column(F.col("text")).alias("vector")), 30).join(c.select("doc", "content"), "doc"))
     for n in (4, 8, 12, 16, 20, 30):
-        pool = ranked.where(F.col("rank") <= min(n, K))
-        after = ranking.rerank(pool.join(q, "query_id"), K).join(ranked.select("query_id", "doc", "page_number"), ["query_id", "doc"])
-        for step, df in (("before", pool), ("after", after)):
-            one = evaluation.macro(evaluation.by_page_only(df.select("query_id", "rank", "page_number"), gold)).withColumns({"candidates": F.lit(n), "step": F.lit(step)})
+        pool = staged(dense.greedy_dedup(found.where(F.col("rank") <= n), K))
+        for step, ranked in (("before", pool), ("after", _reranked(spark, sf, pool))):
+            one = evaluation.macro(evaluation.by_page_only(_placed(spark, sf, ranked), gold)).withColumns({"candidates": F.lit(n), "step": F.lit(step)})
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -210,7 +260,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         term_frequency, document_frequency, bm25_idf, bm25_topk, vector_topk, vector_norms, greedy_dedup, dense_retrieve, hybrid_topk, rrf_fuse, rerank_lexical, search_source_filter, metrics_pages, metrics_single_source, metrics_page_only,
-        k_sweep, candidate_sweep, quality_report, token_distribution, block_type_histogram, smallest_chunks, oversized_chunks, section_names, sample_positions, ingest_counters, list_sources, point_ids, parent_ids, embedding_texts,
+        k_sweep, candidate_sweep, dense_against_rerank, hybrid_evaluation, quality_report, token_distribution, block_type_histogram, smallest_chunks, oversized_chunks, section_names, sample_positions, ingest_counters, list_sources, point_ids, parent_ids, embedding_texts,
         upsert_merge,
     )
 }
@@ -241,7 +291,45 @@ FROM (SELECT gd.query_id, count(DISTINCT {page.replace('@', 'gd')}) AS want, any
 
 _PAIR = ("(@.source, @.page_number)", "g.source = r.source AND g.page_number = r.page_number", "true")
 _SIZE = f"sz0 AS (SELECT *, len({s_tokens("coalesce(content, '')")}) AS size FROM ch)"
-_K = "w AS (SELECT DISTINCT query_id FROM gd)"
+_RBASE = _BASE.replace("WITH ", "WITH RECURSIVE ", 1)
+_SWEEP = (4, 8, 12, 16, 20, 30)
+_MEANS = """count(*) AS queries, round(avg(hit), 6) AS hit, round(avg("precision"), 6) AS "precision", round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS reciprocal_rank"""
+
+
+def _vector(source: str, key: str, text: str, out: str) -> str:
+    """CTE of hashed words: key, d, v (a component, rounded to single precision) and norm."""
+    return f"""{out}0 AS (SELECT {key}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM (SELECT {key}, unnest({s_words(f'lower({text})')}) AS w FROM {source})),
+{out}1 AS (SELECT {key}, h % 64 AS d, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS c FROM {out}0 GROUP BY 1, 2),
+{out}2 AS (SELECT {key}, d, CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS v FROM {out}1 WHERE c <> 0),
+{out} AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY {key})) AS norm FROM {out}2)"""
+
+
+_VECTORS = _vector("(SELECT chunk_id AS doc, content FROM ch WHERE content <> '')", "doc", "content", "vd") + "," + _vector("qs", "query_id", "text", "vq") + """,
+vs AS (SELECT query_id, doc, sum(vq.v * vd.v) / any_value(vq.norm) / any_value(vd.norm) AS s FROM vq JOIN vd USING (d) GROUP BY query_id, doc),
+dn AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank, doc, score FROM (SELECT query_id, doc, round(coalesce(s, 0), 6) AS score FROM qs CROSS JOIN (SELECT chunk_id AS doc FROM ch WHERE content <> '') LEFT JOIN vs USING (query_id, doc)))"""
+
+
+def _greedy(ranked: str, k: int, n: int) -> str:
+    """CTEs <ranked>_s (the kept docs after each of n candidates) and <ranked>_g (the k results)."""
+    return f"""{ranked}_c AS (SELECT query_id, rank, doc, score, list_distinct({s_words('lower(content)')}) AS ws FROM {ranked} JOIN (SELECT chunk_id AS doc, content FROM ch) USING (doc) WHERE rank <= {n} AND content <> ''),
+{ranked}_s AS (SELECT query_id, CAST(0 AS BIGINT) AS stp, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT query_id FROM {ranked}_c) UNION ALL
+ SELECT g.query_id, g.stp + 1, CASE WHEN len(g.kept) < {k} AND NOT EXISTS (SELECT 1 FROM {ranked}_c o WHERE o.query_id = g.query_id AND list_contains(g.kept, o.doc) AND len(list_intersect(o.ws, c.ws)) >= 0.8 * len(list_distinct(list_concat(o.ws, c.ws)))) THEN list_append(g.kept, c.doc) ELSE g.kept END
+ FROM {ranked}_s g JOIN {ranked}_c c ON c.query_id = g.query_id AND c.rank = g.stp + 1),
+{ranked}_g AS (SELECT s.query_id, u.i AS rank, s.kept[u.i] AS doc, c.score FROM {ranked}_s s, unnest(range(1, len(kept) + 1)) AS u(i) JOIN {ranked}_c c ON c.query_id = s.query_id AND c.doc = s.kept[u.i] WHERE s.stp = {n})"""
+
+
+def _rerank_sql(ranked: str) -> str:
+    return f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rank, doc, rerank_score FROM (SELECT r.*, {_LEX} AS rerank_score FROM {ranked} r JOIN tk USING (doc) JOIN qs USING (query_id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) <= 5"
+
+
+def _placed_sql(ranked: str) -> str:
+    return f"SELECT x.query_id, x.rank, {s_key('tk.source')} AS source, tk.page_number FROM {ranked} x JOIN tk USING (doc)"
+
+
+_HYBRID = _greedy("dn", 8, 24) + f""",
+fu AS (SELECT query_id, doc, round(sum(1.0 / (60 + rank)), 9) AS score, min((list, rank)) AS first FROM (SELECT query_id, doc, rank, 0 AS list FROM dn_g UNION ALL SELECT query_id, doc, rank, 1 FROM bm WHERE rank <= 8) GROUP BY query_id, doc),
+fr AS (SELECT query_id, doc, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) <= 12),
+hy AS (SELECT h.*, fr.score FROM ({_rerank_sql('fr')}) h JOIN fr USING (query_id, doc))"""
 ORACLES = {
     "term_frequency": "WITH " + CHUNKS + "," + _DOCS + "," + _POST + " SELECT doc, term, tf, CAST(len AS INTEGER) AS len FROM po",
     "document_frequency": "WITH " + CHUNKS + "," + _DOCS + "," + _POST + " SELECT term, count(*) AS df FROM po GROUP BY term",
@@ -271,11 +359,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fi
     "ingest_counters": r"WITH x AS (SELECT 'pages' AS what, page_id AS id, source FROM doc_pages UNION SELECT 'blocks', block_id, source FROM blocks UNION SELECT 'refs', ref_id, source FROM refs UNION SELECT 'chunks', chunk_id, source FROM chunks), y AS (SELECT what, regexp_replace(source, '(?i)\.pdf$', '') AS source FROM x WHERE id IS NOT NULL AND source IS NOT NULL) SELECT source, count(*) FILTER (WHERE what = 'pages') AS pages, count(*) FILTER (WHERE what = 'blocks') AS blocks, count(*) FILTER (WHERE what = 'refs') AS refs, count(*) FILTER (WHERE what = 'chunks') AS chunks FROM y GROUP BY ROLLUP (source)",
     "list_sources": "WITH " + PAGES + " SELECT source, count(*) AS n_pages FROM pg GROUP BY source",
     "point_ids": "WITH " + CHUNKS + ", h AS (SELECT chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || ':' || page_number || ':' || chunk_index)) AS d FROM ch) SELECT chunk_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || translate(substr(d, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS point_id FROM h",
-    "greedy_dedup": _BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f"""gc AS (SELECT query_id, rank, doc, score, content, list_distinct({s_words('lower(content)')}) AS ws FROM bm JOIN tk USING (doc) WHERE rank <= 15),
-gr AS (SELECT query_id, CAST(0 AS BIGINT) AS stp, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT query_id FROM gc) UNION ALL
- SELECT gr.query_id, gr.stp + 1, CASE WHEN len(gr.kept) < 5 AND NOT EXISTS (SELECT 1 FROM gc o WHERE o.query_id = gr.query_id AND list_contains(gr.kept, o.doc) AND len(list_intersect(o.ws, c.ws)) >= 0.8 * len(list_distinct(list_concat(o.ws, c.ws)))) THEN list_append(gr.kept, c.doc) ELSE gr.kept END
- FROM gr JOIN gc c ON c.query_id = gr.query_id AND c.rank = gr.stp + 1)
-SELECT gr.query_id, CAST(u.i AS INTEGER) AS rank, kept[u.i] AS doc, gc.score FROM gr, unnest(range(1, len(kept) + 1)) AS u(i) JOIN gc ON gc.query_id = gr.query_id AND gc.doc = gr.kept[u.i] WHERE stp = 15""",
+    "greedy_dedup": _RBASE + _greedy("bm", 5, 15) + " SELECT query_id, CAST(rank AS INTEGER) AS rank, doc, score FROM bm_g",
+    "dense_retrieve": _RBASE + _VECTORS + "," + _greedy("dn", 5, 15) + " SELECT query_id, CAST(rank AS INTEGER) AS rank, doc, score FROM dn_g",
+    "hybrid_topk": _RBASE + _VECTORS + "," + _HYBRID + f" SELECT query_id, CAST(rank AS INTEGER) AS rank, {s_squeeze('content')} AS content, source, page_number AS page, chunk_index, score AS vector_score, rerank_score FROM hy JOIN tk USING (doc)",
+    "candidate_sweep": _RBASE + _JUDGE + _VECTORS + "," + _greedy("dn", 5, 30) + "," + ", ".join(f"""p{n} AS (SELECT s.query_id, u.i AS rank, s.kept[u.i] AS doc FROM dn_s s, unnest(range(1, len(kept) + 1)) AS u(i) WHERE s.stp = {n}), b{n} AS ({_placed_sql(f'p{n}')}), a{n} AS ({_placed_sql(f'({_rerank_sql(f"p{n}")})')})""" for n in _SWEEP) + " " + " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS candidates, '{step}' AS step, {_MEANS} FROM ({_metric('@.page_number', 'g.page_number = r.page_number', 'true', ranked=f'{t}{n}')})" for n in _SWEEP for t, step in (("b", "before"), ("a", "after"))),
+    "dense_against_rerank": _RBASE + _JUDGE + _VECTORS + "," + _greedy("dn", 12, 36) + f", d1 AS ({_placed_sql('(SELECT * FROM dn_g WHERE rank <= 5)')}), d2 AS ({_placed_sql(f'({_rerank_sql("dn_g")})')}) " + " UNION ALL ".join(f"SELECT '{w}' AS way, {_MEANS} FROM ({_metric('@.page_number', 'g.source = r.source AND g.page_number = r.page_number', 'r.source = o.gs', ranked=t)})" for w, t in (("dense", "d1"), ("reranked", "d2"))),
+    "hybrid_evaluation": _RBASE + _JUDGE + _VECTORS + "," + _HYBRID + f", d1 AS ({_placed_sql('(SELECT * FROM dn_g WHERE rank <= 5)')}), d2 AS ({_placed_sql(f'({_rerank_sql("dn_g")})')}), d3 AS ({_placed_sql('hy')}) " + " UNION ALL ".join(f"SELECT '{w}' AS way, {_MEANS} FROM ({_metric(*_PAIR, ranked=t)})" for w, t in (("dense", "d1"), ("dense_rerank", "d2"), ("hybrid", "d3"))),
     "parent_ids": "WITH " + CHUNKS + " SELECT chunk_id, CASE WHEN len(section_path) > 0 THEN 'P-' || left(sha1(source || '::' || array_to_string(section_path, ' > ')), 12) END AS parent FROM ch",
     "embedding_texts": "WITH c AS (SELECT DISTINCT chunk_id, content, section_path, embedding_text FROM chunks WHERE chunk_id IS NOT NULL) SELECT chunk_id, md5(CASE WHEN len(section_path) > 0 THEN 'Section: ' || array_to_string(section_path, ' > ') || chr(10) || chr(10) || content ELSE content END) AS built, md5(coalesce(nullif(embedding_text, ''), content)) AS used FROM c",
     "upsert_merge": "WITH c AS (SELECT source, page_number, chunk_index, bool_or(chunk_id % 2 = 0) AS a, bool_or(chunk_id % 3 = 0) AS b FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1, 2, 3) SELECT source, count(*) AS points, count(*) FILTER (WHERE b) AS changed FROM c WHERE a OR b GROUP BY source",

@@ -6,6 +6,7 @@ cross-encoder, and the stub client no language model. Real ones are injected.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -31,15 +32,23 @@ class HashedWords:
 
     def __init__(self, dimension: int = 64) -> None:
         self.dimension = dimension
+        self._known: dict[str, tuple[int, int]] = {}
 
-    def embed(self, texts: list[str]) -> np.ndarray:
-        import xxhash
+    def _place(self, w: str) -> tuple[int, int]:
+        at = self._known.get(w)
+        if at is None:
+            if len(self._known) > 1 << 19:
+                self._known.clear()
+            h = int(hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16)
+            at = self._known[w] = (h % self.dimension, 1 if h >> 31 else -1)
+        return at
 
+    def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-                out[i, h % self.dimension] += 1 if h >> 32 & 1 else -1
+                d, sign = self._place(w)
+                out[i, d] += sign
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=out, where=n > 0)
 
