@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import squeeze, tokens
+from marginalia.operators.bibliography import stem
+from marginalia.operators.running import running
 
-THRESHOLDS = [0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5]
+# Thresholds of a pair scorer that gives logits; for shares of words there are those of the second list.
+THRESHOLDS = [-3.0, -2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]
+SHARE_THRESHOLDS = [0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5]
 
 
 def lexical_alignment(evidence: Column, reference: Column) -> Column:
@@ -31,6 +35,14 @@ def align_pairs(evidence: DataFrame, refs: DataFrame, score=lexical_alignment) -
     return e.join(r, ["source", "number"]).select("ev_id", "pos", "source", "number", score(F.col("evidence_text"), F.col("reference_text")).alias("score"))
 
 
+def score_references(asked: DataFrame, references: DataFrame, score=lexical_alignment) -> DataFrame:  # noqa: ANN001
+    """``asked`` (ask_id, evidence_text, source, number) with reference_text and score, null where the store has no such
+    reference or an empty one. One join for all; references: stem, number, content."""
+    r = references.where("content <> ''").select(F.col("stem").alias("_stem"), F.col("number").alias("_number"), F.col("content").alias("reference_text"))
+    j = asked.join(r, (stem(F.col("source")) == F.col("_stem")) & (F.col("number") == F.col("_number")), "left").drop("_stem", "_number")
+    return j.withColumn("score", F.when(F.col("reference_text").isNotNull(), score(F.col("evidence_text"), F.col("reference_text"))))
+
+
 def hard_negatives(evidence: DataFrame, refs: DataFrame, per_evidence: int = 2) -> DataFrame:
     """ev_id, source, number, place: references of the source that the evidence doesn't cite, nearest in
     number to the first cited one, ties to the lower.
@@ -40,10 +52,12 @@ def hard_negatives(evidence: DataFrame, refs: DataFrame, per_evidence: int = 2)
     """
     anchor = F.array_compact("reference_numbers")
     e = evidence.select("ev_id", "source", F.array_distinct(anchor).alias("cited")).where(F.size("cited") > 0).withColumn("anchor", F.col("cited")[0])
-    order = Window.partitionBy("source").orderBy("number")
-    r = refs.where("number IS NOT NULL").select("source", "number").distinct().withColumn("place", F.row_number().over(order))
-    # Place of the anchor among the source's numbers (or where it would stand).
-    at = e.select("source", "anchor").distinct().join(r.select("source", F.col("number").alias("n"), "place"), "source").groupBy("source", "anchor").agg(F.count_if(F.col("n") < F.col("anchor")).alias("before"))
+    r = refs.where("number IS NOT NULL AND source IS NOT NULL").select("source", "number").distinct()
+    # Numbers and anchors in one order: how many numbers stand before each, counted in two steps.
+    points = r.withColumn("is_ref", F.lit(1)).unionByName(e.select("source", F.col("anchor").alias("number")).distinct().withColumn("is_ref", F.lit(0)))
+    counted = running(points, {"before": ("sum", F.col("is_ref"))}, ("number", "is_ref"), inclusive=False)
+    r = counted.where("is_ref = 1").select("source", "number", (F.col("before") + 1).alias("place"))
+    at = counted.where("is_ref = 0").select("source", F.col("number").alias("anchor"), "before")
     e = e.join(at, ["source", "anchor"])
     reach = F.size("cited") + per_evidence
     e = e.withColumn("place", F.explode(F.sequence(F.greatest(F.lit(1), F.col("before") - reach + 1).cast("int"), (F.col("before") + reach + 1).cast("int"))))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import tokens, words
+from marginalia.operators.running import running
 
 
 def with_size(chunks: DataFrame) -> DataFrame:
@@ -47,9 +48,12 @@ def section_names(chunks: DataFrame) -> DataFrame:
 
 def sample_positions(chunks: DataFrame) -> DataFrame:
     """Chunks at five positions of each source: first, quarter, half, three quarters, last."""
-    n = chunks.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("chunk_index")).alias("at"))
-    pick = F.array_distinct(F.array(*[F.least(F.floor(F.size("at") * q), F.size("at") - 1).cast("int") for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return n.select("source", F.explode(F.transform(pick, lambda i: F.element_at("at", i + 1))).alias("chunk_index"))
+    one = chunks.where("chunk_index IS NOT NULL").select("source", "chunk_index").distinct()
+    n = one.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    placed = running(one, {"place": ("sum", F.lit(1))}, ("chunk_index",), inclusive=False)
+    picks = n.select("source", F.explode(F.array_distinct(F.array(*[F.least(F.floor(F.col("n") * q), F.col("n") - 1).cast("bigint") for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))).alias("pick"))
+    same = F.col("p.source").eqNullSafe(F.col("o.source")) & (F.col("p.pick") == F.col("o.place"))
+    return picks.alias("p").join(placed.alias("o"), same).select("o.source", "o.chunk_index")
 
 
 def ingest_counters(pages: DataFrame, blocks: DataFrame, refs: DataFrame, chunks: DataFrame) -> DataFrame:

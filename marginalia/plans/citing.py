@@ -1,4 +1,4 @@
-"""Queries on citations, evidence, rendering, alignment and workbooks."""
+"""Queries on citations, evidence, rendering and alignment."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from marginalia.operators import alignment, citations
 from marginalia.operators.orphans import source_key
 from marginalia.plans.common import CHUNKS, EVIDENCE, REFS, WS, chunks, evidence, refs, s_key, s_squeeze, s_strip, s_tokens, s_words
 from marginalia.session import staged
-from marginalia.sources import workbook
-from marginalia.sources.tables import read
 
 
 def _known(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,39 +103,17 @@ def score_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def threshold_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    return alignment.threshold_diagnostics(_scores(spark, sf))
+    return alignment.threshold_diagnostics(_scores(spark, sf), alignment.SHARE_THRESHOLDS)
 
 
 def score_extremes(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.extremes(_scores(spark, sf))
 
 
-def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    """The table of nations as the cells of a sheet with a header row."""
-    n = read(spark, sf, "nation").select((F.col("n_nationkey") + 2).alias("row"), F.array(F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).alias("v"))
-    head = spark.range(1).select(F.lit(1).alias("row"), F.array(F.lit("key"), F.lit(" name "), F.lit("key")).alias("v"))
-    c = n.unionByName(head).select("row", F.posexplode("v").alias("i", "value"))
-    return c.select(F.lit("driver.xlsx").alias("workbook"), F.lit("nation").alias("sheet"), F.lit(0).alias("sheet_no"), "row", (F.col("i") + 1).alias("col"), "value")
-
-
-def cell_search(spark: SparkSession, sf: str) -> DataFrame:
-    return workbook.search_cells(_cells(spark, sf), " TION_1 ", 200)
-
-
-def range_read(spark: SparkSession, sf: str) -> DataFrame:
-    r = workbook.read_range(_cells(spark, sf), "nation", 1, 12)
-    return r.select("row", F.element_at("values", "key").alias("k"), F.element_at("values", "name").alias("name"), F.element_at("values", "key_2").alias("k2"))
-
-
-def sheet_list(spark: SparkSession, sf: str) -> DataFrame:
-    return workbook.list_sheets(_cells(spark, sf)).select("sheet", "max_row", "max_col")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         expand_citations, normalize_citations, build_evidence, render_citations, extract_citations, final_bibliography, prompts, align_pairs, jaccard_pairs, hard_negatives, score_summary, threshold_diagnostics, score_extremes,
-        cell_search, range_read, sheet_list,
     )
 }
 
@@ -147,17 +123,16 @@ cx AS (SELECT ev_id, source, content, u.i AS i, reference_numbers[u.i] AS number
 cy AS (SELECT ev_id, any_value(source) AS source, any_value(content) AS content, number, min(i) AS i FROM cx GROUP BY ev_id, number), cz AS (SELECT *, row_number() OVER (PARTITION BY ev_id ORDER BY i) - 1 AS pos FROM cy), rr AS (SELECT * FROM rf WHERE content IS NOT NULL)"""
 
 
-def _sim(a: str, b: str) -> str:
+def share_of_tokens(a: str, b: str) -> str:
     x, y = f"list_distinct({s_tokens(a)})", f"list_distinct({s_tokens(b)})"
     return f"round(coalesce(len(list_intersect({x}, {y})) * 1.0 / nullif(len(list_distinct(list_concat({x}, {y}))), 0), 0), 6)"
 
 
-_PAIRS = f"al AS (SELECT ev_id, pos, cz.source, cz.number, {_sim('cz.content', 'rr.content')} AS score FROM cz JOIN rr ON rr.source = cz.source AND rr.number = cz.number)"
+_PAIRS = f"al AS (SELECT ev_id, pos, cz.source, cz.number, {share_of_tokens('cz.content', 'rr.content')} AS score FROM cz JOIN rr ON rr.source = cz.source AND rr.number = cz.number)"
 _NEG = """an AS (SELECT ev_id, source, content, first(number ORDER BY pos) AS anchor, list(number) AS cited FROM (SELECT * FROM cz) GROUP BY ev_id, source, content),
 ng AS (SELECT ev_id, an.source, rr.number, an.content, rr.content AS ref, row_number() OVER (PARTITION BY ev_id ORDER BY abs(rr.number - anchor), rr.number) AS rank FROM an JOIN rr ON rr.source = an.source WHERE NOT list_contains(cited, rr.number))"""
-_SCORES = f"s AS (SELECT 'cited' AS type, ev_id, source, number, score FROM al UNION ALL SELECT 'negative', ev_id, source, number, {_sim('content', 'ref')} FROM ng WHERE rank <= 2)"
+_SCORES = f"s AS (SELECT 'cited' AS type, ev_id, source, number, score FROM al UNION ALL SELECT 'negative', ev_id, source, number, {share_of_tokens('content', 'ref')} FROM ng WHERE rank <= 2)"
 _ALL = "WITH " + EVIDENCE + "," + REFS + "," + _USABLE + "," + _PAIRS + "," + _NEG + "," + _SCORES
-_CELLS = "c AS (SELECT n_nationkey + 2 AS row, 1 AS col, CAST(n_nationkey AS VARCHAR) AS value FROM nation UNION ALL SELECT n_nationkey + 2, 2, n_name FROM nation UNION ALL SELECT n_nationkey + 2, 3, CAST(n_regionkey AS VARCHAR) FROM nation UNION ALL VALUES (1, 1, 'key'), (1, 2, ' name '), (1, 3, 'key'))"
 _ONE = rf"\[[^\]]+?\.pdf,{WS}*ref{WS}+\d+\]"
 _DONE = rf"\[[^\[\]]+?\.pdf,{WS}*(?:ref{WS}+\d+|page{WS}+\d+)\]"
 _BEFORE = rf"""regexp_replace(@, '(?i)([.!?]){WS}+((?:{_ONE}{WS}*)*{_ONE}){WS}*([A-Z0-9])', ' \2\1 \3', 'g')"""
@@ -212,7 +187,4 @@ SELECT chunk_id, CAST(g AS INTEGER) AS g, CAST(row_number() OVER (PARTITION BY c
     "score_summary": _ALL + " SELECT type, count(*) AS n, CAST(min(score) AS DOUBLE) AS min, " + ", ".join(f"round(quantile_cont(CAST(score AS DOUBLE), {p}), 6) AS p{int(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9)) + ", round(avg(score), 6) AS mean, CAST(max(score) AS DOUBLE) AS max FROM s GROUP BY type",
     "threshold_diagnostics": _ALL + " SELECT CAST(t AS DOUBLE) AS threshold, round(coalesce(avg(CASE WHEN score >= t THEN 1.0 ELSE 0 END) FILTER (WHERE type = 'cited'), 0), 6) AS cited_kept, round(coalesce(avg(CASE WHEN score < t THEN 1.0 ELSE 0 END) FILTER (WHERE type = 'negative'), 0), 6) AS negative_rejected FROM s CROSS JOIN (VALUES (0.0), (0.05), (0.1), (0.15), (0.2), (0.3), (0.4), (0.5)) v(t) GROUP BY t",
     "score_extremes": _ALL + " SELECT type, ev_id, source, number, CAST(score AS DOUBLE) AS score FROM (SELECT * FROM s WHERE type = 'cited' ORDER BY score, ev_id, number LIMIT 15) UNION ALL SELECT type, ev_id, source, number, CAST(score AS DOUBLE) FROM (SELECT * FROM s WHERE type = 'negative' ORDER BY score DESC, ev_id, number LIMIT 15)",
-    "cell_search": "WITH " + _CELLS + " SELECT 'driver.xlsx' AS workbook, 'nation' AS sheet, row, col, value FROM c WHERE contains(lower(value), 'tion_1')",
-    "range_read": "SELECT n_nationkey + 2 AS row, CAST(n_nationkey AS VARCHAR) AS k, n_name AS name, CAST(n_regionkey AS VARCHAR) AS k2 FROM nation WHERE n_nationkey + 2 BETWEEN 2 AND 12",
-    "sheet_list": "WITH " + _CELLS + " SELECT 'nation' AS sheet, max(row) AS max_row, max(col) AS max_col FROM c",
 }

@@ -11,7 +11,7 @@ from marginalia.functions.ids import parent_id, point_id
 from marginalia.functions.text import embedding_text, text_to_embed
 from marginalia.operators import dense, evaluation, quality, ranking, sparse
 from marginalia.operators.orphans import source_key
-from marginalia.plans.common import CHUNKS, EVIDENCE, PAGES, WS, blocks, chunks, evidence, pages, s_key, s_squeeze, s_strip, s_tokens, s_words
+from marginalia.plans.common import CHUNKS, EVIDENCE, WS, blocks, chunks, evidence, pages, s_key, s_squeeze, s_strip, s_tokens, s_words
 from marginalia.plugins import embed_column
 from marginalia.session import checkpoint_dir, staged
 from marginalia.sources.store import VectorStore
@@ -228,10 +228,6 @@ def ingest_counters(spark: SparkSession, sf: str) -> DataFrame:
     return quality.ingest_counters(pages(spark, sf), blocks(spark, sf), r, chunks(spark, sf))
 
 
-def list_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return pages(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n_pages")).orderBy("source")
-
-
 def point_ids(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).select("chunk_id", point_id(F.col("source"), F.col("page_number"), F.col("chunk_index")).alias("point_id"))
 
@@ -260,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         term_frequency, document_frequency, bm25_idf, bm25_topk, vector_topk, vector_norms, greedy_dedup, dense_retrieve, hybrid_topk, rrf_fuse, rerank_lexical, search_source_filter, metrics_pages, metrics_single_source, metrics_page_only,
-        k_sweep, candidate_sweep, dense_against_rerank, hybrid_evaluation, quality_report, token_distribution, block_type_histogram, smallest_chunks, oversized_chunks, section_names, sample_positions, ingest_counters, list_sources, point_ids, parent_ids, embedding_texts,
+        k_sweep, candidate_sweep, dense_against_rerank, hybrid_evaluation, quality_report, token_distribution, block_type_histogram, smallest_chunks, oversized_chunks, section_names, sample_positions, ingest_counters, point_ids, parent_ids, embedding_texts,
         upsert_merge,
     )
 }
@@ -357,7 +353,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fi
     "section_names": "SELECT DISTINCT section_title FROM chunks WHERE section_title IS NOT NULL AND chunk_id IS NOT NULL",
     "sample_positions": "WITH " + CHUNKS + ", s AS (SELECT source, list_sort(list_distinct(list(chunk_index))) AS a FROM ch GROUP BY source) SELECT DISTINCT source, a[CAST(least(floor(len(a) * q), len(a) - 1) AS INTEGER) + 1] AS chunk_index FROM s, (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) v(q)",
     "ingest_counters": r"WITH x AS (SELECT 'pages' AS what, page_id AS id, source FROM doc_pages UNION SELECT 'blocks', block_id, source FROM blocks UNION SELECT 'refs', ref_id, source FROM refs UNION SELECT 'chunks', chunk_id, source FROM chunks), y AS (SELECT what, regexp_replace(source, '(?i)\.pdf$', '') AS source FROM x WHERE id IS NOT NULL AND source IS NOT NULL) SELECT source, count(*) FILTER (WHERE what = 'pages') AS pages, count(*) FILTER (WHERE what = 'blocks') AS blocks, count(*) FILTER (WHERE what = 'refs') AS refs, count(*) FILTER (WHERE what = 'chunks') AS chunks FROM y GROUP BY ROLLUP (source)",
-    "list_sources": "WITH " + PAGES + " SELECT source, count(*) AS n_pages FROM pg GROUP BY source",
     "point_ids": "WITH " + CHUNKS + ", h AS (SELECT chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || ':' || page_number || ':' || chunk_index)) AS d FROM ch) SELECT chunk_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || translate(substr(d, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS point_id FROM h",
     "greedy_dedup": _RBASE + _greedy("bm", 5, 15) + " SELECT query_id, CAST(rank AS INTEGER) AS rank, doc, score FROM bm_g",
     "dense_retrieve": _RBASE + _VECTORS + "," + _greedy("dn", 5, 15) + " SELECT query_id, CAST(rank AS INTEGER) AS rank, doc, score FROM dn_g",

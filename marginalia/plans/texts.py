@@ -113,11 +113,6 @@ def latest_refs(spark: SparkSession, sf: str) -> DataFrame:
     return refs(spark, sf)
 
 
-def reference_store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    r = refs(spark, sf).where("content IS NOT NULL").withColumnRenamed("source", "stem")
-    return bibliography.from_json_maps(bibliography.to_json_maps(r))
-
-
 _KIND = rf"""
 CASE WHEN t.s SIMILAR TO '(?s).*' AND regexp_matches(t.s, '{layout.TABLE}') THEN 'table'
  WHEN regexp_matches(t.s, '{layout.FIGURE}') THEN 'figure_caption' WHEN regexp_matches(t.s, '{layout.BACK_MATTER}') THEN 'back_matter'
@@ -160,7 +155,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         noise_clean, page_number_blocks, paragraph_normalize, dehyphenate, unicode_clean, sentence_split, margin_signatures, margin_filtered_pages, body_font_median, classify_blocks, section_fill, section_path, inline_headings,
-        take_until_references, bibliography_cut, main_page_blocks, parse_bracketed_refs, parse_plain_refs, latest_refs, reference_store_roundtrip,
+        take_until_references, bibliography_cut, main_page_blocks, parse_bracketed_refs, parse_plain_refs, latest_refs,
     )
 }
 _W = "WITH "
@@ -189,7 +184,6 @@ SELECT source, n AS number, {s_strip('c')} AS content FROM en WHERE {s_strip('c'
     "main_page_blocks": _W + PAGES + "," + BLOCKS + "," + _CUTPAGES + " SELECT block_id FROM bl WHERE (source, page_number) IN (SELECT (source, page_number) FROM mn)",
     "parse_bracketed_refs": _W + REFS + f" SELECT source, number, {s_squeeze('content')} AS content FROM rf WHERE content IS NOT NULL AND {s_squeeze('content')} <> ''",
     "latest_refs": _W + REFS + " SELECT * FROM rf",
-    "reference_store_roundtrip": _W + REFS + " SELECT source AS stem, number, content FROM rf WHERE content IS NOT NULL",
     "section_path": "WITH RECURSIVE " + BLOCKS + "," + BODY + f""", hd AS (SELECT source, page_number, pos, {HEAD} AS h, row_number() OVER (PARTITION BY source ORDER BY page_number, pos) AS k FROM ty WHERE kind = 'heading'),
 lv AS (SELECT *, regexp_extract(h, '^(\\d+(?:\\.\\d+)*)', 1) AS num FROM hd),
 wp AS (SELECT source, k, [h] AS path FROM lv WHERE k = 1 UNION ALL SELECT lv.source, lv.k, CASE WHEN num = '' THEN [h] ELSE list_append(wp.path[1 : len(string_split(num, '.')) - 1], h) END FROM wp JOIN lv ON lv.source = wp.source AND lv.k = wp.k + 1),

@@ -73,10 +73,10 @@ def copy_in(path: str, folder: str) -> Path:
     return target
 
 
-def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """query, question, source, page_number of a gold set in either form (one source with pages, or a list of
-    documents with pages)."""
-    g = spark.read.option("multiLine", True).json(path)
+def read_gold(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """question, source, page_number of a gold set in either form (one source with pages, or a list of
+    documents with pages): a JSON array, or with ``lines`` one object a line."""
+    g = spark.read.option("multiLine", not lines).json(path)
     if "relevant_documents" in g.columns:
         d = g.select("question", F.explode("relevant_documents").alias("d"))
         g = d.select("question", "d.source", F.explode("d.pages").alias("page_number"))
@@ -93,4 +93,4 @@ def inline_gold(spark: SparkSession, rows: list[tuple[str, str, list[int]]]) ->
 def write_calibration(scores: DataFrame, path: str) -> None:
     """The seven columns of a calibration as CSV with a header."""
     columns = ["type", "source", "page_number", "reference_number", "score", "evidence_text", "reference_text"]
-    scores.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    scores.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

@@ -4,7 +4,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia import plugins
+from marginalia import answering, plugins
+from marginalia.server import serve
 from marginalia.service import KnowledgeService
 from marginalia.sources import files, store, workbook
 from marginalia.streaming.ingest import ingest_stream
@@ -26,14 +27,29 @@ def test_workbook(spark, tmp_path):
     path = str(tmp_path / "w.xlsx")
     make_workbook(path)
     s = KnowledgeService(spark, str(tmp_path), None)
-    assert s.excel_list_sheets(path)["sheets"] == [{"name": "One", "max_row": 3, "max_col": 3}, {"name": "Two", "max_row": 4, "max_col": 28}]
-    assert s.excel_read(path, "One")["rows"] == [{"_row": 2, "sample": "Steel A", "column_2": "2.5", "sample_2": "2024-01-01"}, {"_row": 3, "column_2": "true"}]
-    assert [(r["sheet"], r["row"], r["col"]) for r in s.excel_search(path, "STEEL")["results"]] == [("One", 2, 1), ("Two", 4, 28)]
+    assert s.excel_list_sheets(path)["sheets"] == [{"name": "One", "rows": 3, "columns": 3}, {"name": "Two", "rows": 4, "columns": 28}]
+    got = s.excel_read(path, "One")
+    assert got["rows"] == [{"_row": 2, "sample": "Steel A", "column_2": 2.5, "sample_2": "2024-01-01T00:00:00"}, {"_row": 3, "sample": None, "column_2": True, "sample_2": None}]
+    assert got["headers"] == ["sample", "column_2", "sample_2"] and (got["start_row"], got["end_row"], got["count"]) == (2, 3, 2)
+    assert s.excel_read(path, "Two", 1, 3)["rows"][0]["column_28"] is None and s.excel_read(path, "One", 40, 50)["rows"] == []
+    assert [(r["sheet"], r["row"], r["column"]) for r in s.excel_search(path, "STEEL")["matches"]] == [("One", 2, 1), ("Two", 4, 28)]
+    assert [r["value"] for r in s.excel_search(path, "2024-01-01 00", "One")["matches"]] == ["2024-01-01T00:00:00"] and s.excel_search(path, "steel", "Two")["count"] == 1
+    for wrong in (lambda: s.excel_read(path, "None"), lambda: s.excel_search(path, " ")):
+        with pytest.raises(ValueError):
+            wrong()
     with pytest.raises(ValueError):
         workbook.check_range(2, 503, 1)
     workbook.check_range(2, 502, 1)
 
 
+def test_workbook_written_and_read(spark, tmp_path):
+    path = str(tmp_path / "o.xlsx")
+    workbook.write_workbook(path, {"a & b": [["x", 1, 2.5, True, None, "<y>"], [], [None, "z"]], "empty": []})
+    cells = list(workbook.cells_of(open(path, "rb").read()))
+    assert cells == [("a & b", 0, 1, 1, "string", "x"), ("a & b", 0, 1, 2, "number", "1"), ("a & b", 0, 1, 3, "number", "2.5"), ("a & b", 0, 1, 4, "boolean", "true"), ("a & b", 0, 1, 6, "string", "<y>"), ("a & b", 0, 3, 2, "string", "z"), ("a & b", 0, 3, 6, "sheet", None), ("empty", 1, None, None, "sheet", None)]
+    assert [workbook.typed(k, v) for *_, k, v in cells[:4]] == ["x", 1, 2.5, True]
+
+
 def test_headers_never_collide(spark):
     df = spark.createDataFrame([(["a", "a_2", "a", "", None, "a"],)], "h array<string>")
     assert df.select(workbook.normalize_headers("h").alias("n")).first().n == ["a", "a_2", "a_3", "column_4", "column_5", "a_4"]
@@ -50,14 +66,30 @@ def test_vector_store_merges_by_key(spark, tmp_path):
     assert sorted(r.content for r in v.scan().collect()) == ["only", "z"]
     with pytest.raises(Exception, match="size"):
         v.upsert(spark.createDataFrame([("c", 1, 0, "x", [1.0])], point))
+    # Untouched buckets keep their files, and a second writer of the same version fails.
+    before = v._manifest(v._version())["at"]
+    v.upsert(spark.createDataFrame([("d", 1, 0, "more", [1.0, 1.0]), ("d", 1, 0, "a copy", [1.0, 1.0])], point))
+    after = v._manifest(v._version())["at"]
+    assert sum(before.get(b) != p for b, p in after.items()) == 1 and v.count() == 3
+    with pytest.raises(RuntimeError):
+        v._commit(v._version(), {})
+    assert v.vacuum() > 0 and sorted(r.content for r in v.scan(vectors=True).collect()) == ["more", "only", "z"]
+    with pytest.raises(ValueError):
+        store.VectorStore(spark, v.path, 3).ensure()
+    with pytest.raises(ValueError):
+        store.VectorStore(spark, v.path, 2, "dot")
 
 
 def test_reference_store(spark, tmp_path):
-    path = str(tmp_path / "refs")
+    keep = store.ReferenceStore(spark, str(tmp_path / "refs"))
+    assert keep.load("a.pdf") == {} and keep.get("a.pdf", 1) is None and keep.all().count() == 0
     refs = spark.createDataFrame([("a.pdf", 1, "old", 1), ("a.pdf", 1, "new", 2), ("b.pdf", 2, "x", 1)], "source string, number int, content string, ord int")
-    store.write_references(refs, path)
-    store.write_references(refs.where("source = 'b.pdf'").withColumn("content", F.lit("y")), path)
-    assert sorted(tuple(r) for r in store.load_references(spark, path).collect()) == [("a", 1, "new"), ("b", 2, "y")]
+    keep.save(refs, "ord")
+    keep.save(refs.where("source = 'b.pdf'").withColumn("content", F.lit("y")))
+    assert sorted(tuple(r) for r in keep.all().collect()) == [("a", 1, "new"), ("b", 2, "y")]
+    assert keep.load("a.pdf") == {1: "new"} and keep.get("b.pdf", 2) == "y" and keep.get("b.pdf", 3) is None
+    asked = spark.createDataFrame([("a.pdf", 1, "q"), ("a.pdf", 9, "r"), (None, 1, "s")], "source string, number int, content string")
+    assert {r.content: r.reference for r in keep.lookup(asked).collect()} == {"q": "new", "r": None, "s": None}
 
 
 def test_stream_and_search(spark, tmp_path):
@@ -85,9 +117,10 @@ def test_upload_statuses(spark, tmp_path):
     v = store.VectorStore(spark, str(tmp_path / "index"), 64)
     s = KnowledgeService(spark, str(managed), v, extract=lambda b: b.decode().split("\x0c"))
     got = s.ingest_documents([str(tmp_path / x) for x in ("d.pdf", "w.xlsx", "n.txt", "missing.pdf")], "v1")["results"]
-    assert [r["status"] for r in got] == ["ingested", "stored", "error", "error"]
+    assert [r["status"] for r in got] == ["indexed", "stored", "error", "error"]
     assert sorted((r.page_number, r.content) for r in v.scan().collect()) == [(1, "first page"), (3, "second page")]
-    assert [x["name"] for x in s.list_sources()["sources"]] == ["d.pdf", "w.xlsx"]
+    kinds = s.list_sources()
+    assert ([x["name"] for x in kinds["pdfs"]], [x["name"] for x in kinds["excel"]], kinds["count"]) == (["d.pdf"], ["w.xlsx"], 2)
     with pytest.raises(ValueError):
         s.ingest_documents([])
 
@@ -112,3 +145,35 @@ def test_clients(spark):
         plugins.KeyedClient(lambda *a: None, None)
     p = spark.createDataFrame([(1, "E1\ntext")], "query_id bigint, prompt string")
     assert plugins.answers(p).first().answer == "See the evidence [E1]."
+
+
+def test_tools_over_lines(spark, tmp_path):
+    import io
+
+    make_workbook(tmp_path / "w.xlsx")
+    s = KnowledgeService(spark, str(tmp_path), None)
+    calls = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "excel_list_sheets", "arguments": {"path": str(tmp_path / "w.xlsx")}}}, {"id": 4, "method": "tools/call", "params": {"name": "excel_read", "arguments": {"path": "nothing.xlsx", "sheet": "a"}}}, {"id": 5, "method": "other"}, {"id": 6, "method": "tools/call", "params": {"name": "other"}}]
+    out = io.StringIO()
+    serve(s, io.StringIO("\n".join([json.dumps(c) for c in calls] + ["{", ""])), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [r["id"] for r in got] == [1, 2, 3, 4, 5, 6, None]
+    tools = {t["name"]: t["inputSchema"] for t in got[1]["result"]["tools"]}
+    assert len(tools) == 6 and tools["excel_read"]["required"] == ["path", "sheet"] and tools["search_knowledge"]["properties"]["top_k"] == {"type": "integer"}
+    assert got[2]["result"]["structuredContent"]["sheets"][0]["name"] == "One" and got[3]["result"]["isError"] and "error" in got[4] and "error" in got[5]
+
+
+def test_questions_to_cited_answers(spark):
+    point = "doc bigint, content string, source string, page_number int, chunk_index int"
+    points = spark.createDataFrame([(1, "Steel creeps at high temperature [1]. It is known.", "a.pdf", 3, 0), (2, "Soil holds water.", "b.pdf", 1, 0)], point).withColumn("vector", plugins.embed_column(F.col("content")))
+    refs = spark.createDataFrame([("a", 1, "Creep of steel, 2001")], "stem string, number int, content string")
+    q = spark.createDataFrame([(1, " steel creeps at high temperature "), (2, " "), (3, None), (None, "x")], "query_id bigint, text string")
+    done = answering.answer(q, points, refs, top_k=1)
+    assert [(r.query_id, r.rendered) for r in done.answers.collect()] == [(1, "See the evidence [a.pdf, ref 1].")]
+    assert [tuple(r) for r in done.bibliography.collect()] == [(1, 0, "a.pdf", 1, "Creep of steel, 2001")]
+    assert [(r.content, r.page, r["rank"]) for r in done.results.collect()] == [("Steel creeps at high temperature [1]. It is known.", 3, 1)]
+
+    class Longest:
+        def score(self, pairs):
+            return [len(b) for _, b in pairs]
+
+    assert answering.answer(q, points, refs, scorer=Longest, top_k=2).results.count() == 2
