@@ -1,12 +1,13 @@
 """References to records that do not exist, by range-partitioned sorted parent arrays.
 
-The keys (source, number) are mapped to one 64-bit hash, whose top bits name a range: ranges are
-of equal size whatever the sources are. Per range the parents are stored as arrays sorted by
+The keys (source, number) are mapped to 64-bit codes that spread evenly, and the codes are cut into
+ranges of equal width, as many as the parents need. Per range the parents are stored as arrays sorted by
 (key, start of life) together with the running latest end of life. Batches of references are
-sent to their range and looked up with vectorised binary searches.
+sent to their range and looked up with vectorised binary searches; a second code tells keys of one code apart.
 
-Hot keys: a range that receives more references than ``probes_per_task`` is split by a salt, and
-its parent arrays (bounded by the range width) are copied to each salt.
+Hot keys: a range with very many references is split by a salt, and its parents are copied to each salt. A
+range with very many parents (one key with very many records) is split into parts, its references meet each
+part, and a reference is live if it is so in any of them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.session import staged
+
 NEVER = np.iinfo(np.int64).max
 
 
@@ -29,6 +32,10 @@ def _key(source: Column, number: Column) -> Column:
     return F.xxhash64(source_key(source), number.cast("int"))
 
 
+def _check(source: Column, number: Column) -> Column:
+    return F.xxhash64(F.lit("check"), number.cast("int"), source_key(source))
+
+
 def _bisect(starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: np.ndarray) -> np.ndarray:
     """For each i the number of entries of starts[lo[i]:hi[i]] that are <= t[i], plus lo[i]."""
     lo, hi = lo.copy(), hi.copy()
@@ -53,6 +60,20 @@ def probe(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, pk: np.ndarray
     return hi > lo, live
 
 
+def _told_apart(key: np.ndarray, check: np.ndarray, pk: np.ndarray, pcheck: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of parents and references such that equal ones agree in both codes."""
+    o = np.lexsort((check, key))
+    k, c = key[o], check[o]
+    at = np.minimum(np.searchsorted(k, pk), max(0, len(k) - 1))
+    clear = not ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any() and (not len(k) or not ((k[at] == pk) & (c[at] != pcheck)).any())
+    if clear:
+        return key, pk
+    both = np.empty(len(key) + len(pk), [("k", np.int64), ("c", np.int64)])
+    both["k"], both["c"] = np.r_[key, pk], np.r_[check, pcheck]
+    number = np.unique(both, return_inverse=True)[1].reshape(-1).astype(np.int64)
+    return number[: len(key)], number[len(key) :]
+
+
 def _sorted_arrays(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     o = np.lexsort((start, key))
     key, start, end = key[o], start[o], end[o].copy()
@@ -86,47 +107,55 @@ def orphan_references(
     probed repeatedly; callers deduplicate. Empty tables give the natural result (all orphans,
     or none). Extra columns of either input are ignored.
     """
-    spark = probes.sparkSession
-    n = refs.count()
-    bits = min(12, max(0, int(np.ceil(np.log2(max(1, n) / parents_per_range)))))
-    rng = F.shiftrightunsigned(F.col("key"), 64 - bits).cast("int") if bits else F.lit(0)
+    # Ranges grow with the parents; at least two, so that a range is never one constant.
+    bits = min(30, max(1, int(np.ceil(np.log2(max(1, refs.count()) / parents_per_range)))))
+    rng = F.shiftrightunsigned(F.col("key"), 64 - bits).cast("int")
 
     parents = (
         refs.where(F.col("source").isNotNull() & F.col("number").isNotNull() & F.col("ingested_at").isNotNull())
         .select(
             _key(F.col("source"), F.col("number")).alias("key"),
+            _check(F.col("source"), F.col("number")).alias("check"),
             F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("start"),
             F.coalesce(F.unix_micros(F.col("deleted_at").cast("timestamp")), F.lit(int(NEVER))).alias("end"),
         )
+        # A key's lifetimes that start together live as long as the longest of them.
+        .groupBy("key", "check", "start").agg(F.max("end").alias("end"))
         .withColumn("range", rng)
-    )
+    )
     p = (
         probes.where(F.col("source").isNotNull() & F.col("ref_number").isNotNull())
-        .select("ref_table", "row_id", F.col("ref_number").cast("int").alias("ref_number"), "at", _key(F.col("source"), F.col("ref_number")).alias("key"))
+        .select("ref_table", "row_id", F.col("ref_number").cast("int").alias("ref_number"), F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), _key(F.col("source"), F.col("ref_number")).alias("key"), _check(F.col("source"), F.col("ref_number")).alias("check"))
         .withColumn("range", rng)
     )
-    # At most 2**12 ranges, so this table is bounded whatever the input.
-    salts = p.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / probes_per_task).cast("int").alias("salts"))
-    p = p.join(F.broadcast(salts), "range").withColumn("salt", F.pmod(F.xxhash64("row_id", "ref_number"), F.col("salts")).cast("int")).drop("salts")
-    parents = parents.join(F.broadcast(salts), "range").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    # One row a range: how often its references and its parents are split.
+    size = p.groupBy("range").agg(F.count(F.lit(1)).alias("refs")).join(parents.groupBy("range").agg(F.count(F.lit(1)).alias("parents")), "range", "left")
+    size = staged(size.select("range", F.ceil(F.col("refs") / probes_per_task).cast("int").alias("salts"), F.greatest(F.lit(1), F.ceil(F.coalesce("parents", F.lit(0)) / (4 * parents_per_range))).cast("int").alias("parts")))
+    split = not size.where("parts > 1").isEmpty()
+    p = p.join(size, "range").withColumn("salt", F.pmod(F.xxhash64("row_id", "ref_number"), F.col("salts")).cast("int"))
+    p = p.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if split else F.lit(0))
+    parents = parents.join(size, "range").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    parents = parents.withColumn("part", F.pmod(F.xxhash64("start"), F.col("parts")).cast("int"))
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        keys, starts, ends = _sorted_arrays(right["key"].to_numpy(np.int64), right["start"].to_numpy(np.int64), right["end"].to_numpy(np.int64))
-        t = left["at_us"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64) if len(left) else np.empty(0, np.int64)
-        known, live = probe(keys, starts, ends, left["key"].to_numpy(np.int64), t)
         out = left[["ref_table", "row_id", "ref_number", "at_us"]].copy()
-        out["reason"] = np.where(live, None, np.where(known, "not_live", "missing"))
-        return out if keep_live else out[~live]
-
-    out = (
-        p.withColumn("at_us", F.unix_micros(F.col("at").cast("timestamp")))
-        .drop("at")
-        .groupBy("range", "salt")
-        .cogroup(parents.groupBy("range", "salt"))
-        .applyInPandas(one, "ref_table string, row_id bigint, ref_number int, at_us bigint, reason string")
-    )
-    assert spark is out.sparkSession
-    return out.select("ref_table", "row_id", "ref_number", F.timestamp_micros("at_us").cast("timestamp_ntz").alias("at"), "reason")
+        key, pk = _told_apart(*[x.to_numpy(np.int64) for x in (right["key"], right["check"], left["key"], left["check"])])
+        keys, starts, ends = _sorted_arrays(key, right["start"].to_numpy(np.int64), right["end"].to_numpy(np.int64))
+        t = left["at_us"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64) if len(left) else np.empty(0, np.int64)
+        out["known"], out["live"] = probe(keys, starts, ends, pk, t)
+        return out if keep_live or split else out[~out["live"]]
+
+    columns = ["ref_table", "row_id", "ref_number", "at_us", "key", "check", "range", "salt", "part"]
+    out = p.select(*columns).groupBy("range", "salt", "part").cogroup(parents.select("key", "check", "start", "end", "range", "salt", "part").groupBy("range", "salt", "part")).applyInPandas(one, "ref_table string, row_id bigint, ref_number int, at_us bigint, known boolean, live boolean")
+    if split:
+        # What met several parts: live or known in any of them. Repeated references stay as often as they came.
+        met = out.groupBy("ref_table", "row_id", "ref_number", "at_us").agg(F.bool_or("known").alias("known"), F.bool_or("live").alias("live"))
+        times = p.where("part = 0").groupBy("ref_table", "row_id", "ref_number", "at_us").agg(F.count(F.lit(1)).alias("times"))
+        same = [F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("ref_table", "row_id", "ref_number", "at_us")]
+        out = met.alias("m").join(times.alias("t"), same).select("m.*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("col")
+        out = out if keep_live else out.where("NOT live")
+    reason = F.when(~F.col("live"), F.when(F.col("known"), "not_live").otherwise("missing"))
+    return out.select("ref_table", "row_id", "ref_number", F.timestamp_micros("at_us").cast("timestamp_ntz").alias("at"), reason.alias("reason"))
 
 
 def reference_probes(evidence: DataFrame, used_refs: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,6 +41,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             d = checkpoint_dir._own = tempfile.mkdtemp(prefix="marginalia-")
+            atexit.register(shutil.rmtree, d, ignore_errors=True)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -52,6 +55,14 @@ def staged(df: DataFrame) -> DataFrame:
     recomputing the plan.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/stage-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Removes the tables this application staged, once nothing reads them any more; returns their number. An own
+    folder of a local session goes with the process."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/stage-{spark.sparkContext.applicationId}-*")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(bool(fs.delete(f.getPath(), True)) for f in fs.globStatus(path) or [])

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+from marginalia.operators import orphans
 from marginalia.operators.orphans import orphan_references, orphan_report, reference_probes
 
 T = dt.datetime(2024, 1, 1)
@@ -46,6 +47,29 @@ def test_one_key_with_most_references(spark):
     assert orphan_references(refs, p, probes_per_task=100).count() == 30
 
 
+def test_one_key_with_most_parents(spark):
+    r = random.Random(5)
+    day = lambda: T + dt.timedelta(days=r.randint(0, 300))
+    refs = [("hot", 1, d, d + dt.timedelta(hours=r.randint(0, 40)), "") for d in (day() for _ in range(300))] + [("b", 2, T, None, "")]
+    us = [(i, "hot.pdf" if i % 3 else "b", 1 if i % 3 else 2, day()) for i in range(200)]
+    p = reference_probes(spark.createDataFrame([], EV), spark.createDataFrame(us, US))
+    t = spark.createDataFrame(refs, REFS)
+    got = [tuple(x) for x in orphan_references(t, p.unionByName(p), parents_per_range=10, probes_per_task=50).select("ref_table", "row_id", "ref_number").collect()]
+    want = brute(refs, [("used_refs", u[0], u[1], u[2], u[3]) for u in us])
+    assert set(got) == want and len(got) == 2 * len(want)
+    kept = orphan_references(t, p, parents_per_range=10, keep_live=True).collect()
+    assert len(kept) == 200 and {x.row_id for x in kept if x.reason} == {x[1] for x in want} and {x.reason for x in kept} == {None, "not_live"}
+
+
+def test_keys_of_one_code_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "_key", lambda source, number: number.cast("bigint") % 2)
+    refs = [("a", 1, T, None, ""), ("a", 3, T, None, ""), ("b", 2, T, None, "")]
+    us = [(i, s, n, T + dt.timedelta(days=1)) for i, (s, n) in enumerate([("a", 1), ("a", 3), ("a", 5), ("b", 2), ("b", 4), ("b", 1), ("a", 2)])]
+    p = reference_probes(spark.createDataFrame([], EV), spark.createDataFrame(us, US))
+    got = {x.row_id: x.reason for x in orphan_references(spark.createDataFrame(refs, REFS), p).collect()}
+    assert got == {2: "missing", 4: "missing", 5: "missing", 6: "missing"}
+
+
 def test_empty_tables(spark):
     none = reference_probes(spark.createDataFrame([], EV), spark.createDataFrame([], US))
     assert orphan_references(spark.createDataFrame([], REFS), none).count() == 0
