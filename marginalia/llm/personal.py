@@ -2,141 +2,110 @@
 
 The model is trained by stochastic gradient ascent of the conditional log-likelihood on a small
 labelled table (``pii_training``), and decoded by Viterbi in numpy batches. The features of a token
-(its shape, word, ending, spacing) count at the token itself and at its neighbours, so what a token
-adds at each distance is one row of a table, looked up by the token. Only windows around what
-could start or end a find (signs of addresses, long numbers, capitalised pairs) are decoded; the
-windows reach over all features and any find, so this affects time only.
+(its shape, word, beginning, ending, spacing) count at the token itself and at its neighbours, so what a
+token adds at each distance is one row of a table, looked up by the token. Every token of a text is
+decoded. Texts of more than ``PIECE`` tokens are decoded in pieces that overlap by ``LAP`` on either side;
+a find is taken from the piece in whose inner part it starts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.pii_training import labelled_sentences
+from marginalia.llm.pii_training import common_words, labelled_sentences
 
+Weights = tuple[dict[str, np.ndarray], np.ndarray, frozenset[str]]
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 REACH = 3
-_token = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|\n|[^\w\s]|_")
-_CAP = "[A-ZÀ-ÖØ-Þ]"
-_hint = re.compile(
-    r"@|[(\[]at[)\]]|\+\d|\(0?\d{2,5}\)|\d{2,}(?:[ /-]\d{2,}){2,}|\d \d\d \d\d|\d{3}\.\d{3}\.\d{4}|\d\d(?:\.\d\d){4}|\d{3}/\d{6}|\d{4,5} \d{5,6}|[A-Z]{2} ?\d{2} ?\d{2}|[A-Z]?\d{7,8}[A-Z]|\d{7,}"
-    f"|(?:{_CAP}\\. )+{_CAP}\\w|{_CAP}\\w+,? (?:(?:von|van|der|de|del|{_CAP}\\.) )*{_CAP}\\w+|\\d{{5}} {_CAP}|\\d+[a-z]?, \\w+ d|{_CAP}\\w+ \\d+[a-z]?, \\d"
-)
-BEFORE, AFTER = 60, 80
+PIECE, LAP = 1024, 128
+#: Tokens whose sums of weights are kept at once.
+KEPT = 1 << 16
+_token = re.compile("[\u3040-\u30ff\u3400-\u9fff々]|(?:นางสาว|นาย|นาง|คุณ)(?=[\u0e01-\u0e2e\u0e40-\u0e44])|[\u0e00-\u0e7f]+|[\u0900-\u0963\u0966-\u097f]+|[^\\W\\d_]+(?:['’-][^\\W\\d_]+)*|\\d+|\\n|[^\\w\\s]|_")
+
+_signs = re.compile(r"[^\s\d@。，、；：！？）（\u3040-\u30ff\u3400-\u9fff]*[\d@][^\s。，、；：！？）（\u3040-\u30ff\u3400-\u9fff]*")
 
 
 def _shape(w: str) -> str:
     c = w[0]
     if c.isdigit():
-        return f"d{min(len(w), 9)}"
+        return f"d{min(len(w), 12)}"
+    o = ord(c)
+    if 0x0900 <= o < 0x0980 or 0x0E00 <= o < 0x0E80:
+        return "deva" if o < 0x0980 else "thai"
     if not c.isalpha():
         return w
+    if 0x3040 <= o < 0x3100:
+        return "hira" if o < 0x30A0 else "kata"
     if not (c.isupper() or c.islower()):
-        return "caseless"
+        return "han" if o >= 0x3400 else "arab" if 0x0600 <= o < 0x0700 else "caseless"
+    script = "" if o < 0x370 else "g" if o < 0x400 else "c"
     if len(w) == 1:
-        return "X" if c.isupper() else "x"
-    return ("XX" if w.isupper() else "Xx" if c.isupper() else "xx") + ("'" if "'" in w else "")
+        return script + ("X" if c.isupper() else "x")
+    part = w.rpartition("-")[2]
+    return script + ("XX" if w.isupper() else "Xx" if c.isupper() else "xx") + ("'" if "'" in w or "’" in w else "") + ("" if part == w else "-X" if part[:1].isupper() else "-x")
+
+
+def _chunk(c: str) -> str:
+    """The shape of a stretch between white space that holds digits or an at sign; '' of any other."""
+    if "@" in c:
+        return "@"
+    if not any(x.isdigit() for x in c):
+        return ""
+    c = re.sub(r"[^\W\d_]+", lambda m: ("A" if m[0].isupper() else "a") * min(len(m[0]), 2), c.strip(".,;:!?\"'“”«»()[]<>。，、；：！？）（"))
+    return re.sub(r"\d+", lambda m: str(min(len(m[0]), 12)), c)[:24]
 
 
-def _features(w: str, spaced: bool) -> list[str]:
+def _features(w: str, spaced: bool, chunk: str, common: frozenset[str]) -> list[str]:
     s = _shape(w)
     out = [f"s:{s}", f"s:{s}|{spaced}", f"w:{w.lower()}"]
-    if w[0].isalpha():
-        out += [f"e:{w[-3:].lower()}", f"e:{w[-2:].lower()}|{s}", f"n:{min(len(w), 12)}|{s}", f"w:{w}|{s}"]
-    elif w[0].isdigit():
-        out += [f"b:{w[:2]}|{s}", f"b:{w[:1]}|{s}"]
+    if chunk:
+        out += [f"c:{chunk}", f"c:{chunk}|{s}", f"c:{chunk}|{spaced}"]
+    if w[0].isdigit():
+        out += [f"b:{w[:1]}|{s}", "digits"]
+    elif w[0].isalpha():
+        known = w.lower() in common or "-" in w and all(x in common for x in w.lower().split("-"))
+        out += [f"e:{w[-3:].lower()}|{s}", f"e:{w[-2:].lower()}|{s}", f"n:{min(len(w), 12)}|{s}", f"w:{w}|{s}", f"a:{w[:2]}", f"v:{known}|{s}", f"v:{known}|{s}|{spaced}"]
     return out
 
 
 class Tokens:
-    """Tokens of windows as ids; each id knows its features."""
+    """Tokens of texts as ids; each id knows its features."""
 
-    def __init__(self) -> None:
-        self.ids: dict[tuple[str, bool], int] = {("\x00", False): 0}
+    def __init__(self, common: frozenset[str]) -> None:
+        self.common = common
+        self.ids: dict[tuple[str, bool, str], int] = {("\x00", False, ""): 0}
         self.features: list[list[str]] = [["s:edge"]]
 
-    def of(self, text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int]]]:
-        ids, spans, last = [], [], start
-        for m in _token.finditer(text, start, end):
+    def of(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        ids, spans, last, known = [], [], 0, self.ids
+        signs = [(m.start(), m.end(), _chunk(m[0])) for m in _signs.finditer(text)]
+        signs.append((len(text) + 1, len(text) + 1, ""))
+        n = 0
+        for m in _token.finditer(text):
             a, b = m.span()
-            k = (m[0], a > last)
-            i = self.ids.get(k)
+            while a >= signs[n][1]:
+                n += 1
+            k = (m[0], a > last, signs[n][2] if a >= signs[n][0] else "")
+            i = known.get(k)
             if i is None:
-                i = self.ids[k] = len(self.features)
-                self.features.append(_features(*k))
+                i = known[k] = len(self.features)
+                self.features.append(_features(*k, self.common))
             ids.append(i)
             spans.append((a, b))
             last = b
         return ids, spans
 
 
-class _WordClass(dict):
-    """One letter for a word: what it can be a part of."""
-
-    def __missing__(self, w: str) -> str:
-        if len(self) > 1 << 19:
-            self.clear()
-        out = self[w] = self._of(w)
-        return out
-
-    @staticmethod
-    def _of(w: str) -> str:
-        if len(w) > 48:
-            return "L" if _hint.search(w) else "o"
-        if "@" in w or "at)" in w.lower() or "at]" in w.lower():
-            return "h"
-        digits = sum(c.isdigit() for c in w)
-        core = w.lstrip("([{„“\"'«‘¿¡‏‎")
-        if digits:
-            if re.fullmatch(r"\W*(?:[A-Z]{2}-\d{5}|\d+[.,]\d+|\d{1,3}-\d{1,3})\W*", w):
-                return "o"
-            return "h" if digits >= 5 or w[0] == "+" or re.match(r"\(\d{3,5}\)", w) else "d"
-        if core[:1].isupper():
-            if len(core) == 2 and core[1] == ".":
-                return "I"
-            return "K" if core[-1] == "," else "C" if core[-1].isalpha() else "E"
-        if w in ("von", "van", "der", "de", "del", "den", "la"):
-            return "p"
-        return "L" if not w.isascii() and _hint.search(w) else "o"
-
-
-_class = _WordClass()
-_hit = re.compile("h|L|d{3,}|[CK][pI]*[CEK]|I+p*[CEK]")
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of a text to be decoded, cut at white space."""
-    words = text.replace("\n", " ").split(" ")
-    classes = "".join(map(_class.__getitem__, words))
-    spots = []
-    starts = None
-    for m in _hit.finditer(classes):
-        if starts is None:
-            starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-        a, b = int(starts[m.start()]), int(starts[m.end()] - 1)
-        spots += [x.span() for x in _hint.finditer(text, a, b)] if m[0] == "L" else [(a, b)]
-    out: list[tuple[int, int]] = []
-    for a, b in spots:
-        a, b = max(0, a - BEFORE), min(len(text), b + AFTER)
-        while a > 0 and not text[a - 1].isspace() and text[a - 1] not in "。！？，：":
-            a -= 1
-        while b < len(text) and not text[b].isspace() and text[b] not in "。！？，：":
-            b += 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def _padded(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(r) for r in rows])
     ids = np.zeros((len(rows), int(n.max()) + 2 * REACH), np.int64)
@@ -160,30 +129,47 @@ def _allowed() -> np.ndarray:
     return ok
 
 
+_START = np.array([-1e9 if x[0] == "I" else 0.0 for x in LABELS], np.float32)
+
+
 def decode(em: np.ndarray, n: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The best labels of a batch. Only a label's own beginning and inside lead inside it, so each step looks at
+    the best of all labels and at those two."""
     rows, steps, k = em.shape
-    start = np.array([-1e9 if x[0] == "I" else 0.0 for x in LABELS])
-    score, back = em[:, 0] + start, np.zeros((rows, steps, k), np.int8)
+    score, back = em[:, 0] + _START, np.zeros((rows, steps, k), np.int8)
+    inside = np.arange(2, k, 2)
+    outside = np.r_[0, np.arange(1, k, 2)]
+    into = trans[:, outside]
     for t in range(1, steps):
-        all_ = score[:, :, None] + trans
-        back[:, t] = all_.argmax(1)
-        score = np.where((t < n)[:, None], all_.max(1) + em[:, t], score)
+        # To O and to beginnings from anywhere; to an inside from its beginning or itself.
+        all_ = score[:, :, None] + into
+        best = all_.argmax(1)
+        begun, stayed = score[:, inside - 1] + trans[inside - 1, inside], score[:, inside] + trans[inside, inside]
+        stay = stayed > begun
+        new = np.empty_like(score)
+        new[:, outside] = np.take_along_axis(all_, best[:, None], 1)[:, 0]
+        new[:, inside] = np.where(stay, stayed, begun)
+        back[:, t, outside] = best
+        back[:, t, inside] = np.where(stay, inside, inside - 1)
+        score = np.where((t < n)[:, None], new + em[:, t], score)
     out, state = np.zeros((rows, steps), np.int8), score.argmax(1)
+    at = np.arange(rows)
     for t in range(steps - 1, -1, -1):
         live = t < n
         out[:, t] = np.where(live, state, 0)
         if t:
-            state = np.where(live, back[np.arange(rows), t, state], state)
+            state = np.where(live, back[at, t, state], state)
     return out
 
 
 @lru_cache(maxsize=2)
-def trained(sentences: int = 3600, epochs: int = 9, seed: int = 11) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """(weights [distance, label] of each feature, transitions), from ``sentences`` labelled texts (the
-    bound of the training sample)."""
-    tokens, data = Tokens(), []
+def trained(sentences: int = 14000, epochs: int = 6, seed: int = 11, least: int = 8) -> Weights:
+    """(weights [distance, label] of each feature, transitions, common words), from ``sentences`` labelled texts (the
+    bound of the training sample). Forward and backward sums are scaled at each step; a batch changes the
+    weights of its own features only (AdaGrad)."""
+    tokens, data = Tokens(common_words()), []
     for text, spans in labelled_sentences(sentences, seed):
-        ids, at = tokens.of(text, 0, len(text))
+        ids, at = tokens.of(text)
         tags = np.zeros(len(ids), np.int64)
         for a, b, kind in spans:
             first = True
@@ -191,108 +177,132 @@ def trained(sentences: int = 3600, epochs: int = 9, seed: int = 11) -> tuple[dic
                 if a <= x and y <= b:
                     tags[i] = LABELS.index(("B-" if first else "I-") + kind)
                     first = False
-        data.append((ids, tags))
-    names = sorted({f for fs in tokens.features for f in fs})
+        if ids:
+            data.append((ids, tags))
+    # What only a few texts have says nothing on other texts: unknown words are to be told by what they look like.
+    often = Counter(f for ids, _ in data for f in {f for i in set(ids) for f in tokens.features[i]})
+    names = sorted(f for f, n in often.items() if n >= least) + ["s:edge"]
+    known = set(names)
+    tokens.features = [[f for f in fs if f in known] for fs in tokens.features]
     number = {f: i for i, f in enumerate(names)}
     width = max(map(len, tokens.features))
     feats = np.full((len(tokens.features), width), len(names))
     for i, fs in enumerate(tokens.features):
         feats[i, : len(fs)] = [number[f] for f in fs]
     d, k = 2 * REACH + 1, len(LABELS)
-    w, trans = np.zeros((len(names) + 1, d, k)), np.zeros((k, k))
-    gw, gt = np.full(w.shape, 1e-6), np.full(trans.shape, 1e-6)
+    w, trans = np.zeros((len(names) + 1, d, k), np.float32), np.zeros((k, k))
+    gw, gt = np.full(w.shape, 1e-6, np.float32), np.full(trans.shape, 1e-6)
     ok = _allowed()
-    start = np.array([-1e9 if x[0] == "I" else 0.0 for x in LABELS])
+    start = np.exp(_START)
     r = np.random.default_rng(seed)
     order = sorted(range(len(data)), key=lambda i: len(data[i][0]))
     batches = [order[i : i + 48] for i in range(0, len(order), 48)]
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        rate = 0.25 / (1 + epoch / 2)
         for bi in r.permutation(len(batches)):
             part = [data[i] for i in batches[bi]]
             ids, n = _padded([p[0] for p in part])
-            steps = ids.shape[1] - 2 * REACH
-            gold = np.zeros((len(part), steps), np.int64)
+            rows, steps = len(part), ids.shape[1] - 2 * REACH
+            gold = np.zeros((rows, steps), np.int64)
             for i, (_, tags) in enumerate(part):
                 gold[i, : len(tags)] = tags
             mask = np.arange(steps)[None, :] < n[:, None]
             used, back = np.unique(ids, return_inverse=True)
+            idx = back.reshape(ids.shape)
             table = w[feats[used]].sum(1)
-            em = _emissions(table, back.reshape(ids.shape))
-            tr = np.where(ok, trans, -1e9)
-            # Forward and backward sums in log space.
-            fwd = np.zeros((len(part), steps, k))
-            fwd[:, 0] = em[:, 0] + start
-            for t in range(1, steps):
-                x = fwd[:, t - 1, :, None] + tr
-                m = x.max(1, keepdims=True)
-                fwd[:, t] = np.where(mask[:, t, None], m[:, 0] + np.log(np.exp(x - m).sum(1)) + em[:, t], fwd[:, t - 1])
-            bwd = np.zeros_like(fwd)
-            pair = np.zeros_like(trans)
-            z = fwd[:, -1]
-            zm = z.max(1, keepdims=True)
-            z = (zm + np.log(np.exp(z - zm).sum(1, keepdims=True)))[:, 0]
+            em = _emissions(table, idx).astype(np.float64)
+            e = np.exp(em - em.max(2, keepdims=True))
+            tr = np.where(ok, np.exp(trans), 0.0)
+            fwd, scale = np.zeros((steps, rows, k)), np.ones((steps, rows, 1))
+            x = e[:, 0] * start
+            for t in range(steps):
+                if t:
+                    x = np.where(mask[:, t, None], (fwd[t - 1] @ tr) * e[:, t], fwd[t - 1])
+                scale[t] = x.sum(1, keepdims=True)
+                fwd[t] = x / scale[t]
+            bwd, pair = np.ones((steps, rows, k)), np.zeros((k, k))
             for t in range(steps - 2, -1, -1):
-                x = tr[None] + (em[:, t + 1] + bwd[:, t + 1])[:, None, :]
-                p = np.exp(np.minimum(0, fwd[:, t, :, None] + x - z[:, None, None])) * mask[:, t + 1, None, None]
-                pair += p.sum(0)
-                m = x.max(2, keepdims=True)
-                bwd[:, t] = np.where(mask[:, t + 1, None], m[:, :, 0] + np.log(np.exp(x - m).sum(2)), bwd[:, t + 1])
-            prob = np.exp(np.minimum(0, fwd + bwd - z[:, None, None]))
-            g = -prob
-            g[np.arange(len(part))[:, None], np.arange(steps)[None], gold] += 1
-            g *= mask[:, :, None]
+                y = e[:, t + 1] * bwd[t + 1] / scale[t + 1]
+                bwd[t] = np.where(mask[:, t + 1, None], y @ tr.T, bwd[t + 1])
+                pair += (fwd[t] * mask[:, t + 1, None]).T @ y * tr
+            prob = (fwd * bwd).transpose(1, 0, 2)
+            g = -prob / np.maximum(prob.sum(2, keepdims=True), 1e-30)
+            g[np.arange(rows)[:, None], np.arange(steps)[None], gold] += 1
+            g = (g * mask[:, :, None]).astype(np.float32)
+            gpair = -pair
+            np.add.at(gpair, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
             gtable = np.zeros_like(table)
-            idx = back.reshape(ids.shape)
             for dist in range(d):
-                np.add.at(gtable, (idx[:, dist : dist + steps], dist), g)
-            gpair = -pair
-            a, b = gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]
-            np.add.at(gpair, (a, b), 1)
-            grad = np.zeros_like(w)
-            np.add.at(grad, feats[used].ravel(), np.repeat(gtable, width, 0))
-            grad[-1] = 0
-            gw += grad**2
+                flat = idx[:, dist : dist + steps].ravel()
+                o = np.argsort(flat, kind="stable")
+                at = np.flatnonzero(np.r_[True, flat[o][1:] != flat[o][:-1]])
+                gtable[flat[o][at], dist] = np.add.reduceat(g.reshape(-1, k)[o], at)
+            flat = feats[used].ravel()
+            o = np.argsort(flat, kind="stable")
+            o = o[: np.searchsorted(flat[o], len(names))]
+            at = np.flatnonzero(np.r_[True, flat[o][1:] != flat[o][:-1]])
+            own, grad = flat[o][at], np.add.reduceat(gtable[o // width], at)
+            gw[own] += grad**2
             gt += gpair**2
-            w += 0.15 * grad / np.sqrt(gw)
-            trans += 0.15 * gpair / np.sqrt(gt)
-            w *= 1 - 2e-5
-    return {f: w[i].astype(np.float32) for f, i in number.items()}, np.where(ok, trans, -1e9).astype(np.float32)
+            w[own] = (w[own] + rate * grad / np.sqrt(gw[own])) * (1 - 2e-4)
+            trans += rate * gpair / np.sqrt(gt)
+    # Features that tell nothing aren't handed on.
+    return {f: w[i] for f, i in number.items() if np.abs(w[i]).max() > 0.02}, np.where(ok, trans, -1e9).astype(np.float32), tokens.common
+
+
+def shared(spark: SparkSession) -> Broadcast:
+    """The trained weights, broadcast once a session: their size is bounded by the training sample."""
+    key = spark.sparkContext.applicationId
+    if key not in _SHARED:
+        _SHARED[key] = spark.sparkContext.broadcast(trained())
+    return _SHARED[key]
+
+
+_SHARED: dict[str, Broadcast] = {}
 
 
 class Finder:
-    def __init__(self, weights: tuple[dict[str, np.ndarray], np.ndarray]) -> None:
-        self.w, self.trans = weights
-        self.tokens = Tokens()
-        self.table = np.zeros((0, 2 * REACH + 1, len(LABELS)), np.float32)
+    def __init__(self, weights: Weights) -> None:
+        self.w, self.trans, self.common = weights
+        self.none = np.zeros((2 * REACH + 1, len(LABELS)), np.float32)
+        self.tokens, self.table, self.filled = Tokens(self.common), np.zeros((1024, *self.none.shape), np.float32), 0
+
+    def _fill(self) -> None:
+        new = self.tokens.features[self.filled :]
+        if len(self.tokens.features) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((len(self.tokens.features), *self.none.shape), np.float32)])
+        for i, fs in enumerate(new, self.filled):
+            self.table[i] = sum((self.w[f] for f in fs if f in self.w), self.none)
+        self.filled = len(self.tokens.features)
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of what each text holds, as offsets."""
-        if len(self.tokens.ids) > 1 << 18:
-            self.tokens = Tokens()
-            self.table = self.table[:0]
+        if len(self.tokens.ids) > KEPT:
+            self.tokens, self.filled = Tokens(self.common), 0
+        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         work = []
         for i, t in enumerate(texts):
-            for a, b in windows(t):
-                ids, spans = self.tokens.of(t, a, b)
-                if ids:
-                    work.append((i, ids, spans))
-        new = self.tokens.features[len(self.table) :]
-        if new:
-            zero = np.zeros_like(self.table[:1].sum(0)) if len(self.table) else np.zeros((2 * REACH + 1, len(LABELS)), np.float32)
-            self.table = np.concatenate([self.table, np.array([sum((self.w[f] for f in fs if f in self.w), zero) for fs in new], np.float32)])
-        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+            ids, spans = self.tokens.of(t)
+            for at in range(0, len(ids), PIECE):
+                a, b = max(0, at - LAP), min(len(ids), at + PIECE + LAP)
+                work.append((i, ids[a:b], spans[a:b], at - a, at - a + PIECE))
+        self._fill()
         work.sort(key=lambda x: len(x[1]))
-        for k in range(0, len(work), 256):
-            part = work[k : k + 256]
+        at = 0
+        while at < len(work):
+            # Batches of a bounded number of tokens.
+            size = max(1, min(512, 100_000 // max(1, len(work[min(at + 511, len(work) - 1)][1]))))
+            part = work[at : at + size]
+            at += size
             ids, n = _padded([p[1] for p in part])
             tags = decode(_emissions(self.table, ids), n, self.trans)
             for row in np.flatnonzero(tags.any(1)):
-                i, _, spans = part[row]
-                out[i] += _spans(texts[i], spans, tags[row, : n[row]])
+                i, _, spans, first, last = part[row]
+                out[i] += _spans(texts[i], spans, tags[row, : n[row]], first, last)
         return [sorted(x) for x in out]
 
 
-def _spans(text: str, at: list[tuple[int, int]], tags: np.ndarray) -> Iterator[tuple[int, int, str]]:
+def _spans(text: str, at: list[tuple[int, int]], tags: np.ndarray, first: int, last: int) -> Iterator[tuple[int, int, str]]:
     i = 0
     while i < len(at):
         if tags[i] and tags[i] % 2:
@@ -300,7 +310,7 @@ def _spans(text: str, at: list[tuple[int, int]], tags: np.ndarray) -> Iterator[t
             while j < len(at) and tags[j] == tags[i] + 1:
                 j += 1
             kind = LABELS[tags[i]][2:]
-            found = _exact(kind, text, at[i][0], at[j - 1][1])
+            found = _exact(kind, text, at[i][0], at[j - 1][1]) if first <= i < last else None
             if found:
                 yield *found, kind
             i = j
@@ -308,32 +318,33 @@ def _spans(text: str, at: list[tuple[int, int]], tags: np.ndarray) -> Iterator[t
             i += 1
 
 
-_W = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-Þ][^\W\d_]+)*"
-_P = r"(?: (?:von|van|der|den|de|del|la|le))*"
-_name = re.compile(f"(?:[A-ZÀ-ÖØ-Þ]\\. ?)+{_P[:-1]}? ?{_W}|{_W}{_P}(?: [A-ZÀ-ÖØ-Þ]\\.)*{_P} {_W}|{_W}, {_W}")
-_more_digits = re.compile(r"[ .]\d\d(?!\d)")
+def _is_name(s: str) -> bool:
+    """At least two parts, in scripts with capitals the outer ones with one, and one of them no initial."""
+    parts = [p for p in re.split(r"[\s,]+", s) if p]
+    if not parts or not (parts[0][0].isalpha() and parts[-1][0].isalpha()):
+        return False
+    if not (parts[0][0].isupper() or parts[0][0].islower()):
+        return sum(c.isalpha() for c in s) > 1
+    full = [p for p in parts if p[0].isupper() and len(p.rstrip(".")) > 1 and p[-1] != "."]
+    return len(parts) > 1 and parts[0][0].isupper() and parts[-1][0].isupper() and bool(full)
 
 
 def _exact(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
-    """An exact check of what a kind must have, and of where it starts and ends."""
+    """A plain check of what the model found: signs around it are taken off, and it must have what makes its kind."""
+    while a < b and text[a] in " \n,;:.<>(（：，、。" and not (kind == "phone" and text[a] == "("):
+        a += 1
+    while b > a and (text[b - 1] in " \n,;:<>（(。、，」" or text[b - 1] in ")）" and not {"(", "（"} & set(text[a:b]) or text[b - 1] == "." and kind not in ("name", "address")):
+        b -= 1
     s = text[a:b]
-    if kind == "name":
-        m = max(_name.finditer(s), key=lambda m: m.end() - m.start(), default=None)
-        return (a + m.start(), a + m.end()) if m else None
-    if kind == "email":
-        return (a, b) if ("@" in s or "at" in s.lower()) and len(s) > 5 else None
-    if kind in ("phone", "id_number"):
-        m = re.match(r"[+(]?\d(?:[\d ()/.+-]*\d)?", s) if kind == "phone" else re.search(r"[A-Z]{0,2} ?\d[\d -]*(?:[A-Z]\b)?(?<=[\dA-Z])", s)
-        if not m:
-            return None
-        x, y = a + m.start(), a + m.end()
-        t = text[x:y]
-        if t.count(")") > t.count("("):
-            y = x + t.index(")")
-        while kind == "phone" and (m := _more_digits.match(text, y)) and text[y] == text[y - 3] and sum(c.isdigit() for c in text[x:y]) < 10 + (text[x] == "+"):
-            y = m.end()
-        return (x, y) if sum(c.isdigit() for c in text[x:y]) >= (7 if kind == "phone" else 6) else None
-    return (a, b) if any(c.isdigit() for c in s) and " " in s and any(c.isupper() for c in s) else None
+    digits = sum(c.isdigit() for c in s)
+    ok = {
+        "email": len(s) > 4 and ("@" in s or "at" in s.lower()),
+        "phone": digits >= 7,
+        "id_number": digits >= 5,
+        "address": digits > 0,
+        "name": digits == 0 and _is_name(s),
+    }[kind]
+    return (a, b) if ok else None
 
 
 def find_personal(df: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -341,10 +352,10 @@ def find_personal(df: DataFrame, id_column: str, column: str) -> DataFrame:
 
     Null ids and null or empty texts hold none. Repeated rows are searched as they come.
     """
-    weights = trained()
+    weights = shared(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = Finder(weights)
+        f = Finder(weights.value)
         for whole in batches:
             for at in range(0, len(whole), 256):
                 b = whole.iloc[at : at + 256]
@@ -357,11 +368,11 @@ def find_personal(df: DataFrame, id_column: str, column: str) -> DataFrame:
 
 def masked_text(df: DataFrame, column: str, out: str = "masked") -> DataFrame:
     """``df`` with the text in which each find is replaced by its kind in square brackets."""
-    weights = trained()
+    weights = shared(df.sparkSession)
 
     @F.pandas_udf("string")
     def mask(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        f = Finder(weights)
+        f = Finder(weights.value)
         for s in it:
             texts = [x or "" for x in s]
             done = []
