@@ -1,124 +1,198 @@
-"""A labelled table for sentence boundaries: sentences with known ends, put together at random.
+"""A labelled table for sentence boundaries: sentences of common words with known ends, put together at random.
 
-Patterns use these fillers: {w} word, {W} word with a capital, {n} number, {c} code, {N} surname,
-{u} unit, {i} initial, {d} small number.
+Sentences are made from the public tokenizers' words (``vocabulary``), with what makes boundaries hard among them:
+abbreviations, initials, decimals, quotations and brackets with marks of their own, citations, codes, rests without a mark.
 """
 
 from __future__ import annotations
 
 import random
 
-# Patterns of sentences by language; each is exactly one sentence.
-PATTERNS: dict[str, list[str]] = {
-    "en": [
-        "The {w} {w} of the {w} {w} {w} when the {w} {w} beyond {n} {u}.", "We found that the {w} {w} under a {w} {w} while its {w} {w}.", "Sample {c} shows how the {w} {w} the {w} unless a {w} {w}.",
-        "Each {w} was set beside a {w} {w}, whose {w} {w} at {n} {u} near the {w} (see Fig. {d}).", "Why does the {w} {w} of the {w} {w} follow a {w} {w}?", "Why does the {w} {w} follow the {w}?!", "No {w} {w} {w} without a {w} {w}, although the {w} {w} the {w}!",
-        "In the {w} {w}, a {w} {w} the {w} and {w} {w} the {w} [{d}, {d}-{d}].", "The {w} holds {n} {u}, as {N} et al. reported for No. {d}.", "Because the {w} {w}, every {w} {w} and the {w} {w} drops to {n} {u}, cf. Sect. {d}.{d} and Eq. ({d}).",
-        "For a {w} {w}, the {w} {w} more {w} than the {w} that {w} the {w}, per Dr. {N} and Prof. {N}.", "The {w} {w}, i.e. approx. {n} {u} vs. {n} {u}.", "The {w} {w} the {w}, e.g. St. {W} ... or the {w} there.", "The {w} {w} the {w}, e.g. St. {W} … or the {w} there.",
-        "It {w} in vol. {d}, pp. {d}-{d}.", "The {w} {w}, using build v{d}.{d}.{d} of run{d}.csv.", "The {w} {w} the {w}, although the note \"Hold the {w}. Do not {w}!\" was ignored by the {w}.", "The {w} {w} log for {c} says: \"The {w} {w} {w} and the {w} {w}.\"",
-        "The {w} {w} (the {w} failed; why? nobody logged it) near the {w}.", "(A {w} {w} for {c} {w} where the {w} {w} the {w}.)", "The {w} {w}, where ‘{w} first?’ remains open.", "However, the {w} {w} the {w}.", "pH aside, the {w} {w} the {w} {w}.", "e.g. here, the {w} {w} the {w}.",
-        "cf. Table {d}: the {w} {w} the {w}.", "{i}. {i}. {N} noted at {d} a.m. on Oct. {d}.", "{i}. {N} noted at {d} p.m. on Jan. {d}.", "The {w} {w} the {w}, as in the U.K.", "The {w} {w} the {w}, as in the U.S.", "The {w} closed at {d} p.m.", "The {w} closed at {d} a.m.", "They {w} {w}, {w}, etc.",
-        "“The {w} {w}?” asked Mr. {N} of {W} Inc. in {W}.", "He {w} “the {w}. The {w}!” and {w} the {w}.", "Mrs. {N} and Ms. {N} met Jr. {W} at No. {d} {W} St. in {W}.", "The {w} {w} ...", "The {w} {w} the {w} …", "It's the {w}'s {w}, isn't it?", "The {w} and the {w} [{d}].", "The {w} {w}.[{d}]", "The {w} {w} {n} {u}.[{d}, {d}]",
-        "The {w} {w} the {w} and Fig. {d} and Figs. {d} and {d}, Ref. {d}, Eqs. ({d}) and ({d}), Ch. {d}, ed. {N}.", "{n} {n} {n} were {w}.", "The {w} is {n}.", "The {w} of {N}.", "The {w} {w} in {c}.", "The {w} drops to {n} {u}.", "The {w} (see Fig. {d}).", "The {w} {w}, no. {d} of the {w}.",
-    ],
-    "de": [
-        "Die {w} {W} {w} z. B. die {W} der Probe {c} um ca. {n} {u} (vgl. Abb. {d}).", "Am {d}. {M} {y} wurde die {w} {W} {c} gemessen, d. h. die {W} {w} die {W}.", "Warum {w} die {w} {W} bei {n} {u} die {W} von {c}, nicht aber die {W}?", "Nach Dr. {N} {w} die {w} {W} Nr. {d} die {W} der {W} in {c}.",
-        "Im Protokoll {c} zu {c} steht „Die {W} {w}. Bitte {w}!“ neben dem Wert {n} für die {w} {W}.", "Die {W} usw. {w} u. a. die {W} bzw. die {W}.", "Das {w} {W} {w} {W}!", "Prof. {N} und Hr. {N} {w} die {W} am {d}. {M}.", "Die {W} {w} Nr. {d}, Bd. {d}, S. {d}.", "Die {W} liegt bei {n} {u}.", "Die {W} {w} in {c}.", "Sie fragte: „Warum {w} die {W}?“",
-    ],
-    "fr": [
-        "Pourquoi la {w} {w} de {c} {w}-elle la {w} au-delà de {n} {u} ?", "Selon M. {N}, une {w} {w} {w} chaque {w} de {c} pour une {w} de {n} {u}.", "La note {c} « La {w} {w} tout. Attendre ! » accompagne la {w} {w} de {c}.", "La {w} {w} du lot {c}, p. ex. à {n} {u} (cf. fig. {d}).", "Cette {w} {w}, notée {c}, {w} la {w} {w}, etc., env. {n} {u}.",
-        "La {w} {w} la {w}, etc.", "Mme {N} et le Dr. {N} {w} la {w} !", "La {w} {w} vol. {d}, p. {d}, éd. {N}.", "La {w} vaut {n} {u}.", "La {w} {w} de {c}.", "La {w} {w} (cf. fig. {d}).",
-    ],
-    "es": [
-        "¿Por qué la {w} {w} de {c} {w} la {w} por encima de {n} {u}?", "¡La {w} {w} del lote {c} {w} la {w} {w} con {n} {u}!", "El aviso {c} «La {w} {w}. ¡{W}!» figura junto a la {w} {w} {c} y a la {w} de {n} {u}.", "Según el Dr. {N}, una {w} {w} {w} cada {w} de {c} con la {w} n.º {d}.", "La {w} {w} la {w} {w} de {c}, p. ej. a {n} {u} (véase la fig. {d}).",
-        "La Sra. {N} y el Sr. {N} {w} la {w} en EE. UU. y en {W}.", "La {w} {w} de {c}.", "La {w} vale {n} {u}.", "La {w} {w}, pág. {d}, vol. {d}, etc.",
-    ],
-    "ru": [
-        "Почему {r} {r} {c} {r} {r}, если {r} равна {n}?", "В журнале «{R} {r} {r}. {R}!» указана {r} {r} {c} со значением {n}.", "{R} {r} образца {c} {r} {r}, т. е. {r} {r} достигает {n} (см. рис. {d}).", "{R} {r} {r} {c} и т. д., и т. п., напр. {r} {r} на стр. {d}.", "Г. {N} и д-р {N} {r} {r}.", "{R} {r} {r}!", "{R} равна {n}.", "{R} {r} {c}.",
-    ],
-    "el": [
-        "Η {e} {e} του {c} {e} την {e} πάνω από {n}.", "Γιατί η {e} {e} του {c} {e} την {e} πάνω από {n};", "Η {e} {e} του {c} {e} την {e}, π.χ. στο {n} κατά τον κ. {N}.", "Η {e} {e} την {e}, δηλ. την {e}, κ.λπ.", "Γιατί η {e} {e} την {e};", "Η {e} {e} την {e}!", "Η κα. {N} και ο Δρ. {N} {e} την {e}.",
-    ],
-    "zh": [
-        "编号{c}的{z}{z}在{n}时{z}{z}{z}、{z}与{z}。", "为什么{z}{z}会{z}编号{c}的{z}{z}？", "记录写着“{z}{z}{z}。请{z}！”并注明{c}的{z}{z}为{n}。", "编号{c}的{z}在{n}时{z}{z}！", "{z}{z}（见{z}。）{z}{z}。", "他说：“{z}{z}？”", "{z}{z}{z}，{z}{z}…",
-    ],
-    "ja": [
-        "{c}の{j}{j}は{n}のとき{j}な{j}を{j}。", "なぜ{j}な{j}は{c}の{j}の{j}を{j}のか？", "記録には「{j}は{j}を{j}。{j}こと。」とあり{c}の{j}の{j}は{n}である。", "{j}の{j}は{j}を{j}のか！", "{j}は{j}（{j}）を{j}。",
-    ],
-    "ar": ["وفق د. {N} {a} {a} {a} إلى {n}.", "لماذا {a} {a} {c} قيمة {a} عند {n}؟", "{a} {a} {a} {c} قيمة {a}.", "{a} {a} إلى {n}!", "قال أ. {N} {a} {a} في ص. {d}."],
-    "hi": ["डॉ. {N} के अनुसार {h} {h} {c} की {h} {h} को {n} तक {h} है।", "क्या {h} {h} {c} की {h} को {n} तक {h} करती है?", "{h} {h} {c} की {h} है।", "श्री. {N} {h} {h} है।", "{h} {h} है!"],
-    "th": ["{t}{t}ของ{c}และ{t}{t}", "{t}{t}{t}เมื่อค่าเป็น {d} หน่วยของ{t}", "{t}{t}ของ{c}{t}{t}", "{t}{t}{t}{t}{t}", "{c}{t}{t}"],
+from marginalia.llm.pii_training import Maker, vocabulary
+
+#: Common abbreviations by language, by what stands behind them: a name, a number, any word, or (also) nothing.
+NAMED = {
+    "en": "Dr. Prof. Mr. Mrs. Ms. St. Gen. Sen. Rep. Gov. Capt. Col. Lt. Sgt. Rev. Hon. Jr. Sr. Mt. Ft. Messrs. Pres. Supt.".split(),
+    "de": "Dr. Prof. Hr. Fr. Hrn. St. Dipl.-Ing. Mag. Gebr.".split(),
+    "fr": "M. MM. Dr. Pr. Me. St. Ste.".split(),
+    "es": "Dr. Dra. Sr. Sra. Srta. D. Dña. Prof. Sto. Sta.".split(),
+    "ru": "г. г-н. проф. акад. им. ул. тов. др.".split(),
+    "el": "κ. κα. Δρ. καθ. Αγ.".split(),
+    "ar": "د. أ. م.".split(),
+    "hi": "डॉ. श्री. पं. प्रो.".split(),
 }
-_WORDS = {
-    "r": "сухая проба плотность среда реакция нижняя вязкость решётка повышает меняет заменяет верхняя слабая нагрузка".split(),
-    "e": "πίεση χαμηλή δομή υψηλή ενισχύει μειώνει μέση στρώση ρωγμή υπόθεση θερμική".split(),
-    "z": "温度 模型 样本 提高 降低 稀疏 界面 压力 超过 弹性 周期性 频率 等待 土壤".split(),
-    "j": "温度 界面 モデル 溶液 年間 下げる 超える 複合的 信号 待つ 脆い センサー".split(),
-    "a": "العينة تربة يخفض قياس سطح المرن يزيد التردد الجانبي يغير".split(),
-    "h": "औसत परत नमूना मिट्टी घनत्व बढ़ाती उच्च दरार रैखिक माप".split(),
-    "t": "ดิน อุณหภูมิ แรงดัน ความถี่ แบบจำลอง เพิ่ม ลด คงที่ แห้ง ผิวหน้า รองรับ ตัวอย่าง เชิงเส้น".split(),
+NUMBERED = {
+    "en": "No. no. Fig. Figs. fig. Eq. Eqs. Sect. Sec. Ch. Vol. vol. pp. p. Ref. Refs. Tab. Art. approx. ca. Nr. Jan. Feb. Mar. Apr. Aug. Sept. Oct. Nov. Dec.".split(),
+    "de": "Nr. Abb. Tab. Bd. S. Kap. Art. ca. etwa. Abs. Jh.".split(),
+    "fr": "fig. p. pp. vol. chap. art. env. n. éd. t.".split(),
+    "es": "fig. pág. págs. vol. cap. núm. art. aprox. n.".split(),
+    "ru": "рис. стр. табл. гл. т. с. им. ок. п.".split(),
+    "el": "σελ. εικ. κεφ. τ. αρ.".split(),
+    "ar": "ص. ج.".split(),
+    "hi": "पृ. सं.".split(),
 }
-_UNITS = "mm kN MPa Pa K W J Hz kg Å Ω µm nm dB mV ms kPa".split()
-_MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()
-
+PLAIN = {
+    "en": ["e.g.", "i.e.", "cf.", "vs.", "al.", "viz.", "resp.", "incl.", "ed.", "eds.", "etc.", "U.S.", "U.K.", "a.m.", "p.m.", "Inc.", "Ltd.", "Co.", "Corp.", "Ph.D.", "dept.", "est.", "St.", "Ave."],
+    "de": ["z. B.", "d. h.", "u. a.", "o. ä.", "bzw.", "usw.", "vgl.", "sog.", "inkl.", "ggf.", "evtl.", "i. d. R.", "u. U.", "z.B.", "d.h."],
+    "fr": ["p. ex.", "c.-à-d.", "cf.", "etc.", "env.", "av.", "apr.", "i.e."],
+    "es": ["p. ej.", "etc.", "aprox.", "cf.", "EE. UU.", "a. C.", "Ud.", "Uds."],
+    "ru": ["т. е.", "т. д.", "т. п.", "напр.", "см.", "ср.", "т.е.", "и др."],
+    "el": ["π.χ.", "δηλ.", "κ.λπ.", "κτλ.", "βλ.", "μ.Χ."],
+    "ar": ["إلخ.", "ق.م."],
+    "hi": ["उदा.", "ई.पू."],
+}
+#: Abbreviations that may also be the last word; a capital behind them is then a new sentence.
+LAST = {"en": ["etc.", "U.S.", "U.K.", "a.m.", "p.m.", "Inc.", "Ltd.", "Co.", "al."], "de": ["usw.", "u. a."], "fr": ["etc."], "es": ["etc."], "ru": ["и т. д.", "и т. п."], "el": ["κ.λπ.", "κτλ."]}
+FINAL = {"zh": "。。。！？…", "ja": "。。。！？", "hi": "।।।!?", "el": "...!;", "ar": "...!؟"}
+QUOTES = {"en": ["“”", '""', "‘’", '""'], "de": ["„“", "»«", "„“"], "fr": ["« »", "«»", "“”"], "es": ["«»", "“”", '""'], "ru": ["«»", "„“"], "el": ["«»"], "zh": ["“”", "「」"], "ja": ["「」", "『』"], "ar": ["«»", '""'], "hi": ["“”", '""', "‘’"]}
+#: Common first words.
+FIRST = {
+    "en": "The A An No Not We It This That These Those He She They You I In On At For From With But And Or If When While Because Although However Moreover Each Every Some All Most Her His Their Our There Here Why How What Who e.g. i.e. cf. Mr. Dr.".split(),
+    "de": "Der Die Das Ein Eine Kein Wir Es Sie Er In Im Am Nach Für Mit Aber Und Wenn Weil Warum Jede Alle".split(),
+    "fr": "Le La Les Un Une Nous Il Elle Ce Cette Dans Pour Avec Mais Et Si Pourquoi Selon Chaque Tous".split(),
+    "es": "El La Los Un Una No Nosotros Este Esta En Para Con Pero Y Si Por Según Cada Todos".split(),
+    "ru": "В На Не Мы Он Она Это Эти Но И Если Почему Каждый Все По".split(),
+    "el": "Η Ο Το Οι Τα Δεν Σε Για Με Αλλά Και Αν Γιατί Κάθε Κατά".split(),
+}
+#: Final marks of further scripts, on words of their letters.
+OTHER = {"።": (0x1208, 0x1240), "፧": (0x1208, 0x1240), "։": (0x0561, 0x0586), "۔": (0x0621, 0x064A), "។": (0x1780, 0x17A2), "။": (0x1000, 0x1020)}
+LANGS = ["en"] * 8 + ["de", "de", "fr", "fr", "es", "es", "ru", "el", "zh", "zh", "ja", "ja", "ar", "hi", "th", "th", "other"]
+_SPACELESS = ("zh", "ja", "th")
 
-def _word(r: random.Random, cap: bool = False) -> str:
-    w = "".join(r.choice(["b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "st", "tr", "v"]) + r.choice("aeiou") for _ in range(r.randint(2, 4))) + r.choice(["", "n", "r", "s", "t"])
-    return w.capitalize() if cap else w
 
+class Writer(Maker):
+    def body(self, lang: str, n: int, depth: int = 0) -> list[str]:
+        """Pieces of a sentence: words, and now and then what holds marks that end nothing."""
+        r, v, out = self.r, self.v[lang], []
+        while len(out) < n:
+            k = r.random()
+            near = r.choice([r.choice(v).capitalize(), self.proper(), str(r.randint(1, 99)), r.choice(v)])
+            if lang in _SPACELESS or lang not in NAMED:
+                k = 1.0 if k > 0.12 else k / 3
+            if k < 0.02:
+                out.append(self.filler("c", lang))
+            elif k < 0.05:
+                out.append(self.filler("n", lang) + ("" if lang in ("zh", "ja") else " " + self.filler("u", lang) if lang != "th" else ""))
+            elif k < 0.08:
+                out += [r.choice(NAMED[lang]), self.proper() if r.random() < 0.6 else r.choice(v).capitalize()]
+            elif k < 0.105:
+                out += [r.choice(NUMBERED[lang]), r.choice([str(r.randint(1, 200)), f"{r.randint(1, 9)}.{r.randint(1, 9)}", f"({r.randint(1, 40)})", f"{r.randint(1, 30)}-{r.randint(31, 90)}"])]
+            elif k < 0.14:
+                out += [r.choice(PLAIN[lang]) + ("," if r.random() < 0.35 else ""), near]
+            elif k < 0.155:
+                out += [r.choice("ABCDEFGHJKLMNPRST") + "." for _ in range(r.choice([1, 1, 2]))] + [self.proper()]
+            elif k < 0.17 and lang in ("de",):
+                out += [f"{r.randint(1, 31)}.", r.choice("Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split())]
+            elif k < 0.18:
+                out.append(r.choice([f"v{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}", f"{r.choice(self.v['en'])}.{r.choice(['csv', 'txt', 'py', 'org', 'com'])}", f"www.{r.choice(self.v['en'])}.net", f"[{r.randint(1, 30)}]", f"[{r.randint(1, 30)}, {r.randint(31, 60)}-{r.randint(61, 70)}]", "..." if r.random() < 0.5 else "…", f"{r.randint(1, 12)}:{r.randint(10, 59)}"]))
+            elif k < 0.205 and not depth:
+                a, b = r.choice([("(", ")"), ("(", ")"), ("[", "]")])
+                inner = " ".join(self.body(lang, r.randint(1, 5), 1))
+                out.append(a + inner + r.choice(["", "", ".", "?", "; " + " ".join(self.body(lang, 2, 1)) + "."]) + b)
+            else:
+                out.append(r.choice(v))
+            if not depth and r.random() < 0.02 and lang in QUOTES:
+                out.append(self.quoted(lang))
+            if r.random() < 0.05 and out and out[-1][-1:].isalnum() and len(out) < n:
+                out[-1] += "、" if lang == "ja" else "，" if lang == "zh" else "" if lang == "th" else "،" if lang == "ar" else r.choice(",,,;:") if lang != "el" else ","
+        return out
 
-def _number(r: random.Random, lang: str) -> str:
-    dot = "," if lang in ("de", "fr", "es", "ru", "el") else "."
-    return r.choice([str(r.randint(1, 999)), f"{r.randint(0, 9999)}{dot}{r.randint(0, 999):03d}", f"{r.randint(0, 99)}.{r.randint(0, 9)}", f"{r.randint(1, 60)},{r.randint(0, 999):03d}"])
+    def quoted(self, lang: str) -> str:
+        """A quotation of one or two sentences, whose marks end nothing outside."""
+        r = self.r
+        q = r.choice(QUOTES[lang])
+        a, b = (q[0] + " ", " " + q[-1]) if len(q) == 3 else (q[0], q[-1])
+        space = "" if lang in _SPACELESS else " "
+        parts = []
+        for _ in range(r.choice([1, 1, 2])):
+            s = space.join(self.body(lang, r.randint(1, 5), 1))
+            parts.append(s[:1].upper() + s[1:] + r.choice(FINAL.get(lang, "..!?")))
+        return a + space.join(parts)[: None if r.random() < 0.8 else -1] + b
 
+    def sentence(self, lang: str) -> str:
+        r = self.r
+        if lang == "other":
+            mark = r.choice(list(OTHER))
+            return " ".join("".join(chr(r.randint(*OTHER[mark])) for _ in range(r.randint(2, 6))) for _ in range(r.randint(2, 10))) + mark
+        space = "" if lang in _SPACELESS else " "
+        parts = self.body(lang, r.randint(2, 16))
+        k = r.random()
+        if lang == "th":
+            # Spaces stand at a numeral only.
+            s = parts[0] + "".join((f" {r.randint(1, 999)} " if r.random() < 0.07 else "") + p for p in parts[1:])
+            return s.strip()
+        tail = r.random()
+        if tail < 0.12:
+            parts.append(self.filler("n", lang) + ("" if lang in ("zh", "ja") else r.choice([" ", " ", "", "\u00a0"]) + self.filler("u", lang) if r.random() < 0.8 else ""))
+        elif tail < 0.2 and lang in NUMBERED:
+            inner = r.choice([f"{r.choice(NUMBERED[lang])} {r.randint(1, 60)}", f"{r.choice(PLAIN[lang])} {r.choice(NUMBERED[lang])} {r.randint(1, 60)}", " ".join(self.body(lang, 3, 1))])
+            parts.append(r.choice(["(" + inner + ")", "(" + inner + ")", f"{r.choice(NUMBERED[lang])} ({r.randint(1, 60)})", f"{r.choice(NUMBERED[lang])} {r.randint(1, 60)}", f"pp. {r.randint(1, 60)}-{r.randint(61, 99)}"]))
+        elif tail < 0.26:
+            parts.append(self.filler("c", lang))
+        elif tail < 0.29 and lang in ("en", "de", "fr", "es"):
+            parts.append(self.proper())
+        if k < 0.06 and lang in LAST:
+            parts.append(r.choice(LAST[lang]))
+            s = space.join(parts)
+            return s[:1].upper() + s[1:]
+        if k < 0.1 and lang in QUOTES:
+            parts.insert(0, self.quoted(lang))
+        elif k < 0.16 and lang in QUOTES:
+            q = self.quoted(lang)
+            if r.random() < 0.5 and parts[-1][-1:].isalnum():
+                parts[-1] += ":"
+            if q[-2:-1] in FINAL.get(lang, ".!?"):
+                return self._up(space.join([*parts, q]), lang)
+        elif k < 0.2:
+            s = self._up(space.join(parts), lang)
+            return "(" + s + r.choice(FINAL.get(lang, "...?")) + ")"
+        s = self._up(space.join(parts), lang)
+        end = r.choice(FINAL.get(lang, ".....!??"))
+        if lang == "es" and end in "?!" and not s.startswith(("«", "“", '"')):
+            s = {"?": "¿", "!": "¡"}[end] + s
+        if lang == "fr" and end in "?!" and r.random() < 0.8:
+            end = r.choice([" ", " ", "\xa0"]) + end
+        if r.random() < 0.07:
+            end = r.choice(["...", "…", " ...", " …", "?!", "!!", "??"])
+        if r.random() < 0.06 and s[-1:] not in ".…":
+            end += r.choice([f"[{r.randint(1, 60)}]", f"[{r.randint(1, 9)}, {r.randint(10, 60)}]", f"[{r.randint(1, 9)}-{r.randint(10, 20)}]"])
+        return s.rstrip(",;:،，、") + end
 
-def _fill(r: random.Random, pattern: str, lang: str) -> str:
-    out, i = [], 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c != "{":
-            out.append(c)
-            i += 1
-            continue
-        k = pattern[i + 1]
-        i += 3
-        if k in _WORDS:
-            out.append(r.choice(_WORDS[k]))
-        elif k == "R":
-            out.append(r.choice(_WORDS["r"]).capitalize())
-        else:
-            out.append(
-                {
-                    "w": lambda: _word(r), "W": lambda: _word(r, True), "n": lambda: _number(r, lang), "N": lambda: _word(r, True), "u": lambda: r.choice(_UNITS), "i": lambda: r.choice("ABCDEFGHJKLMNPRSTVW"),
-                    "d": lambda: str(r.randint(1, 99)), "y": lambda: str(r.randint(1980, 2024)), "M": lambda: r.choice(_MONTHS), "c": lambda: f"{r.choice('ABCDGHKLMNPRTWX')}{r.choice('ABDFGHJKMNPRTVX')}-{r.randint(0, 99999):05d}",
-                }[k]()
-            )
-    return "".join(out)
+    def _up(self, s: str, lang: str) -> str:
+        if lang in FIRST and self.r.random() < 0.4:
+            return self.r.choice(FIRST[lang]) + " " + s
+        if lang not in _SPACELESS and self.r.random() < 0.4:
+            # Many a first word is none of the common ones.
+            rare = self.r.choice([self.proper(), self.word(True) + self.word(), self.r.choice(self.v[lang]) + self.r.choice(self.v[lang])])
+            s = rare[:1].upper() + rare[1:] + " " + s
+        return s if self.r.random() < 0.06 else s[:1].upper() + s[1:]
 
 
 def labelled_texts(n: int, seed: int) -> list[tuple[str, list[int]]]:
     """``n`` texts with the offsets where their sentences end. Most are of one language; spaces within
     sentences are line breaks now and then; some sentences follow without a space."""
     r = random.Random(seed)
-    langs = list(PATTERNS)
+    w = Writer(r)
+    assert vocabulary()
     out = []
     for _ in range(n):
-        lang = r.choice(langs + ["en"] * 6)
+        lang = r.choice(LANGS)
         text, ends = "", []
         count = r.randint(1, 9)
+        wrapped = r.choice([0.0, 0.0, 0.05, 0.15])
         for k in range(count):
-            if r.random() < 0.04 and lang != "th":
-                lang = r.choice([x for x in langs if x != "th"])
-            s = _fill(r, r.choice(PATTERNS[lang]), lang)
+            if r.random() < 0.05 and lang != "th":
+                lang = r.choice([x for x in LANGS if x != "th"])
+            s = w.sentence(lang)
             if lang != "th":
-                p = r.choice([0.0, 0.0, 0.05, 0.15])
-                s = "".join("\n" if c == " " and r.random() < p else c for c in s)
+                s = "".join("\n" if c == " " and r.random() < wrapped else c for c in s)
             text += s
             ends.append(len(text))
             if k + 1 < count:
-                caseless = lang in ("zh", "ja")
-                text += r.choice(["", "", "", "\n", "\n\n"] if caseless else [" "] * 12 + ["\n", "\n", "\n\n", "\n\n", "  "] + ([] if lang == "th" or not s[-1] in ".!?])\"" else [""]))
-        if r.random() < 0.15 and lang != "th":
+                gaps = ["", "", "", "\n", "\n\n"] if lang in ("zh", "ja") else [" "] * 12 + ["\n", "\n", "\n\n", "\n\n", "  "] + ([] if lang == "th" or not s[-1] in ".!?])\"”»" else [""])
+                gap = r.choice(gaps)
+                text += gap
+        if r.random() < 0.15 and lang != "th" and text[-1:] in ".!?":
             text = text[:-1] + r.choice(["", "", " …", " ..."])  # a rest without its final mark
             ends[-1] = len(text)
         out.append((text, ends))

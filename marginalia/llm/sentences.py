@@ -22,18 +22,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.pii_training import common_words
 from marginalia.llm.sentence_training import labelled_texts
 
+Weights = tuple[dict[str, np.ndarray], np.ndarray, frozenset[str]]
 OUT, END, QUOTE, PAREN = range(4)
 MARK, MARK_QUOTE, MARK_PAREN, OPEN_Q, CLOSE_Q, EITHER_Q, OPEN_P, CLOSE_P, THAI = range(9)
 
 _THAI = "฀-๿"
+#: Final marks, those of further scripts among them.
+MARKS = ".!?…。！？؟।॥;;።፧፨։۔។៕။᠃᠉‼⁇⁈⁉｡．"
 _node = re.compile(
-    "(?:\\.(?![0-9])|[!?…。！？؟।॥;;])[.!?…。！？]*(?:[    ]?[»]|[\"'”’“)\\]」』）])*(?:\\[[0-9][0-9, –-]*\\])?"
+    f"[{MARKS}]+(?:[\u00a0\u202f\u2009 ]?[»]|[\"'”’“)\\]」』）])*(?:\\[[0-9][0-9, –-]*\\])?"
     "|[\"“”„«»‘’「」『』()（）]"
     f"|(?<=[{_THAI}])\\s+(?=\\S)"
 )
 _before = re.compile(r"[^\W_]*$")
+_amount = re.compile(r"\d[ \u00a0\n]?$")
 _after = re.compile(r"(\s*)([^\w\s]?)([^\W_]*)")
 _script = {**{c: "thai" for c in range(0x0E00, 0x0E80)}}
 _opens, _closes = "“„«‘「『", "”»」』"
@@ -56,7 +61,8 @@ def _kind(word: str, sign: str) -> str:
 class Nodes:
     """Nodes of a text: (end offset, type, key); keys are interned with their features."""
 
-    def __init__(self) -> None:
+    def __init__(self, common: frozenset[str]) -> None:
+        self.common = common
         self.keys: dict[tuple, int] = {}
         self.features: list[list[str]] = []
 
@@ -73,30 +79,30 @@ class Nodes:
             s = m[0]
             i, j = m.span()
             c = s[0]
-            if c in ".!?…。！？؟।॥;;":
+            if c in MARKS:
                 prev = _before.search(text, max(0, i - 24), i)[0]
                 gap, sign, word = _after.match(text, j, j + 40).groups()
-                if c == "." and len(s) == 1 and not gap and word[:1].islower() and len(prev) < 3:
-                    continue
                 at = i - len(prev)
                 if prev:
                     lead = text[at - 1] if at else ""
                     last = ("." if lead == "." else "") + (prev if len(prev) <= 6 else "Word" if prev[0].isupper() else "word")
                     if prev[-1].isdigit():
                         last = "0"
+                    elif len(prev) < 4 and _amount.search(text, max(0, at - 8), at):
+                        last = "unit"
                     elif ord(prev[-1]) >= 0x3000:
                         last = "cjk"
                 else:
                     last = text[i - 1] if i else "start"
-                tail = s.lstrip(".!?…。！？؟।॥;;")
+                tail = s.lstrip(MARKS)
                 mark = s[: len(s) - len(tail)]
                 cite = tail.endswith("]") and "[" in tail
                 closers = tail[: tail.index("[")] if cite else tail
                 kind = MARK_PAREN if closers[-1:] in tuple(")）") else MARK_QUOTE if closers and closers[-1] != "]" else MARK
                 if c in ";;":
                     mark = "greek;" if re.search("[α-ωά-ώ]", text[max(0, i - 80) : i]) and not re.search("[a-zа-я]{4}", text[max(0, i - 24) : i]) else ";"
-                gap = "P" if gap.count("\n") > 1 else "L" if "\n" in gap else "S" if gap else ""
-                k = ("m", mark, last, closers[-1:], cite, gap, _kind(word, sign), word if len(word) <= 6 else "", sign, word[:1] if ord(word[:1] or "a") >= 0x3000 else "")
+                gap = "P" if gap.count("\n") > 1 else "L" if "\n" in gap else "S" if gap else "d" if word[:1].isdigit() and prev[-1:].isdigit() else ""
+                k = ("m", mark, last, closers[-1:], cite, gap, _kind(word, sign) + ("k" if word.lower() in self.common else ""), word if len(word) <= 6 else "", sign, word[:1] if ord(word[:1] or "a") >= 0x3000 else "")
             elif c.isspace():
                 kind = THAI
                 beside = text[i - 1].isdigit() or text[j].isdigit()
@@ -202,9 +208,9 @@ def _gold(nodes: list[tuple[int, int, int]], ends: set[int], text: str) -> list[
 
 
 @lru_cache(maxsize=2)
-def trained(texts: int = 3000, epochs: int = 5, seed: int = 7) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Weights from ``texts`` labelled texts (the bound of the training sample)."""
-    nodes, m = Nodes(), Model()
+def trained(texts: int = 9000, epochs: int = 5, seed: int = 7) -> Weights:
+    """Weights and common words, from ``texts`` labelled texts (the bound of the training sample)."""
+    nodes, m = Nodes(common_words()), Model()
     data = []
     for text, ends in labelled_texts(texts, seed):
         n = nodes.of(text)
@@ -215,40 +221,55 @@ def trained(texts: int = 3000, epochs: int = 5, seed: int = 7) -> tuple[dict[str
     order = random.Random(seed)
     for _ in range(epochs):
         order.shuffle(data)
-        for n, gold in data:
-            step += 1
-            e = np.array([[sum((w[f] for f in nodes.features[k]), np.zeros(4)) for _, _, k in n]])
-            kinds = np.array([[k for _, k, _ in n]])
-            got = viterbi(e, kinds, np.array([len(n)]), np.where(m.allowed, m.t, -1e9))[0]
-            if list(got) == gold:
-                continue
-            a = b = OUT
-            for (_, kind, key), g, y in zip(n, gold, got, strict=True):
-                if g != y:
-                    for f in nodes.features[key]:
-                        for s, d in ((g, 1.0), (int(y), -1.0)):
-                            w[f][s] += d
-                            sum_w[f][s] += d * step
-                if (a, g) != (b, y):
-                    m.t[kind, a, g] += 1
-                    m.t[kind, b, y] -= 1
-                    sum_t[kind, a, g] += step
-                    sum_t[kind, b, y] -= step
-                a, b = g, int(y)
-    return {f: v - sum_w[f] / step for f, v in w.items()}, np.where(m.allowed, m.t - sum_t / step, -1e9)
+        for at in range(0, len(data), 6):
+            part = data[at : at + 6]
+            got_all = _decoded([n for n, _ in part], nodes, w, np.where(m.allowed, m.t, -1e9))
+            for (n, gold), got in zip(part, got_all, strict=True):
+                step += 1
+                if list(got) == gold:
+                    continue
+                a = b = OUT
+                for (_, kind, key), g, y in zip(n, gold, got, strict=True):
+                    if g != y:
+                        for f in nodes.features[key]:
+                            for s, d in ((g, 1.0), (int(y), -1.0)):
+                                w[f][s] += d
+                                sum_w[f][s] += d * step
+                    if (a, g) != (b, y):
+                        m.t[kind, a, g] += 1
+                        m.t[kind, b, y] -= 1
+                        sum_t[kind, a, g] += step
+                        sum_t[kind, b, y] -= step
+                    a, b = g, int(y)
+    average = {f: v - sum_w[f] / step for f, v in w.items()}
+    return {f: v for f, v in average.items() if np.abs(v).max() > 0.01}, np.where(m.allowed, m.t - sum_t / step, -1e9), nodes.common
+
+
+def _decoded(chains: list[list[tuple[int, int, int]]], nodes: Nodes, w: dict[str, np.ndarray], trans: np.ndarray) -> list[np.ndarray]:
+    """Best labels of a few chains under weights that still change."""
+    used = sorted({k for n in chains for _, _, k in n})
+    zero = np.zeros(4)
+    e = np.array([sum((w[f] for f in nodes.features[k] if f in w), zero) for k in used])
+    lengths = np.array([len(n) for n in chains])
+    kinds, keys = np.zeros((2, len(chains), int(lengths.max())), np.int64)
+    for i, n in enumerate(chains):
+        kinds[i, : len(n)] = [x[1] for x in n]
+        keys[i, : len(n)] = np.searchsorted(used, [x[2] for x in n])
+    labels = viterbi(e[keys], kinds, lengths, trans)
+    return [labels[i, : len(n)] for i, n in enumerate(chains)]
 
 
 class Splitter:
-    def __init__(self, weights: tuple[dict[str, np.ndarray], np.ndarray]) -> None:
+    def __init__(self, weights: Weights) -> None:
         self.m = Model()
-        self.m.w, self.trans = weights
-        self.nodes = Nodes()
+        self.m.w, self.trans, common = weights
+        self.nodes = Nodes(common)
         self.e = np.zeros((0, 4))
 
     def ends(self, texts: list[str]) -> list[list[int]]:
         """Positions of the last characters of the sentences of each text."""
         if len(self.nodes.keys) > 1 << 18:
-            self.nodes, self.e = Nodes(), np.zeros((0, 4))
+            self.nodes, self.e = Nodes(self.nodes.common), np.zeros((0, 4))
         all_ = [self.nodes.of(t) for t in texts]
         new = self.nodes.features[len(self.e) :]
         if new:
@@ -280,10 +301,10 @@ def sentence_ends(df: DataFrame, id_column: str, column: str) -> DataFrame:
     Null ids, and null, empty and blank texts, have no sentence. Repeated rows are split as they
     come. A long text is decoded whole.
     """
-    weights = trained()
+    weights = df.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Splitter(weights)
+        s = Splitter(weights.value)
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 b = whole.iloc[at : at + 1024]
