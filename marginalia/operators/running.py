@@ -22,8 +22,8 @@ def running(df: DataFrame, out: dict[str, tuple[str, Column]], order: tuple[str,
     as in an ascending sort. A sum over nothing is 0, other kinds give null.
     """
     page = order[0]
-    names = {n: f"_v_{n}" for n in out}
-    x = df.withColumn("_range", F.coalesce(F.floor(F.col(page) / PAGES), F.lit(-1 << 40)))
+    names = {n: f"__run_v_{n}" for n in out}
+    x = df.withColumn("__run_range", F.coalesce(F.floor(F.col(page) / PAGES), F.lit(-1 << 40)))
     for n, (_, value) in out.items():
         x = x.withColumn(names[n], value)
 
@@ -33,19 +33,19 @@ def running(df: DataFrame, out: dict[str, tuple[str, Column]], order: tuple[str,
             return F.max_by(v, F.when(v.isNotNull(), F.struct(*order)))
         return {"sum": F.sum, "min": F.min, "max": F.max}[kind](v)
 
-    parts = x.groupBy(*keys, "_range").agg(*[whole(n, k).alias(f"_p_{n}") for n, (k, _) in out.items()])
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = x.groupBy(*keys, "__run_range").agg(*[whole(n, k).alias(f"__run_p_{n}") for n, (k, _) in out.items()])
+    earlier = Window.partitionBy(*keys).orderBy("__run_range").rowsBetween(Window.unboundedPreceding, -1)
     over = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
-    parts = parts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), *[over[k](F.col(f"_p_{n}")).over(earlier).alias(f"_p_{n}") for n, (k, _) in out.items()])
-    within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    x = x.select("*", *[over[k](F.col(names[n])).over(within).alias(f"_w_{n}") for n, (k, _) in out.items()])
-    same = F.col("_range") == F.col("_r")
+    parts = parts.select(*[F.col(k).alias(f"__run_k_{k}") for k in keys], F.col("__run_range").alias("__run_at"), *[over[k](F.col(f"__run_p_{n}")).over(earlier).alias(f"__run_p_{n}") for n, (k, _) in out.items()])
+    within = Window.partitionBy(*keys, "__run_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    x = x.select("*", *[over[k](F.col(names[n])).over(within).alias(f"__run_w_{n}") for n, (k, _) in out.items()])
+    same = F.col("__run_range") == F.col("__run_at")
     for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        same &= F.col(k).eqNullSafe(F.col(f"__run_k_{k}"))
     x = x.join(parts, same)
 
     def both(n: str, kind: str) -> Column:
-        a, b = F.col(f"_p_{n}"), F.col(f"_w_{n}")
+        a, b = F.col(f"__run_p_{n}"), F.col(f"__run_w_{n}")
         if kind == "sum":
             return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
         return F.coalesce(b, a) if kind == "last" else {"min": F.least, "max": F.greatest}[kind](a, b)

@@ -20,7 +20,7 @@ def brute(data, kind, inclusive):
 @settings(max_examples=6, deadline=None)
 @given(rows, st.booleans())
 def test_equals_plain_windows(spark, data, inclusive):
-    df = spark.createDataFrame([(*r, "x") for r in data], "source string, page_number int, pos int, v int, _x string")
+    df = spark.createDataFrame([(*r, "x") for r in data], "source string, page_number int, pos int, v int, _r string")
     kinds = ("sum", "min", "max", "last")
     got = running(df, {k: (k, F.col("v")) for k in kinds}, inclusive=inclusive)
     assert got.columns == [*df.columns, *kinds]
