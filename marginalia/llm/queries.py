@@ -10,13 +10,20 @@ from marginalia.session import staged
 from marginalia.sources.tables import once, read
 
 
+def _p2(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    b = visual.visual_keys(read(spark, sf, "blocks", ["block_id", "content"]), "block_id", "content")
+    r = visual.visual_keys(read(spark, sf, "refs", ["ref_id", "content"]), "ref_id", "content")
+    # The one form is computed once; hashes are stored.
+    return {"blocks": staged(b), "refs": staged(r)}
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return visual.visual_twins(
-        {
-            "blocks": visual.visual_keys(read(spark, sf, "blocks", ["block_id", "content"]), "block_id", "content"),
-            "refs": visual.visual_keys(read(spark, sf, "refs", ["ref_id", "content"]), "ref_id", "content"),
-        }
-    )
+    return visual.visual_twins(_p2(spark, sf))
+
+
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record whose look several texts have, with its class."""
+    return visual.visual_classes(_p2(spark, sf)).withColumnRenamed("id", "row_id")
 
 
 def p2_canonical(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,6 +150,7 @@ def p10_masked(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p2_canonical": p2_canonical,
     "p3_found": p3_found,
     "p4_found": p4_found,

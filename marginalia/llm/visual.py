@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.session import staged
+
 # Letters of Cyrillic and Greek whose printed shape is that of a Latin letter.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXYGQWaesijopcyxhdqw"
@@ -68,6 +70,10 @@ class Transducer:
                 raise ValueError(f"{k!a} would change its case")
             if k.isdigit() != v.isdigit() and v.strip() and (k.isdigit() or v.isdigit()):
                 raise ValueError(f"{k!a} would become a digit, or cease to be one")
+        # What a reader tells apart stays as it is: ASCII, and the letters of Latin with their accents.
+        for o in [*range(0x21, 0x7F), *(o for o in range(0xC0, 0x250) if unicodedata.category(chr(o))[0] == "L" and unicodedata.normalize("NFC", chr(o)) == chr(o))]:
+            if fold.get(chr(o), chr(o)) != chr(o):
+                raise ValueError(f"{chr(o)!a} would become {fold[chr(o)]!a}")
         self.single = fold
         self.clusters: dict[str, str] = dict(fold)
         # Precomposed letters whose base has a look-alike: the accent stays, the base changes.
@@ -149,26 +155,47 @@ def visual_keys(df: DataFrame, id_column: str, column: str) -> DataFrame:
     return some.mapInPandas(keys, "id bigint, key binary, variant binary")
 
 
-def visual_twins(tables: dict[str, DataFrame]) -> DataFrame:
-    """Pairs of records of one table that look alike but differ in code points.
+#: Records of a text that are given in pairs with all records of the texts that look like it.
+COPIES = 8
 
-    ``tables``: name -> keys as ``visual_keys`` gives them. Result: tbl, id_a < id_b.
-    A redelivered record counts once. Null or empty texts never match; equal texts are no pair.
-    Only keys with several variants are joined: a text that a third of all rows repeat unchanged
-    makes no pair, and where it has a disguised twin, its rows are spread by a salt.
-    """
+
+def _classes(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(members: tbl, key, variant, id of the keys with several texts; texts: tbl, key, variant, n, reps: the COPIES
+    smallest ids). Ids are taken together in two steps, so a text that a third of all rows repeat is never collected."""
     keyed = None
     for name, df in tables.items():
         one = df.withColumn("tbl", F.lit(name))
         keyed = one if keyed is None else keyed.unionByName(one)
     assert keyed is not None
     keyed = keyed.groupBy("tbl", "id").agg(F.first(F.struct("key", "variant")).alias("k")).select("tbl", "id", "k.key", "k.variant")
-    variants = keyed.groupBy("tbl", "key", "variant").agg(F.count(F.lit(1)).alias("n"))
-    several = variants.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("rows")).where("variants > 1")
-    # Members of such keys only; each variant pair is met once, from its lower variant.
-    m = keyed.join(several, ["tbl", "key"])
-    salts = F.greatest(F.lit(1), F.least(F.lit(256), F.ceil(F.col("rows") / 2000))).cast("int")
-    a = m.select("tbl", "key", F.col("variant").alias("va"), F.col("id").alias("ia"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-    b = m.select("tbl", "key", F.col("variant").alias("vb"), F.col("id").alias("ib"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    pairs = a.join(b, ["tbl", "key", "salt"]).where("va < vb")
-    return pairs.select("tbl", F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+    part = keyed.groupBy("tbl", "key", "variant", F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list("id")), 1, COPIES).alias("r"))
+    texts = part.groupBy("tbl", "key", "variant").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("r"))), 1, COPIES).alias("reps"))
+    several = texts.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
+    few = staged(texts.join(several.select("tbl", "key"), ["tbl", "key"]))
+    return keyed.join(several.select("tbl", "key"), ["tbl", "key"], "left_semi"), few
+
+
+def visual_twins(tables: dict[str, DataFrame]) -> DataFrame:
+    """Pairs of records of one table that look alike but differ in code points.
+
+    ``tables``: name -> keys as ``visual_keys`` gives them. Result: tbl, id_a < id_b.
+    A redelivered record counts once. Null or empty texts never match; equal texts are no pair. Each record is paired
+    with the first ``COPIES`` records of each other text of its look, so that the pairs grow with the
+    records; of two texts with more records each, pairs of records behind the first ones aren't given
+    singly (``visual_classes`` has all records). Every two different texts of one look are paired.
+    """
+    members, texts = _classes(tables)
+    # Members of one look are spread by a salt; its few texts are copied to each.
+    spread = texts.select("tbl", "key", F.col("variant").alias("other"), "reps", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    pairs = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(spread, ["tbl", "key", "salt"]).where("variant <> other")
+    pairs = pairs.select("tbl", "id", F.explode("reps").alias("twin"))
+    return pairs.select("tbl", F.least("id", "twin").alias("id_a"), F.greatest("id", "twin").alias("id_b")).distinct()
+
+
+def visual_classes(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row for each record whose look several texts have: tbl, id, class_id (smallest id of that look), text_id
+    (smallest id of that very text), n_texts, n_records of the look."""
+    members, texts = _classes(tables)
+    looks = texts.groupBy("tbl", "key").agg(F.min(F.col("reps")[0]).alias("class_id"), F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_records"))
+    m = members.join(texts.select("tbl", "key", "variant", F.col("reps")[0].alias("text_id")), ["tbl", "key", "variant"]).join(looks, ["tbl", "key"])
+    return m.select("tbl", "id", "class_id", "text_id", "n_texts", "n_records")

@@ -2,7 +2,7 @@ import unicodedata
 
 import pytest
 
-from marginalia.llm.visual import Transducer, canonical_text, one_form, rules, visual_keys, visual_twins
+from marginalia.llm.visual import Transducer, canonical_text, one_form, rules, visual_classes, visual_keys, visual_twins
 
 
 def test_looks_are_one_form():
@@ -44,6 +44,22 @@ def test_a_text_that_most_rows_repeat(spark):
     assert visual_twins({"t": visual_keys(df, "id", "content")}).count() == 5999
 
 
+def test_many_copies_of_two_looks_alike(spark):
+    df = spark.range(60).selectExpr("id", "IF(id % 2 = 0, 'notісe', 'notice') AS content")
+    keys = {"t": visual_keys(df, "id", "content")}
+    got = {tuple(r) for r in visual_twins(keys).select("id_a", "id_b").collect()}
+    assert len(got) == 2 * 30 * 8 - 8 * 8 and all((a + b) % 2 for a, b in got)
+    rows = visual_classes(keys).collect()
+    assert len(rows) == 60 and {(r.class_id, r.n_texts, r.n_records) for r in rows} == {(0, 2, 60)} and {(r.id % 2, r.text_id) for r in rows} == {(0, 0), (1, 1)}
+
+
+def test_letters_that_stay_apart():
+    for c in "lIO0éè‘’“-–—":
+        assert one_form(c) == c
+    with pytest.raises(ValueError):
+        Transducer(rules() | {"é": "e"})
+
+
 def test_nulls_stay(spark):
     df = spark.createDataFrame([(None,), ("",), ("ﬂ",)], "c string")
     assert [r.canonical for r in canonical_text(df, "c").collect()] == [None, "", "fl"]
