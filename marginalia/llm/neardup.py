@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.session import staged
@@ -307,13 +307,18 @@ def _matrix(b: pd.DataFrame, columns: tuple[str, ...]) -> np.ndarray:
     return x
 
 
-def text_links(texts: DataFrame) -> DataFrame:
-    """Links between different texts: tbl, a < b (hashes of the texts), common, together.
+def text_key(seed: int) -> Column:
+    """64-bit key of a text; ``_classes`` takes a seed with which different texts have different keys."""
+    return F.xxhash64("content") if seed == 0 else F.xxhash64(F.lit(seed), "content")
+
+
+def text_links(texts: DataFrame, seed: int = 0) -> DataFrame:
+    """Links between different texts: tbl, a < b (keys of the texts), common, together.
 
     ``texts``: tbl, id, content. Texts without a word never count.
     """
     spark = texts.sparkSession
-    some = texts.where(F.col("content").isNotNull() & F.col("content").rlike(r"(?U)\S")).select("tbl", "content", F.xxhash64("content").alias("doc"))
+    some = texts.where(F.col("content").isNotNull() & F.col("content").rlike(r"(?U)\S")).select("tbl", "content", text_key(seed).alias("doc"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, seen = Words(), set()
@@ -366,16 +371,29 @@ def text_links(texts: DataFrame) -> DataFrame:
     return both.select("tbl", "a", "b", overlap("ca", "cb").alias("o")).select("tbl", "a", "b", "o.common", "o.together").where(F.col("common") * DEN >= F.col("together") * NUM)
 
 
-def _members(texts: DataFrame) -> DataFrame:
+def _members(texts: DataFrame, seed: int) -> DataFrame:
     some = texts.where(F.col("id").isNotNull() & F.col("content").isNotNull() & F.col("content").rlike(r"(?U)\S"))
-    return some.select("tbl", "id", F.xxhash64("content").alias("doc")).distinct()
+    return some.select("tbl", "id", text_key(seed).alias("doc"), F.xxhash64(F.lit("check"), "content").alias("check")).distinct()
 
 
 def _first_ids(members: DataFrame) -> DataFrame:
-    """tbl, doc, reps: the COPIES smallest ids of each class, n: its size; in two steps, so that a
-    class with a third of all rows is never collected."""
-    part = members.groupBy("tbl", "doc", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, COPIES).alias("r"), F.count(F.lit(1)).alias("n"))
-    return part.groupBy("tbl", "doc").agg(F.slice(F.sort_array(F.flatten(F.collect_list("r"))), 1, COPIES).alias("reps"), F.sum("n").alias("n"))
+    """tbl, doc, reps: the COPIES smallest ids of each class, n: its size, least: the smallest id, one: whether all its
+    records have one text; in two steps, so that a class with a third of all rows is never collected."""
+    part = members.groupBy("tbl", "doc", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, COPIES).alias("r"), F.count(F.lit(1)).alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    whole = part.groupBy("tbl", "doc").agg(F.slice(F.sort_array(F.flatten(F.collect_list("r"))), 1, COPIES).alias("reps"), F.sum("n").alias("n"), (F.min("lo") == F.max("hi")).alias("one"))
+    return whole.withColumn("least", F.col("reps")[0])
+
+
+def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(members: tbl, id, doc; reps as in ``_first_ids``; the seed of the keys). Keys of which one stands for two
+    texts (told by a second one) are made anew with another seed."""
+    seed = 0
+    while True:
+        members = staged(_members(texts, seed))
+        reps = staged(_first_ids(members))
+        if reps.where("NOT one").isEmpty():
+            return members.drop("check"), reps.drop("one"), seed
+        seed += 1
 
 
 def near_duplicate_pairs(texts: DataFrame) -> DataFrame:
@@ -388,9 +406,8 @@ def near_duplicate_pairs(texts: DataFrame) -> DataFrame:
     records that both stand behind the first ``COPIES``, of one text or of two linked ones, aren't given
     singly; ``near_duplicate_groups`` has both records in one group and counts the link in n_links.
     """
-    members = staged(_members(texts))
-    reps = staged(_first_ids(members))
-    links = text_links(texts).select("tbl", "a", "b")
+    members, reps, seed = _classes(texts)
+    links = text_links(texts, seed).select("tbl", "a", "b")
     equal = members.join(reps.where("n > 1"), ["tbl", "doc"]).select("tbl", F.explode("reps").alias("x"), F.col("id").alias("y")).where("x < y")
     first = links.join(reps.select("tbl", F.col("doc").alias("b"), F.col("reps").alias("rb")), ["tbl", "b"]).join(members.select("tbl", F.col("doc").alias("a"), "id"), ["tbl", "a"])
     first = first.select("tbl", F.col("id").alias("x"), F.explode("rb").alias("y"))
@@ -400,24 +417,45 @@ def near_duplicate_pairs(texts: DataFrame) -> DataFrame:
     return pairs.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def near_duplicate_groups(texts: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """tbl, node, root (the smallest node of its component) for all nodes of edges (tbl, a, b).
+
+    Alternating stars: every node's larger neighbours are hung on its smallest one, then its smaller ones; the
+    number of rounds grows with the logarithm of the nodes, whatever the length of chains. Minima are
+    taken by aggregates, so no node's neighbours are ever collected.
+    """
+    e = staged(edges.where("a <> b").select("tbl", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    def state(x: DataFrame) -> tuple:
+        return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("tbl", "a", "b").cast("decimal(38,0)"))).first())
+
+    before = state(e)
+    while True:
+        both = e.unionByName(e.select("tbl", F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("tbl", "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = both.join(low, ["tbl", "a"]).where("b > a").select("tbl", F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = staged(large)
+        low = large.groupBy("tbl", "a").agg(F.min("b").alias("m"))
+        small = large.join(low, ["tbl", "a"]).select("tbl", F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("tbl", "x.a", "x.b")
+        e = staged(small.where("a <> b").distinct())
+        after = state(e)
+        if after == before:
+            break
+        before = after
+    roots = e.select("tbl", F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return e.select("tbl", F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def near_duplicate_groups(texts: DataFrame) -> DataFrame:
     """One row a record: tbl, id, group_id (smallest id of its group), n_links (records linked to it,
     those with an equal text among them). Records without links are groups of their own."""
-    members = staged(_members(texts))
-    sizes = members.groupBy("tbl", "doc").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    sizes = staged(sizes)
-    links = staged(text_links(texts).select("tbl", "a", "b"))
-    both = staged(links.union(links.select("tbl", "b", "a")))
-    label = staged(sizes.select("tbl", "doc", F.col("least").alias("g")))
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("doc", "b"), ["tbl", "b"]).groupBy("tbl", F.col("a").alias("doc")).agg(F.min("g").alias("h"))
-        new = staged(label.join(near, ["tbl", "doc"], "left").select("tbl", "doc", F.least("g", "h").alias("g"), (F.col("h") < F.col("g")).alias("moved")))
-        moved = not new.where("moved").isEmpty()
-        label = new.select("tbl", "doc", "g")
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"groups didn't settle in {rounds} rounds")
+    members, sizes, seed = _classes(texts)
+    links = staged(text_links(texts, seed).select("tbl", "a", "b"))
+    both = links.union(links.select("tbl", "b", "a"))
+    root = components(links).withColumnRenamed("node", "doc")
+    label = sizes.select("tbl", "doc", "least").join(root, ["tbl", "doc"], "left").withColumn("root", F.coalesce("root", "doc"))
+    label = staged(label)
+    label = label.join(label.groupBy("tbl", "root").agg(F.min("least").alias("g")), ["tbl", "root"]).select("tbl", "doc", "g")
     linked = both.join(sizes.select("tbl", F.col("doc").alias("b"), "n"), ["tbl", "b"]).groupBy("tbl", F.col("a").alias("doc")).agg(F.sum("n").alias("m"))
     out = members.join(label, ["tbl", "doc"]).join(sizes.select("tbl", "doc", "n"), ["tbl", "doc"]).join(linked, ["tbl", "doc"], "left")
     return out.select("tbl", "id", F.col("g").alias("group_id"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))

@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from marginalia.llm import neardup as N
 
 
@@ -89,3 +91,18 @@ def test_pairs_across_the_borders_of_layouts(spark):
             rows += [("x", len(rows), " ".join(w)), ("x", len(rows) + 1, " ".join(r.sample(w, small)))]
     want = brute(rows)
     assert len(want) == 48 and pairs(spark, rows) == want
+
+
+def test_a_long_chain_is_one_group(spark):
+    n = 150
+    edges = [("x", i, i + 1) for i in range(n)] + [("x", 900, 901), ("y", 5, 3), ("y", 4, 4)]
+    got = {(r.tbl, r.node): r.root for r in N.components(spark.createDataFrame(edges, "tbl string, a bigint, b bigint")).collect()}
+    assert got == {("x", i): 0 for i in range(n + 1)} | {("x", 900): 900, ("x", 901): 900, ("y", 3): 3, ("y", 5): 3}
+
+
+def test_texts_of_one_key_are_told_apart(spark, monkeypatch):
+    plain = N.text_key
+    monkeypatch.setattr(N, "text_key", lambda seed: F.length("content").cast("bigint") if seed == 0 else plain(seed))
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [("x", 1, words), ("x", 2, words.replace("zeta", "ZETA")), ("x", 3, words.replace("theta", "thyme")), ("x", 4, words)]
+    assert pairs(spark, rows) == brute(rows)
