@@ -4,8 +4,8 @@ Words are grouped by a confusable-glyph skeleton: every character or pair that s
 another is spelled out in the same strokes, so a word and its misreadings share a skeleton. In a
 group the frequent form stands for the word; a rare form is a misreading. Corpus counts are over
 all unbroken words of all records. Running lines are found by masking digits and counting
-pages. What opens the next line of running text is looked up with SQL windows along the source,
-cut into page ranges with a margin so that no source is one task.
+pages. What opens the next line of running text is found by running values along the source, taken
+in two steps so that no source is one task.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.running_lines import at_edge, repeated_line_blocks
 from marginalia.llm.visual import transducer
+from marginalia.operators.running import running
 from marginalia.session import staged
 
 # What a scanner reads for a character, as (character, misread as).
@@ -34,8 +35,6 @@ MARKS = "-‐‑¬­"
 RATIO = 12
 #: Misread forms looked up in memory; more are joined.
 LOOKUP_FORMS = 1_000_000
-#: Pages of one window task; each range sees the first pages of the next.
-PAGE_RANGE = 64
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _word = re.compile(f"!?[{_LATIN}0-9]+(?:!+[{_LATIN}0-9]+)*")
@@ -244,15 +243,15 @@ def _headers(lines: DataFrame, min_pages: int, min_share: float) -> DataFrame:
     return lines.where("what = 'edge' AND header IS NOT NULL").join(often, ["source", "header"], "left_semi").select("row_id", "line_no")
 
 
-def _across(lines: DataFrame, ahead: int) -> DataFrame:
+def _across(lines: DataFrame) -> DataFrame:
     """Broken words at the end of records with the word in lower case that opens the next line of
-    running text: row_id, line_no, a, b, mark."""
-    span = F.floor(F.col("page_number") / PAGE_RANGE)
-    own = lines.withColumn("range", span)
-    margin = lines.where(F.pmod("page_number", F.lit(PAGE_RANGE)) < 4).withColumn("range", span - 1).withColumn("a", F.lit(None).cast("string"))
-    w = Window.partitionBy("source", "range").orderBy("page_number", "pos", "line_no", "row_id").rowsBetween(1, ahead)
-    opens = F.when(F.col("b").isNotNull(), F.struct("b", "row_id", "line_no"))
-    found = own.unionByName(margin).withColumn("next", F.first(opens, ignorenulls=True).over(w)).where("a IS NOT NULL")
+    running text, however far it is: row_id, line_no, a, b, mark, next_row, next_no. Nothing follows where the
+    source or the page is unknown."""
+    placed = F.col("source").isNotNull() & F.col("page_number").isNotNull()
+    back = {"_p": -F.col("page_number"), "_o": -F.col("pos"), "_l": -F.col("line_no"), "_r": -F.col("row_id")}
+    opens = F.when(placed & F.col("b").isNotNull(), F.struct("b", "row_id", "line_no"))
+    found = running(lines.where("a IS NOT NULL OR b IS NOT NULL").withColumns(back), {"next": ("last", opens)}, tuple(back), inclusive=False)
+    found = found.where("a IS NOT NULL").withColumn("next", F.when(placed, F.col("next")))
     return found.select("row_id", "line_no", "a", F.coalesce("next.b", F.lit("")).alias("b"), "mark", F.col("next.row_id").alias("next_row"), F.col("next.line_no").alias("next_no"))
 
 
@@ -313,7 +312,7 @@ def noisy_lines(pages: DataFrame, blocks: DataFrame, *, min_pages: int = 3, min_
             headers = staged(_headers(running, min_pages, min_share))
             out = out.unionByName(headers.withColumn("kind", F.lit("header"))).unionByName(lines.where("what = 'number'").select("row_id", "line_no", F.lit("page_no").alias("kind")))
             text = text.join(headers, ["row_id", "line_no"], "left_anti")
-        across = _across(text.select("row_id", "source", "page_number", "pos", "line_no", "a", "b", "mark"), 8 if edges else 16)
+        across = _across(text.select("row_id", "source", "page_number", "pos", "line_no", "a", "b", "mark"))
         inside = lines.where("what = 'broken'").select("row_id", "line_no", "a", "b", "mark", F.col("row_id").alias("next_row"), "next_no")
         broken = staged(inside.unionByName(across))
         hyphens = _hyphen_lines(broken, counts)
@@ -335,18 +334,9 @@ def _repaired(texts: DataFrame, found: DataFrame, forms: DataFrame) -> DataFrame
     """
     spark = texts.sparkSession
     marks = found.groupBy("row_id").agg(F.collect_set(F.struct("line_no", "kind")).alias("marks"))
-    if forms.count() > LOOKUP_FORMS:
-        raise ValueError("the repair of paragraphs looks up misread forms in memory: raise LOOKUP_FORMS")
-    shared = spark.sparkContext.broadcast(dict(forms.collect()))
-
-    def mend(text: str) -> str:
-        known = shared.value
-
-        def one(m: re.Match[str]) -> str:
-            w = known.get(m[0].lower())
-            return m[0] if w is None else w.capitalize() if m[0][0].isupper() else w
-
-        return _word.sub(one, text)
+    # The misread forms are looked up in memory, or beyond the limit each paragraph gets its own ones by a join.
+    few = forms.count() <= LOOKUP_FORMS
+    shared = spark.sparkContext.broadcast(dict(forms.collect())) if few else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold = transducer().apply
@@ -377,14 +367,41 @@ def _repaired(texts: DataFrame, found: DataFrame, forms: DataFrame) -> DataFrame
                         mending.add(len(paras) - 1)
                     if marked and "hyphen" in k:
                         paras[-1] = paras[-1][:-1]
-                paras = [mend(p) if n in mending else p for n, p in enumerate(paras) if p]
-                for n, p in enumerate(paras):
-                    cut = glue and n == len(paras) - 1
-                    out.append((source, page, pos, key, n, p, cut, cut or p[-1] not in ".!?。！？।؟:;\"”»)", p[:1].islower()))
-            yield pd.DataFrame(out, columns=["source", "page_number", "pos", "row_id", "para", "text", "joined", "open", "lower"])
+                kept = [(p, n in mending) for n, p in enumerate(paras) if p]
+                for n, (p, ill) in enumerate(kept):
+                    p = _mended(p, shared.value) if ill and few else p
+                    cut = glue and n == len(kept) - 1
+                    out.append((source, page, pos, key, n, p, cut, cut or p[-1] not in ".!?。！？।؟:;\"”»)", p[:1].islower(), ill))
+            yield pd.DataFrame(out, columns=["source", "page_number", "pos", "row_id", "para", "text", "joined", "open", "lower", "ill"])
 
     some = texts.where(F.col("row_id").isNotNull() & F.col("content").isNotNull()).join(marks, "row_id", "left")
-    return some.mapInPandas(run, "source string, page_number int, pos int, row_id bigint, para int, text string, joined boolean, open boolean, lower boolean")
+    done = some.mapInPandas(run, "source string, page_number int, pos int, row_id bigint, para int, text string, joined boolean, open boolean, lower boolean, ill boolean")
+    return done.drop("ill") if few else _mended_by_join(staged(done), forms)
+
+
+def _mended(text: str, known: dict[str, str]) -> str:
+    def one(m: re.Match[str]) -> str:
+        w = known.get(m[0].lower())
+        return m[0] if w is None else w.capitalize() if m[0][0].isupper() else w
+
+    return _word.sub(one, text)
+
+
+def _mended_by_join(done: DataFrame, forms: DataFrame) -> DataFrame:
+    """The paragraphs with those marked ``ill`` mended by the forms that they hold."""
+
+    @F.pandas_udf("array<string>")
+    def words(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: sorted({x.lower() for x in _word.findall(t)}))
+
+    @F.pandas_udf("string")
+    def mend(s: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([t if m is None else _mended(t, dict(m)) for t, m in zip(s, right, strict=True)])
+
+    own = done.where("ill").select("row_id", "para", F.explode(words("text")).alias("form")).join(forms, "form")
+    own = own.groupBy("row_id", "para").agg(F.map_from_entries(F.collect_list(F.struct("form", "word"))).alias("right"))
+    j = done.join(own, ["row_id", "para"], "left")
+    return j.withColumn("text", F.when(F.col("right").isNotNull(), mend("text", "right")).otherwise(F.col("text"))).select(*[c for c in done.columns if c != "ill"])
 
 
 def _continuous(repaired: DataFrame) -> DataFrame:
@@ -392,24 +409,17 @@ def _continuous(repaired: DataFrame) -> DataFrame:
     page_number, row_id, para (where it starts), n_parts, content.
 
     One that ends openly at the end of a record goes on with a first paragraph of the next record that
-    opens in lower case. Windows run over page ranges with a margin; what an earlier range hands on
-    is one row a range. Nothing goes on from a null source or page.
+    opens in lower case. What the record before ends with, and where a paragraph started, are running
+    values in two steps. Nothing goes on from a null source or page.
     """
-    p = staged(repaired.withColumn("range", F.floor(F.col("page_number") / PAGE_RANGE)))
-    last = p.groupBy("source", "page_number", "pos", "range", "row_id").agg(F.max_by(F.struct("open", "joined"), F.col("para")).alias("end"))
-    margin = last.where(F.pmod("page_number", F.lit(PAGE_RANGE)) >= PAGE_RANGE - 4).withColumn("range", F.col("range") + 1).withColumn("margin", F.lit(True))
-    order = Window.partitionBy("source", "range").orderBy("page_number", "pos", "row_id")
-    ends = last.withColumn("margin", F.lit(False)).unionByName(margin).withColumn("before", F.lag("end").over(order)).where("NOT margin").select("row_id", "before")
+    p = staged(repaired)
     placed = F.col("source").isNotNull() & F.col("page_number").isNotNull()
+    last = p.groupBy("source", "page_number", "pos", "row_id").agg(F.max_by(F.struct("open", "joined"), F.col("para")).alias("end"))
+    ends = running(last, {"before": ("last", F.when(placed, F.col("end")))}, ("page_number", "pos", "row_id"), inclusive=False).select("row_id", "before")
     p = p.join(ends, "row_id").withColumn("goes_on", placed & (F.col("para") == 0) & F.coalesce(F.col("before.open") & F.col("lower"), F.lit(False)))
     at = F.struct("page_number", "pos", "row_id", "para")
-    start = F.when(~F.col("goes_on"), at)
-    within = Window.partitionBy("source", "range").orderBy("page_number", "pos", "row_id", "para").rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("first", F.last(start, ignorenulls=True).over(within))
-    handed = p.groupBy("source", "range").agg(F.max(start).alias("start"))
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    handed = handed.select("source", "range", F.last("start", ignorenulls=True).over(earlier).alias("handed"))
-    p = p.join(handed, ["source", "range"], "left").withColumn("first", F.coalesce("first", "handed", at))
+    p = running(p, {"first": ("last", F.when(~F.col("goes_on"), at))}, ("page_number", "pos", "row_id", "para"))
+    p = p.withColumn("first", F.coalesce("first", at))
     glue = F.when(F.col("goes_on"), F.when(F.col("before.joined"), F.lit("")).otherwise(F.lit(" "))).otherwise(F.lit(""))
     parts = F.array_sort(F.collect_list(F.struct("page_number", "pos", "row_id", "para", F.concat(glue, F.col("text")).alias("t"))))
     g = p.groupBy("source", "first").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("content"), F.count(F.lit(1)).alias("n_parts"))

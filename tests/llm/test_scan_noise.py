@@ -1,4 +1,7 @@
+import pytest
+
 from marginalia.llm import scan_noise as S
+from marginalia.operators.running import PAGES
 
 PAGE = "row_id bigint, source string, page_number int, content string, extra string"
 BLOCK = "row_id bigint, source string, page_number int, pos int, content string"
@@ -34,7 +37,9 @@ def test_lines_and_paragraphs(spark):
     assert text[6, 2] == "The polymer oscillates with a signal-to-noise ratio and it oscillates again under load."
 
 
-def test_paragraphs_of_blocks(spark):
+@pytest.mark.parametrize("lookup", [S.LOOKUP_FORMS, 0])
+def test_paragraphs_of_blocks(spark, monkeypatch, lookup):
+    monkeypatch.setattr(S, "LOOKUP_FORMS", lookup)
     columns = f"{BLOCK}, y0 double, page_height double"
     rows = [(p, "s", p, 0, f"Tests, Vol. {p}", 2.0, 100.0) for p in range(1, 7)]
     rows += [(10, "s", 2, 1, "The polymer\noscillates. " * 15 + "A signal-to-noise ratio.", 40.0, 100.0)]
@@ -42,7 +47,7 @@ def test_paragraphs_of_blocks(spark):
     rows += [(14, "s", 3, 1, "mer that rests under", 30.0, 100.0), (15, "s", 3, 2, "signal-\nto-noise load.", 50.0, 100.0), (16, "s", 3, 3, "3", 50.0, 100.0)]
     rows += [(17, None, 3, 1, "no source and", 50.0, 100.0), (18, None, 3, 2, "nothing goes on", 50.0, 100.0), (19, "s", 4, 1, None, 50.0, 100.0), (None, "s", 4, 2, "x", 50.0, 100.0)]
     # Over the border of page ranges.
-    rows += [(20, "r", S.PAGE_RANGE - 1, 5, "The first part and", 50.0, 100.0), (21, "r", S.PAGE_RANGE, 0, "the second part.", 50.0, 100.0)]
+    rows += [(20, "r", PAGES - 1, 5, "The first part and", 50.0, 100.0), (21, "r", PAGES, 0, "the second part.", 50.0, 100.0)]
     pages = [(10, "s", 2, "Only a page.", "x")]
     got = {(r.tbl, r.row_id): (r.page_number, r.n_parts, r.content) for r in S.all_paragraphs(spark.createDataFrame(pages, PAGE), spark.createDataFrame(rows, columns)).collect()}
     assert got == {
@@ -52,10 +57,20 @@ def test_paragraphs_of_blocks(spark):
         ("blocks", 16): (3, 1, "3"),
         ("blocks", 17): (3, 1, "no source and"),
         ("blocks", 18): (3, 1, "nothing goes on"),
-        ("blocks", 20): (S.PAGE_RANGE - 1, 2, "The first part and the second part."),
+        ("blocks", 20): (PAGES - 1, 2, "The first part and the second part."),
     }
 
 
 def test_empty_tables(spark):
     found, forms = S.noisy_lines(spark.createDataFrame([], PAGE), spark.createDataFrame([], BLOCK))
     assert found.count() == 0 and forms.count() == 0
+
+
+def test_the_next_running_line_may_be_far_off(spark):
+    body = "The polymer oscillates under load. " * 3
+    rows = [(0, "s", 1, 0, body), (1, "s", 2, 0, "It is a poly-")]
+    rows += [(i, "s", 2 + i, 0, "TABLE 1 2 3") for i in range(2, 40)]
+    rows += [(50, "s", 300, 0, "mer that oscillates."), (60, None, 1, 0, "no source, a poly-"), (61, None, 2, 0, "mer.")]
+    b = spark.createDataFrame(rows, BLOCK)
+    broken = S._across(S._read_lines(b.withColumn("x", b.row_id), None, 0).where("what = 'edge'").select("row_id", "source", "page_number", "pos", "line_no", "a", "b", "mark"))
+    assert {r.row_id: (r.b, r.next_row) for r in broken.collect()} == {1: ("mer", 50), 60: ("", None)}
