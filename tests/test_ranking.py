@@ -25,7 +25,7 @@ def test_bm25_against_plain_python(spark):
     c = spark.createDataFrame(list(docs.items()), "doc bigint, content string")
     q = spark.createDataFrame(list(queries.items()), "query_id bigint, text string")
     got = {}
-    for r in sparse.bm25_topk(c, q, 5).orderBy("query_id", "rank").collect():
+    for r in sparse.bm25_topk(sparse.build_index(c), q, 5).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.doc, r.score))
     assert {k: [d for d, _ in v] for k, v in got.items()} == {k: [d for d, _ in v] for k, v in want.items()}
     assert all(abs(a[1] - b[1]) < 2e-6 for k in want for a, b in zip(got[k], want[k], strict=True))
