@@ -32,6 +32,7 @@ PIECE, LAP = 1024, 128
 KEPT = 1 << 16
 _token = re.compile("[\u3040-\u30ff\u3400-\u9fff々]|(?:นางสาว|นาย|นาง|คุณ)(?=[\u0e01-\u0e2e\u0e40-\u0e44])|[\u0e00-\u0e7f]+|[\u0900-\u0963\u0966-\u097f]+|[^\\W\\d_]+(?:['’-][^\\W\\d_]+)*|\\d+|\\n|[^\\w\\s]|_")
 
+_stretch = re.compile(r"\n|\S+")
 _signs = re.compile(r"[^\s\d@。，、；：！？）（\u3040-\u30ff\u3400-\u9fff]*[\d@][^\s。，、；：！？）（\u3040-\u30ff\u3400-\u9fff]*")
 
 
@@ -83,27 +84,46 @@ class Tokens:
 
     def __init__(self, common: frozenset[str]) -> None:
         self.common = common
+        self.memo: dict[tuple[str, bool], tuple] = {}
         self.ids: dict[tuple[str, bool, str], int] = {("\x00", False, ""): 0}
         self.features: list[list[str]] = [["s:edge"]]
 
-    def of(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        ids, spans, last, known = [], [], 0, self.ids
-        signs = [(m.start(), m.end(), _chunk(m[0])) for m in _signs.finditer(text)]
-        signs.append((len(text) + 1, len(text) + 1, ""))
-        n = 0
-        for m in _token.finditer(text):
+    def of(self, text: str) -> tuple[list[int], list[tuple[int, tuple]]]:
+        """Ids of a text's tokens, and of each stretch between white space where it starts and the places of its tokens.
+        A stretch is taken apart once."""
+        ids, places, last, memo = [], [], 0, self.memo
+        for m in _stretch.finditer(text):
             a, b = m.span()
+            k = (m[0], a > last)
+            got = memo.get(k)
+            if got is None:
+                got = memo[k] = self._apart(*k)
+            ids += got[0]
+            places.append((a, got[1]))
+            last = b
+        return ids, places
+
+    def _apart(self, stretch: str, spaced: bool) -> tuple[tuple[int, ...], tuple[tuple[int, int], ...]]:
+        ids, at, known = [], [], self.ids
+        signs = [(m.start(), m.end(), _chunk(m[0])) for m in _signs.finditer(stretch)]
+        signs.append((len(stretch) + 1, len(stretch) + 1, ""))
+        n = 0
+        for m in _token.finditer(stretch):
+            a = m.start()
             while a >= signs[n][1]:
                 n += 1
-            k = (m[0], a > last, signs[n][2] if a >= signs[n][0] else "")
+            k = (m[0], spaced and a == 0, signs[n][2] if a >= signs[n][0] else "")
             i = known.get(k)
             if i is None:
                 i = known[k] = len(self.features)
                 self.features.append(_features(*k, self.common))
             ids.append(i)
-            spans.append((a, b))
-            last = b
-        return ids, spans
+            at.append(m.span())
+        return tuple(ids), tuple(at)
+
+
+def _places(stretches: list[tuple[int, tuple]]) -> list[tuple[int, int]]:
+    return [(a + x, a + y) for a, at in stretches for x, y in at]
 
 
 def _padded(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +167,7 @@ def decode(em: np.ndarray, n: np.ndarray, trans: np.ndarray) -> np.ndarray:
         begun, stayed = score[:, inside - 1] + trans[inside - 1, inside], score[:, inside] + trans[inside, inside]
         stay = stayed > begun
         new = np.empty_like(score)
-        new[:, outside] = np.take_along_axis(all_, best[:, None], 1)[:, 0]
+        new[:, outside] = all_.max(1)
         new[:, inside] = np.where(stay, stayed, begun)
         back[:, t, outside] = best
         back[:, t, inside] = np.where(stay, inside, inside - 1)
@@ -169,7 +189,8 @@ def trained(sentences: int = 14000, epochs: int = 6, seed: int = 11, least: int
     weights of its own features only (AdaGrad)."""
     tokens, data = Tokens(common_words()), []
     for text, spans in labelled_sentences(sentences, seed):
-        ids, at = tokens.of(text)
+        ids, stretches = tokens.of(text)
+        at = _places(stretches)
         tags = np.zeros(len(ids), np.int64)
         for a, b, kind in spans:
             first = True
@@ -263,31 +284,39 @@ _SHARED: dict[str, Broadcast] = {}
 
 class Finder:
     def __init__(self, weights: Weights) -> None:
-        self.w, self.trans, self.common = weights
-        self.none = np.zeros((2 * REACH + 1, len(LABELS)), np.float32)
-        self.tokens, self.table, self.filled = Tokens(self.common), np.zeros((1024, *self.none.shape), np.float32), 0
+        w, self.trans, self.common = weights
+        self.number = {f: i for i, f in enumerate(w)}
+        self.w = np.concatenate([np.array(list(w.values()), np.float32).reshape(-1, 2 * REACH + 1, len(LABELS)), np.zeros((1, 2 * REACH + 1, len(LABELS)), np.float32)])
+        self.tokens, self.table, self.filled = Tokens(self.common), np.zeros((1024, *self.w.shape[1:]), np.float32), 0
 
     def _fill(self) -> None:
-        new = self.tokens.features[self.filled :]
+        """Rows of the table for new tokens: the sums of their features' weights."""
+        new, get, none = self.tokens.features[self.filled :], self.number.get, len(self.w) - 1
         if len(self.tokens.features) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((len(self.tokens.features), *self.none.shape), np.float32)])
-        for i, fs in enumerate(new, self.filled):
-            self.table[i] = sum((self.w[f] for f in fs if f in self.w), self.none)
+            self.table = np.concatenate([self.table, np.zeros((len(self.tokens.features), *self.w.shape[1:]), np.float32)])
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            # Each token has at least the entry without weights, so that no stretch is empty.
+            flat = [[none, *(i for f in fs if (i := get(f)) is not None)] for fs in part]
+            n = np.array([len(x) for x in flat])
+            rows = self.w[np.fromiter((i for x in flat for i in x), np.int64, int(n.sum()))]
+            self.table[self.filled + at : self.filled + at + len(part)] = np.add.reduceat(rows, np.r_[0, np.cumsum(n)[:-1]], axis=0)
         self.filled = len(self.tokens.features)
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of what each text holds, as offsets."""
-        if len(self.tokens.ids) > KEPT:
+        if len(self.tokens.ids) > KEPT or len(self.tokens.memo) > 4 * KEPT:
             self.tokens, self.filled = Tokens(self.common), 0
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         work = []
         for i, t in enumerate(texts):
-            ids, spans = self.tokens.of(t)
+            ids, stretches = self.tokens.of(t)
             for at in range(0, len(ids), PIECE):
                 a, b = max(0, at - LAP), min(len(ids), at + PIECE + LAP)
-                work.append((i, ids[a:b], spans[a:b], at - a, at - a + PIECE))
+                work.append((i, ids[a:b], stretches, a, at - a, at - a + PIECE))
         self._fill()
         work.sort(key=lambda x: len(x[1]))
+        known: dict[int, list[tuple[int, int]]] = {}
         at = 0
         while at < len(work):
             # Batches of a bounded number of tokens.
@@ -297,8 +326,10 @@ class Finder:
             ids, n = _padded([p[1] for p in part])
             tags = decode(_emissions(self.table, ids), n, self.trans)
             for row in np.flatnonzero(tags.any(1)):
-                i, _, spans, first, last = part[row]
-                out[i] += _spans(texts[i], spans, tags[row, : n[row]], first, last)
+                i, _, stretches, a, first, last = part[row]
+                if i not in known:
+                    known[i] = _places(stretches)
+                out[i] += _spans(texts[i], known[i][a : a + n[row]], tags[row, : n[row]], first, last)
         return [sorted(x) for x in out]
 
 
