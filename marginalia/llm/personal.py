@@ -3,9 +3,11 @@
 The model is trained by stochastic gradient ascent of the conditional log-likelihood on a small
 labelled table (``pii_training``), and decoded by Viterbi in numpy batches. The features of a token
 (its shape, word, beginning, ending, spacing) count at the token itself and at its neighbours, so what a
-token adds at each distance is one row of a table, looked up by the token. Every token of a text is
-decoded. Texts of more than ``PIECE`` tokens are decoded in pieces that overlap by ``LAP`` on either side;
-a find is taken from the piece in whose inner part it starts.
+token adds at each distance is one row of a table, looked up by the token. Every token of a text is scored.
+A token is surely outside where no run of tokens around it can gain by labels of a kind, by a bound of
+what their scores and transitions add; so the best labels of a text are those of its other runs, each
+decoded between outside tokens. Runs of more than ``PIECE`` tokens are decoded in pieces that overlap by
+``LAP`` on either side; a find is taken from the piece in whose inner part it starts.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,9 +33,15 @@ REACH = 3
 PIECE, LAP = 1024, 128
 #: Tokens whose sums of weights are kept at once.
 KEPT = 1 << 16
+#: Characters of texts searched together, and tokens scored together.
+TOGETHER, SCORED = 1 << 20, 1 << 14
 _token = re.compile("[\u3040-\u30ff\u3400-\u9fff々]|(?:นางสาว|นาย|นาง|คุณ)(?=[\u0e01-\u0e2e\u0e40-\u0e44])|[\u0e00-\u0e7f]+|[\u0900-\u0963\u0966-\u097f]+|[^\\W\\d_]+(?:['’-][^\\W\\d_]+)*|\\d+|\\n|[^\\w\\s]|_")
 
-_stretch = re.compile(r"\n|\S+")
+#: A stretch between white space with the blanks before it; the blanks at the end of a text are one without a token.
+_stretch = re.compile(r"[^\S\n]*(?:\n|\S+|\Z)")
+_number = re.compile(r"\d+")
+#: A digit that no number of the training has; it stands for any behind the first one.
+ANY = "\U0001d7ce"
 _signs = re.compile(r"[^\s\d@。，、；：！？）（\u3040-\u30ff\u3400-\u9fff]*[\d@][^\s。，、；：！？）（\u3040-\u30ff\u3400-\u9fff]*")
 
 
@@ -80,52 +89,68 @@ def _features(w: str, spaced: bool, chunk: str, common: frozenset[str]) -> list[
 
 
 class Tokens:
-    """Tokens of texts as ids; each id knows its features."""
+    """Tokens of texts as ids; each id knows its features. ``numbers``: those known by themselves, of all others only
+    the first digit and the length make features; None: all are known."""
 
-    def __init__(self, common: frozenset[str]) -> None:
-        self.common = common
-        self.memo: dict[tuple[str, bool], tuple] = {}
+    def __init__(self, common: frozenset[str], numbers: frozenset[str] | None = None) -> None:
+        self.common, self.numbers = common, numbers
+        self.memo: dict[str, tuple[tuple[int, ...], tuple[tuple[int, int], ...]]] = {}
+        self.alike: dict[str, tuple[tuple[int, ...], tuple[tuple[int, int], ...]]] = {}
         self.ids: dict[tuple[str, bool, str], int] = {("\x00", False, ""): 0}
         self.features: list[list[str]] = [["s:edge"]]
 
-    def of(self, text: str) -> tuple[list[int], list[tuple[int, tuple]]]:
-        """Ids of a text's tokens, and of each stretch between white space where it starts and the places of its tokens.
-        A stretch is taken apart once."""
-        ids, places, last, memo = [], [], 0, self.memo
-        for m in _stretch.finditer(text):
-            a, b = m.span()
-            k = (m[0], a > last)
-            got = memo.get(k)
+    def of(self, text: str) -> np.ndarray:
+        """Ids of a text's tokens. A stretch is taken apart once."""
+        memo, out = self.memo, []
+        for s in _stretch.findall(text):
+            got = memo.get(s)
             if got is None:
-                got = memo[k] = self._apart(*k)
-            ids += got[0]
-            places.append((a, got[1]))
-            last = b
-        return ids, places
-
-    def _apart(self, stretch: str, spaced: bool) -> tuple[tuple[int, ...], tuple[tuple[int, int], ...]]:
+                got = memo[s] = self._known(s)
+            out.append(got[0])
+        return np.fromiter(chain.from_iterable(out), np.int32)
+
+    def places(self, text: str) -> list[tuple[int, int]]:
+        """The places of the tokens of a text that ``of`` has seen."""
+        out, a = [], 0
+        for s in _stretch.findall(text):
+            out += [(a + x, a + y) for x, y in self.memo[s][1]]
+            a += len(s)
+        return out
+
+    def _plain(self, m: re.Match[str]) -> str:
+        return m[0] if m[0] in self.numbers or not m[0].isascii() else m[0][0] + ANY * (len(m[0]) - 1)
+
+    def _known(self, stretch: str) -> tuple[tuple[int, ...], tuple[tuple[int, int], ...]]:
+        if self.numbers is None:
+            return self._apart(stretch)
+        plain = _number.sub(self._plain, stretch)
+        if plain == stretch:
+            return self._apart(stretch)
+        if plain not in self.alike:
+            self.alike[plain] = self._apart(plain)
+        return self.alike[plain]
+
+    def _apart(self, stretch: str) -> tuple[tuple[int, ...], tuple[tuple[int, int], ...]]:
+        body = stretch.lstrip() or "\n" * stretch.endswith("\n")
+        blanks = len(stretch) - len(body)
         ids, at, known = [], [], self.ids
-        signs = [(m.start(), m.end(), _chunk(m[0])) for m in _signs.finditer(stretch)]
-        signs.append((len(stretch) + 1, len(stretch) + 1, ""))
+        signs = [(m.start(), m.end(), _chunk(m[0])) for m in _signs.finditer(body)]
+        signs.append((len(body) + 1, len(body) + 1, ""))
         n = 0
-        for m in _token.finditer(stretch):
+        for m in _token.finditer(body):
             a = m.start()
             while a >= signs[n][1]:
                 n += 1
-            k = (m[0], spaced and a == 0, signs[n][2] if a >= signs[n][0] else "")
+            k = (m[0], blanks > 0 and a == 0, signs[n][2] if a >= signs[n][0] else "")
             i = known.get(k)
             if i is None:
                 i = known[k] = len(self.features)
                 self.features.append(_features(*k, self.common))
             ids.append(i)
-            at.append(m.span())
+            at.append((blanks + a, blanks + m.end()))
         return tuple(ids), tuple(at)
 
 
-def _places(stretches: list[tuple[int, tuple]]) -> list[tuple[int, int]]:
-    return [(a + x, a + y) for a, at in stretches for x, y in at]
-
-
 def _padded(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(r) for r in rows])
     ids = np.zeros((len(rows), int(n.max()) + 2 * REACH), np.int64)
@@ -189,8 +214,7 @@ def trained(sentences: int = 14000, epochs: int = 6, seed: int = 11, least: int
     weights of its own features only (AdaGrad)."""
     tokens, data = Tokens(common_words()), []
     for text, spans in labelled_sentences(sentences, seed):
-        ids, stretches = tokens.of(text)
-        at = _places(stretches)
+        ids, at = tokens.of(text).tolist(), tokens.places(text)
         tags = np.zeros(len(ids), np.int64)
         for a, b, kind in spans:
             first = True
@@ -282,12 +306,29 @@ def shared(spark: SparkSession) -> Broadcast:
 _SHARED: dict[str, Broadcast] = {}
 
 
+def _bound(trans: np.ndarray) -> np.ndarray:
+    """What each label adds at most by transitions, against staying outside: over any run of tokens inside, the
+    transitions into, within and out of it add no more than its labels' bounds."""
+    r = (trans - trans[0, 0]).astype(np.float64)
+    # Leaving a label is paid where it is entered, and at the end of a text nothing is left.
+    leave = np.minimum(-r[:, 0], 0.0)
+    leave[0] = 0.0
+    into = (r + leave[:, None] - leave[None]).max(0)
+    return np.where(_START < 0, into, np.maximum(into, -leave)).astype(np.float32)
+
+
 class Finder:
     def __init__(self, weights: Weights) -> None:
         w, self.trans, self.common = weights
         self.number = {f: i for i, f in enumerate(w)}
         self.w = np.concatenate([np.array(list(w.values()), np.float32).reshape(-1, 2 * REACH + 1, len(LABELS)), np.zeros((1, 2 * REACH + 1, len(LABELS)), np.float32)])
-        self.tokens, self.table, self.filled = Tokens(self.common), np.zeros((1024, *self.w.shape[1:]), np.float32), 0
+        self.bound = _bound(self.trans)
+        self.numbers = frozenset(f[2:] for f in w if f[:2] == "w:" and f[2:3].isdigit())
+        self.table = np.zeros((1024, *self.w.shape[1:]), np.float32)
+        self._renew()
+
+    def _renew(self) -> None:
+        self.tokens, self.filled = Tokens(self.common, self.numbers), 0
 
     def _fill(self) -> None:
         """Rows of the table for new tokens: the sums of their features' weights."""
@@ -305,31 +346,70 @@ class Finder:
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of what each text holds, as offsets."""
+        out, a, size = [], 0, 0
+        for b, t in enumerate(texts):
+            if size and size + len(t) > TOGETHER:
+                out += self._find(texts[a:b])
+                a, size = b, 0
+            size += len(t)
+        return out + self._find(texts[a:])
+
+    def _inside(self, flat: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Which tokens may have a label: those in a run whose bounds of gain sum to no less than nothing."""
+        gain = np.full(len(flat), -1e6)
+        for at in range(REACH, len(flat) - REACH, SCORED):
+            end = min(at + SCORED, len(flat) - REACH)
+            em = _emissions(self.table, flat[None, at - REACH : end + REACH])[0]
+            gain[at:end] = (em[:, 1:] + self.bound[1:]).max(1) - em[:, 0]
+        gain[~token] = -1e6
+        sums = np.r_[0.0, np.cumsum(gain)]
+        most = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])
+        # Room for the rounding of sums.
+        return token & (most > -0.01)
+
+    def _find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         if len(self.tokens.ids) > KEPT or len(self.tokens.memo) > 4 * KEPT:
-            self.tokens, self.filled = Tokens(self.common), 0
+            self._renew()
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        work = []
-        for i, t in enumerate(texts):
-            ids, stretches = self.tokens.of(t)
-            for at in range(0, len(ids), PIECE):
-                a, b = max(0, at - LAP), min(len(ids), at + PIECE + LAP)
-                work.append((i, ids[a:b], stretches, a, at - a, at - a + PIECE))
+        rows = [self.tokens.of(t) for t in texts]
         self._fill()
-        work.sort(key=lambda x: len(x[1]))
+        # All texts one behind the other, with edges around each.
+        edge = np.zeros(REACH, np.int32)
+        flat = np.concatenate([x for r in rows for x in (edge, r)] + [edge])
+        n = np.array([len(r) for r in rows], np.int64)
+        first = np.cumsum(np.r_[0, n[:-1]]) + REACH * np.arange(1, len(n) + 1)
+        token = np.zeros(len(flat) + 1, np.int8)
+        np.add.at(token, first, 1)
+        np.add.at(token, first + n, -1)
+        token = np.cumsum(token)[:-1] > 0
+        inside = self._inside(flat, token)
+        step = np.diff(np.r_[0, inside.astype(np.int8), 0])
+        work = []
+        for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True):
+            # With the outside tokens around it, which lead in and out.
+            x, y = a - int(token[a - 1]), b + int(token[b])
+            for at in range(x, y, PIECE):
+                work.append((max(x, at - LAP), min(y, at + PIECE + LAP), at, min(y, at + PIECE)))
+        work.sort(key=lambda w: w[1] - w[0])
         known: dict[int, list[tuple[int, int]]] = {}
         at = 0
         while at < len(work):
             # Batches of a bounded number of tokens.
-            size = max(1, min(512, 100_000 // max(1, len(work[min(at + 511, len(work) - 1)][1]))))
+            size = max(1, min(2048, 100_000 // (work[min(at + 2047, len(work) - 1)][1] - work[min(at + 2047, len(work) - 1)][0])))
             part = work[at : at + size]
             at += size
-            ids, n = _padded([p[1] for p in part])
-            tags = decode(_emissions(self.table, ids), n, self.trans)
+            begin, end = np.array([w[0] for w in part]), np.array([w[1] for w in part])
+            long = int((end - begin).max())
+            ids = flat[np.minimum(begin[:, None] + np.arange(-REACH, long + REACH), len(flat) - 1)]
+            em = _emissions(self.table, ids)
+            em[~inside[np.minimum(begin[:, None] + np.arange(long), len(flat) - 1)], 1:] = -1e9
+            tags = decode(em, end - begin, self.trans)
             for row in np.flatnonzero(tags.any(1)):
-                i, _, stretches, a, first, last = part[row]
+                a, b, x, y = part[row]
+                i = int(np.searchsorted(first, a, "right")) - 1
                 if i not in known:
-                    known[i] = _places(stretches)
-                out[i] += _spans(texts[i], known[i][a : a + n[row]], tags[row, : n[row]], first, last)
+                    known[i] = self.tokens.places(texts[i])
+                out[i] += _spans(texts[i], known[i][a - first[i] : b - first[i]], tags[row, : b - a], x - a, y - a)
         return [sorted(x) for x in out]
 
 
@@ -387,11 +467,9 @@ def find_personal(df: DataFrame, id_column: str, column: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = Finder(weights.value)
-        for whole in batches:
-            for at in range(0, len(whole), 256):
-                b = whole.iloc[at : at + 256]
-                rows = [(i, k, x + 1, y) for i, found in zip(b["id"], f.find(list(b["text"])), strict=True) for x, y, k in found]
-                yield pd.DataFrame(rows, columns=["id", "kind", "start_pos", "end_pos"])
+        for b in batches:
+            rows = [(i, k, x + 1, y) for i, found in zip(b["id"], f.find(list(b["text"])), strict=True) for x, y, k in found]
+            yield pd.DataFrame(rows, columns=["id", "kind", "start_pos", "end_pos"])
 
     some = df.select(F.col(id_column).alias("id"), F.col(column).alias("text")).where(F.col("id").isNotNull() & (F.length("text") > 0))
     return some.mapInPandas(run, "id bigint, kind string, start_pos int, end_pos int")

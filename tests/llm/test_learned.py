@@ -144,3 +144,37 @@ def test_personal_table_and_mask(spark):
     masked = [r.masked for r in personal.masked_text(df, "text").collect()]
     assert masked[0] == "We report nothing. Author note: [NAME], ID [ID_NUMBER], phone [PHONE]. As Holsson et al. said." and masked[1] is None and masked[2] == ""
     assert personal.find_personal(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_runs_inside_are_decoded_as_whole_texts():
+    f = personal.Finder(personal.trained())
+    texts = [t for t, _ in labelled_sentences(300, 77)] + ["", " ", "\n", " \n\t", "a  \n", "٣12 and 12٣, ก๓12"]
+    got = f.find(texts)
+    for t, found in zip(texts, got, strict=True):
+        ids = f.tokens.of(t)
+        if not len(ids):
+            assert found == []
+            continue
+        em = personal._emissions(f.table, personal.np.pad(ids, personal.REACH)[None])
+        tags = personal.decode(em, personal.np.array([len(ids)]), f.trans)[0]
+        assert found == sorted(personal._spans(t, f.tokens.places(t), tags, 0, len(ids))), t
+
+
+def test_only_runs_that_may_be_inside_are_decoded(monkeypatch):
+    f = personal.Finder(personal.trained())
+    decoded, plain = [], personal.decode
+    monkeypatch.setattr(personal, "decode", lambda em, n, trans: decoded.append(int(n.sum())) or plain(em, n, trans))
+    text = "The surface of the sample was heated and the pressure rose slowly. " * 200 + "Contact: Anna Keller, +49 30 2312519."
+    assert [k for _, _, k in f.find([text])[0]] == ["name", "phone"]
+    assert sum(decoded) < 300
+
+
+def test_numbers_that_make_the_same_features_are_one_token():
+    f = personal.Finder(personal.trained())
+    a, b = f.tokens.of("see DN-48213 and 7310.5"), f.tokens.of("see DN-45557 and 7999.5")
+    assert a.tolist() == b.tolist()
+    # Stretches as before: what is spaced, and where tokens are.
+    t = personal.Tokens(f.common)
+    t.of(" a\n b  \nc\t")
+    assert t.places(" a\n b  \nc\t") == [(1, 2), (2, 3), (4, 5), (7, 8), (8, 9)]
+    assert [k[:2] for k in t.ids][1:] == [("a", True), ("\n", False), ("b", True), ("\n", True), ("c", False)]
