@@ -41,8 +41,9 @@ _word = re.compile(f"!?[{_LATIN}0-9]+(?:!+[{_LATIN}0-9]+)*")
 _letter = re.compile(f"[{_LATIN}]")
 _tail = re.compile(f"([{_LATIN}0-9!]*[{_LATIN}0-9])[{MARKS}]\\s*$")
 _head = re.compile(f"\\s*([{_LATIN}0-9!]*[{_LATIN}0-9])")
-_break = re.compile(f"[^\\W\\d_][{MARKS}][ \t]*\n")
-_broken = re.compile(f"[^\\s]*[^\\W\\d_][{MARKS}][ \t]*\n\\s*[^\\s]*")
+# The mark first: a pattern that begins with few characters is looked for fast.
+_break = re.compile(f"[{MARKS}](?<=[^\\W\\d_].)[ \t]*\n")
+_next = re.compile(r"\s*\S*")
 _compound = re.compile(f"(?=\\b([{_LATIN}]+)-([{_LATIN}]+))")
 _digits = re.compile("[0-9]+")
 _number = re.compile(r"(?i)\W*(?:(?:page|pg|p|seite|página|стр|σελ|第|หน้า)\b\W*|)(?:(\d{1,9})|([ivxlcdm]+))\W*(?:(?:of|von|de|sur|из)\W+\d+\W*)?")
@@ -107,6 +108,55 @@ def _words_of(raw: list[str], lines: list[str]) -> Iterator[tuple[int, list[str]
         yield i, words, part
 
 
+def _line_words(raw: list[str], at: list[int]) -> Iterator[tuple[int, list[str]]]:
+    """(line, unbroken words) as ``_words_of`` has them, of the lines ``at`` only: what is before the last line that
+    surely ends without a break says nothing about a line."""
+    if len(at) > 8:
+        some = set(at)
+        yield from ((i, words) for i, words, _ in _words_of(*_lines("\n".join(raw))) if i in some)
+        return
+    for i in at:
+        a = i
+        while a and not ((c := raw[a - 1].rstrip()[-1:]) and c not in MARKS and (c.isascii() or c.isalnum())):
+            a -= 1
+        # The line behind it settles what its end is.
+        for k, words, _ in _words_of(*_lines("\n".join(raw[a : i + 1] + raw[i + 1 : i + 2]))):
+            if a + k == i:
+                yield i, words
+
+
+def _first_word(line: str) -> str | None:
+    """The word that a line opens with, in the one form; only its first stretch between white space is brought to it,
+    if anything of that can be seen."""
+    fold = transducer().apply
+    start = fold(_next.match(line)[0])
+    head = _head.match(start if start and not start.isspace() else fold(line))
+    return head[1] if head else None
+
+
+def _last_part(line: str) -> str | None:
+    """The part of a word before the mark that a line without white space behind it ends in, in the one form."""
+    m = _tail.search(transducer().apply(line[:-1].rsplit(None, 1)[-1] if line[-2:-1].strip() else "") + "-")
+    return m[1] if m else None
+
+
+def _unbroken(text: str) -> str:
+    """The text with a space for the broken words: stretches that end in a mark at the end of a line with
+    the next one."""
+    m = _break.search(text)
+    if m is None:
+        return text
+    out, last = [], 0
+    while m:
+        a = m.start()
+        while a > last and not text[a - 1].isspace():
+            a -= 1
+        out.append(text[last:a])
+        last = _next.match(text, m.end()).end()
+        m = _break.search(text, last)
+    return " ".join([*out, text[last:]])
+
+
 def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
     """form, n over all unbroken words (lower-cased) and their hyphenated pairs; counted per task first."""
 
@@ -128,7 +178,7 @@ def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
         count: Counter[str] = Counter()
         for b in batches:
             for text in b["content"]:
-                count.update((_broken.sub(" ", text) if _break.search(text) else text).split())
+                count.update(_unbroken(text).split())
             if len(count) > flush:
                 yield tokens(count)
         if count:
@@ -184,12 +234,12 @@ def _read_lines(texts: DataFrame, forms: Broadcast | None, edges: int) -> DataFr
         def __missing__(self, raw: str) -> bool:
             if len(self) > 1 << 19:
                 self.clear()
-            out = self[raw] = not self.known.isdisjoint([t.lower() for t in _word.findall(self.fold(raw))])
+            out = self[raw] = not self.known.isdisjoint(_word.findall(raw.lower()) if raw.isascii() else [t.lower() for t in _word.findall(self.fold(raw))])
             return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = forms.value.keys() if forms else frozenset()
-        misread, fold = Misread(known), transducer().apply
+        misread = Misread(known)
         for batch in batches:
             out = []
             for key, source, page, pos, text in batch[["row_id", "source", "page_number", "pos", "content"]].itertuples(index=False):
@@ -199,8 +249,8 @@ def _read_lines(texts: DataFrame, forms: Broadcast | None, edges: int) -> DataFr
                 if forms is None:
                     for i, words, _ in _words_of(*_lines(text)):
                         out += [("token", *where, i + 1, w, None, None, None, 0) for w in {x.lower() for x in words}]
-                elif any(map(misread.__getitem__, set(text.split()))):
-                    for i, words, _ in _words_of(*_lines(text)):
+                elif ill := [x for x in set(text.split()) if misread[x]]:
+                    for i, words in _line_words(raw, [i for i, x in enumerate(raw) if not set(ill).isdisjoint(x.split())]):
                         if not known.isdisjoint([x.lower() for x in words]):
                             out.append(("misread", *where, i + 1, None, None, None, None, 0))
                 full = [i for i, x in enumerate(raw) if x and not x.isspace()]
@@ -213,23 +263,21 @@ def _read_lines(texts: DataFrame, forms: Broadcast | None, edges: int) -> DataFr
                 if _break.search(text + "\n"):
                     for k, i in enumerate(full):
                         line = raw[i].rstrip()
-                        if line[-1] in MARKS and (m := _tail.search(fold(line[:-1]) + "-")):
-                            part = m[1]
+                        if line[-1] in MARKS and (part := _last_part(line)):
                             if k < late:
-                                head = _head.match(fold(raw[full[k + 1]]))
-                                out.append(("broken", *where, i + 1, part, head[1] if head else "", line[-1], None, full[k + 1] + 1))
+                                out.append(("broken", *where, i + 1, part, _first_word(raw[full[k + 1]]) or "", line[-1], None, full[k + 1] + 1))
                             else:
                                 parts[i] = part
                 seq = {i: k for k, i in enumerate(full)}
                 for i in near:
                     k = seq[i]
                     line = raw[i]
-                    head = _head.match(fold(line)) if line.lstrip()[:1].islower() else None
+                    head = _first_word(line) if line.lstrip()[:1].islower() else None
                     at_edge = k < max(1, edges) or k >= len(full) - max(1, edges)
                     number = at_edge and len(line) < 48 and is_page_number(line, page)
                     last = parts.get(i)
                     if edges or number or last or head:
-                        out.append(("number" if number else "edge", *where, i + 1, last, head[1] if head and not number else None, line.rstrip()[-1] if last else None, _digits.sub("\x01", line.lower()) if edges and at_edge else None, 0))
+                        out.append(("number" if number else "edge", *where, i + 1, last, head if not number else None, line.rstrip()[-1] if last else None, _digits.sub("\x01", line.lower()) if edges and at_edge else None, 0))
             yield pd.DataFrame(out, columns=["what", "row_id", "source", "page_number", "pos", "line_no", "a", "b", "mark", "header", "next_no"])
 
     return texts.where(F.col("row_id").isNotNull() & F.col("content").isNotNull()).mapInPandas(run, _FOUND)
@@ -255,24 +303,29 @@ def _across(lines: DataFrame) -> DataFrame:
     return found.select("row_id", "line_no", "a", F.coalesce("next.b", F.lit("")).alias("b"), "mark", F.col("next.row_id").alias("next_row"), F.col("next.line_no").alias("next_no"))
 
 
-def _hyphen_lines(broken: DataFrame, counts: DataFrame) -> DataFrame:
+def _known_words(counts: DataFrame) -> DataFrame:
+    """k, v, n: the counts of words (k = "w") and of skeletons ("s")."""
+    return counts.select(F.lit("w").alias("k"), F.col("form").alias("v"), "n").unionByName(counts.groupBy(_skeleton_udf()("form").alias("v")).agg(F.sum("n").alias("n")).select(F.lit("s").alias("k"), "v", "n"))
+
+
+def _hyphen_lines(broken: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of ``broken`` (tbl, row_id, line_no, a, b, mark) that are broken words, not compounds
-    that keep their hyphen.
+    that keep their hyphen. ``known`` is what ``_known_words`` gives.
 
     The signs for breaks only settle it. Else the whole word and the compound are looked up among
     the unbroken words, then their skeletons (a part may be misread); where neither is known, two
     parts that are words themselves, or a second part with a capital, are a compound.
     """
     b = broken.withColumn("joined", F.lower(F.concat("a", "b"))).withColumn("kept", F.lower(F.concat_ws("-", "a", "b")))
-    b = b.withColumn("sj", _skeleton_udf()("joined")).withColumn("sk", _skeleton_udf()("kept"))
+    b = staged(b.withColumn("sj", _skeleton_udf()("joined")).withColumn("sk", _skeleton_udf()("kept")))
     pairs = F.struct
     asked = (
         b.select(F.explode(F.array(*[pairs(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in (("w", "joined"), ("w", "kept"), ("s", "sj"), ("s", "sk"))], pairs(F.lit("w").alias("k"), F.lower("a").alias("v")), pairs(F.lit("w").alias("k"), F.lower("b").alias("v")))).alias("q"))
         .select("q.k", "q.v")
         .distinct()
     )
-    known = counts.select(F.lit("w").alias("k"), F.col("form").alias("v"), "n").unionByName(counts.groupBy(_skeleton_udf()("form").alias("v")).agg(F.sum("n").alias("n")).select(F.lit("s").alias("k"), "v", "n"))
-    answer = asked.join(known, ["k", "v"])
+    # Looked up six times below.
+    answer = staged(asked.join(known, ["k", "v"]))
     for k, c, out in (("w", "joined", "nj"), ("w", "kept", "nk"), ("s", "sj", "nsj"), ("s", "sk", "nsk"), ("w", "la", "na"), ("w", "lb", "nb")):
         if c in ("la", "lb"):
             b = b.withColumn(c, F.lower(c[1]))
@@ -296,7 +349,7 @@ def noisy_lines(pages: DataFrame, blocks: DataFrame, *, min_pages: int = 3, min_
     p = pages.select("row_id", "source", "page_number", F.lit(0).alias("pos"), "content")
     b = blocks.select("row_id", "source", "page_number", "pos", "content")
     counts = staged(word_counts(p.select("content").unionByName(b.select("content"))))
-    forms = staged(misread_forms(counts))
+    forms, known = staged(misread_forms(counts)), staged(_known_words(counts))
     few = forms.count() <= LOOKUP_FORMS
     lookup = spark.sparkContext.broadcast(dict(forms.collect())) if few else None
     found = None
@@ -314,8 +367,7 @@ def noisy_lines(pages: DataFrame, blocks: DataFrame, *, min_pages: int = 3, min_
             text = text.join(headers, ["row_id", "line_no"], "left_anti")
         across = _across(text.select("row_id", "source", "page_number", "pos", "line_no", "a", "b", "mark"))
         inside = lines.where("what = 'broken'").select("row_id", "line_no", "a", "b", "mark", F.col("row_id").alias("next_row"), "next_no")
-        broken = staged(inside.unionByName(across))
-        hyphens = _hyphen_lines(broken, counts)
+        hyphens = staged(_hyphen_lines(inside.unionByName(across), known))
         # A misread broken word: the line that has the misread characters.
         split = hyphens.withColumn("form", F.lower(F.concat("a", "b"))).join(forms, "form")
         first = F.expr("substr(word, 1, length(a))") != F.lower("a")

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 
 from marginalia.llm import scan_noise as S
@@ -74,3 +78,37 @@ def test_the_next_running_line_may_be_far_off(spark):
     b = spark.createDataFrame(rows, BLOCK)
     broken = S._across(S._read_lines(b.withColumn("x", b.row_id), None, 0).where("what = 'edge'").select("row_id", "source", "page_number", "pos", "line_no", "a", "b", "mark"))
     assert {r.row_id: (r.b, r.next_row) for r in broken.collect()} == {1: ("mer", 50), 60: ("", None)}
+
+
+def test_short_ways_give_what_the_whole_text_gives():
+    r = random.Random(3)
+    broken = re.compile(f"[^\\s]*[^\\W\\d_][{S.MARKS}][ \t]*\n\\s*[^\\s]*")
+    fold = S.transducer().apply
+    pieces = ["word", "wo", "Ünï", "été", "12", "3", "水压", "​", "\xa0", "!", "_", ".", "​́", "ｗｉｄｅ", "osc​il"] + [*S.MARKS] * 2
+    for _ in range(4000):
+        text = "".join(r.choice([*pieces, " ", " ", "\n", "\n", " \n", "\t", "-\n", "¬ \n", "a-\n"]) for _ in range(r.randrange(1, 24)))
+        assert S._unbroken(text).split() == broken.sub(" ", text).split(), text
+        raw = text.split("\n")
+        whole = {i: words for i, words, _ in S._words_of(*S._lines(text))}
+        for i in range(len(raw)):
+            assert dict(S._line_words(raw, [i])) == ({i: whole[i]} if i in whole else {}), (text, i)
+            head = S._head.match(fold(raw[i]))
+            assert S._first_word(raw[i]) == (head[1] if head else None), text
+            line = raw[i].rstrip()
+            if line and line[-1] in S.MARKS:
+                m = S._tail.search(fold(line[:-1]) + "-")
+                assert S._last_part(line) == (m[1] if m else None), text
+
+
+def test_a_stretch_without_spaces_is_passed_once():
+    began = time.process_time()
+    assert S._unbroken("x" * 50_000 + " poly-\nmer y") == "x" * 50_000 + "   y"
+    assert time.process_time() - began < 2
+
+
+def test_words_are_looked_up_in_one_pass(spark):
+    b = spark.createDataFrame([(1, 1, "oscil", "lates", "-", 1, 2), (2, 1, "signal", "to", "-", 2, 2)], "row_id bigint, line_no int, a string, b string, mark string, next_row bigint, next_no int")
+    counts = spark.createDataFrame([("oscillates", 5, True), ("signal-to", 4, True)], "form string, n bigint, mixed boolean")
+    out = S._hyphen_lines(b, S._known_words(counts))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and [r.row_id for r in out.collect()] == [1]
