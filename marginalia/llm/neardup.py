@@ -126,8 +126,9 @@ def anchor_rows(tbl: np.ndarray, doc: np.ndarray, sets: list[list[int]]) -> dict
             continue
         top = tops[own + step]
         d = 2 * top // 9
-        few = top <= SMALL
-        spare = np.where(few, 0, np.ceil((d + 1) * SPARE).astype(np.int64))
+        # Without a difference only equal sets are pairs: one band, met by equality.
+        few = (top <= SMALL) & (d > 0)
+        spare = np.where(few | (d == 0), 0, np.ceil((d + 1) * SPARE).astype(np.int64))
         bands = np.where(few, d // 2 + 1, d + 1 + spare)
         pick = use[of]
         w, o = words[pick], of[pick]
@@ -208,17 +209,50 @@ def _may_pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ok
 
 
-def compare(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
-    """Pairs (doc, doc) of the rows of one anchor, or of two blocks of it, that may be near-duplicates."""
+def _limit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set sizes of rows, and the most differences to any set that may be near: it has at most 5/4 as many words."""
+    n = ((x[:, 3].view(np.uint64) >> np.uint64(48)) & np.uint64(32767)).astype(np.int64)
+    return n, np.minimum(n // 4, 32767).astype(np.uint16)
+
+
+def _cross(a: np.ndarray, b: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Pairs of ``compare`` of the rows of a, or of a and b; only sizes that may be near meet, and what the
+    fingerprint alone tells apart goes no further."""
     same = b is None
-    b = a if same else b
-    out = []
-    for i in range(0, len(a), 512):
-        for j in range(i if same else 0, len(b), 512):
-            p, q = np.nonzero(_may_pair(a[i : i + 512, None], b[None, j : j + 512]))
-            if len(p):
-                u, v = a[i + p, 1], b[j + q, 1]
-                out.append(np.column_stack([np.minimum(u, v), np.maximum(u, v)]))
+    a = a[np.argsort(_limit(a)[0], kind="stable")]
+    b = a if same else b[np.argsort(_limit(b)[0], kind="stable")]
+    (n, most), m = _limit(a), _limit(b)[0]
+    wide = len(a) and len(b) and a[:, 4:].any(1).all() and b[:, 4:].any(1).all()
+    bits = [(k, -1) for k in range(4, 12)] if wide else [(2, -1), (3, (1 << 48) - 1)]
+    f, g = ([x[:, k] & mask for k, mask in bits] for x in (a, b))
+    kind = np.uint16 if wide else np.uint8
+    most = np.minimum(most, np.iinfo(kind).max).astype(kind)
+    for i in range(0, len(a), 128):
+        k = min(i + 128, len(a))
+        low = i if same else int(np.searchsorted(m, -(-n[i] * NUM // DEN)))
+        high = int(np.searchsorted(m, n[k - 1] * DEN // NUM, "right"))
+        for j in range(low, high, 1024):
+            e = min(j + 1024, high)
+            diff = np.zeros((k - i, e - j), kind)
+            for x, y in zip(f, g, strict=True):
+                diff += np.bitwise_count((x[i:k, None] ^ y[None, j:e]).view(np.uint64))
+            p, q = np.nonzero(diff <= most[i:k, None])
+            p, q = i + p, j + q
+            if same:
+                p, q = p[q > p], q[q > p]
+            ok = _may_pair(a[p], b[q])
+            if ok.any():
+                u, v = a[p[ok], 1], b[q[ok], 1]
+                yield np.column_stack([np.minimum(u, v), np.maximum(u, v)])
+
+
+def compare(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (doc, doc) of the rows of one anchor, or of two blocks of it, that may be near-duplicates. Two visitors
+    are compared elsewhere."""
+    other = a if b is None else b
+    out = [*_cross(a[a[:, 3] >= 0], None if b is None else b[b[:, 3] >= 0]), *_cross(a[a[:, 3] >= 0], other[other[:, 3] < 0])]
+    if b is not None:
+        out += _cross(a[a[:, 3] < 0], b[b[:, 3] >= 0])
     return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
 
 
@@ -246,6 +280,7 @@ def _compare_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0], True])
         size = np.diff(at)
         found = []
+        bits, most = np.ascontiguousarray(x[:, 2]).view(np.uint64), _limit(x)[1]
         for s in np.unique(size[size > 1]):
             starts = at[:-1][size == s]
             if s <= 48:
@@ -254,7 +289,9 @@ def _compare_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 step = max(1, 300_000 // len(p))
                 for k in range(0, len(starts), step):
                     base = starts[k : k + step, None]
-                    found.append(_pairwise(x, (base + p).ravel(), (base + q).ravel()))
+                    i, j = (base + p).ravel(), (base + q).ravel()
+                    near = np.bitwise_count(bits[i] ^ bits[j]) <= most[i]
+                    found.append(_pairwise(x, i[near], j[near]))
             else:
                 for k in starts:
                     found.append(compare(x[k : k + s]))

@@ -106,3 +106,31 @@ def test_texts_of_one_key_are_told_apart(spark, monkeypatch):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     rows = [("x", 1, words), ("x", 2, words.replace("zeta", "ZETA")), ("x", 3, words.replace("theta", "thyme")), ("x", 4, words)]
     assert pairs(spark, rows) == brute(rows)
+
+
+def test_unlike_rows_of_an_anchor_are_told_apart_early(monkeypatch):
+    r = random.Random(8)
+    w = N.Words()
+    for sizes in ([5, 6, 7, 8], [13, 15, 17, 20], [60, 70, 80, 81, 90], [150, 180, 200], [40, 300]):
+        vocabulary = [f"w{i}" for i in range(2 * max(sizes))]
+        texts = [" ".join(r.sample(vocabulary, r.choice(sizes))) for _ in range(300)]
+        texts += [" ".join(t.split()[:-1] + ["x"]) for t in texts[:40]]
+        rows = pd.DataFrame(N.anchor_rows(np.zeros(len(texts), np.int64), np.arange(len(texts)), [w.of(t) for t in texts])).assign(key=7)
+        x = N._matrix(rows, ("key", "doc", "f1", "f2"))
+        x = x[np.unique(x[:, [1, 3]], axis=0, return_index=True)[1]]
+        p, q = np.nonzero(np.triu(N._may_pair(x[:, None], x[None]), 1))
+        want = {(min(u, v), max(u, v)) for u, v in zip(x[p, 1], x[q, 1])}
+        asked, plain = [], N._may_pair
+        monkeypatch.setattr(N, "_may_pair", lambda a, b: asked.append(len(a)) or plain(a, b))
+        cut = {tuple(c) for c in N.compare(x[:170])} | {tuple(c) for c in N.compare(x[170:])} | {tuple(c) for c in N.compare(x[:170], x[170:])}
+        monkeypatch.setattr(N, "_may_pair", plain)
+        assert {tuple(c) for c in N.compare(x)} == want == cut and len(want) >= 20, sizes
+        assert sum(asked) < len(x) ** 2 / 4, sizes
+
+
+def test_sets_of_few_words_meet_by_equality():
+    w = N.Words()
+    texts = [f"a b{i}" for i in range(500)] + ["c d", "d c", "D  c"]
+    rows = N.anchor_rows(np.zeros(503, np.int64), np.arange(503), [w.of(t) for t in texts])
+    keys = pd.Series(rows["key"]).groupby(rows["doc"]).agg(list)
+    assert keys[500] == keys[501] == keys[502] and len({k for x in keys[:501] for k in x}) == 501
