@@ -16,7 +16,7 @@ from marginalia.operators import alignment, layout
 from marginalia.operators.orphans import source_key
 from marginalia.plans.citing import share_of_tokens
 from marginalia.plans.common import BLOCKS, EVIDENCE, PAGES, REFS, blocks, evidence, pages, refs, s_clean, s_key, s_nfkc
-from marginalia.plans.retrieval import _asked, _index
+from marginalia.plans.retrieval import _asked, _contents, _vectors
 from marginalia.service import KnowledgeService
 from marginalia.session import checkpoint_dir, staged
 from marginalia.sources import files, workbook
@@ -154,8 +154,7 @@ def upload_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf: str) -> answering.Answers:
-    _, vectors, c = _index(spark, sf)
-    points = vectors.join(c.withColumn("source", F.concat(source_key(F.col("source")), F.lit(".pdf"))), "doc")
+    points = _vectors(spark, sf).join(_contents(spark, sf).withColumn("source", F.concat(source_key(F.col("source")), F.lit(".pdf"))), "doc")
     r = refs(spark, sf).where("content IS NOT NULL").withColumnRenamed("source", "stem")
     return answering.answer(_asked(spark, sf), points, r)
 
