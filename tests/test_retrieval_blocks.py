@@ -50,3 +50,24 @@ def test_places_of_a_block_and_its_bounds():
     parts = list(sparse._gathered([batch(rows[:7]), batch(rows[7:])], 4, 5))
     assert [i for ids, _, _ in parts for i in ids] == list(range(10))
     assert all(len(ids) <= 4 and (len(flat) <= 5 or len(ids) == 1) and sum(each) == len(flat) for ids, each, flat in parts)
+
+
+def test_dense_search_keeps_little_more_than_the_best():
+    from marginalia.operators import dense
+
+    q, s, d = np.array([1, 0, 1, 1, 0]), np.array([0.5, 0.1, 0.9, 0.5, 0.2]), np.array([7, 5, 9, 3, 4])
+    assert [x.tolist() for x in dense._best(q, s, d, 2)] == [[0, 0, 1, 1], [0.2, 0.1, 0.9, 0.5], [4, 5, 9, 3]]
+
+
+def test_hybrid_evaluation_searches_vectors_once(spark, monkeypatch):
+    from pathlib import Path
+
+    import pytest
+
+    from marginalia.plans import retrieval
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("the driver's tables aren't here")
+    calls, own = [], retrieval.dense.dense_retrieve
+    monkeypatch.setattr(retrieval.dense, "dense_retrieve", lambda *a, **k: calls.append(1) or own(*a, **k))
+    assert retrieval.hybrid_evaluation(spark, "/root/testdata/sf0.001").columns and len(calls) == 1
