@@ -71,3 +71,18 @@ def test_hybrid_evaluation_searches_vectors_once(spark, monkeypatch):
     calls, own = [], retrieval.dense.dense_retrieve
     monkeypatch.setattr(retrieval.dense, "dense_retrieve", lambda *a, **k: calls.append(1) or own(*a, **k))
     assert retrieval.hybrid_evaluation(spark, "/root/testdata/sf0.001").columns and len(calls) == 1
+
+
+def test_metrics_pages_judges_every_question(spark):
+    from pathlib import Path
+
+    import pytest
+
+    from marginalia.plans import retrieval
+    from marginalia.plans.common import evidence
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        pytest.skip("the driver's tables aren't here")
+    want = evidence(spark, sf).where("content IS NOT NULL AND source IS NOT NULL AND page_number IS NOT NULL").count()
+    assert retrieval.metrics_pages(spark, sf).count() == want > 50
